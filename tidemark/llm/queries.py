@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import common, lm_scoring
+from . import common, lm_scoring, simhash
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +16,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs, common.remainder(F.col("doc_id"), 5) != 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm_scoring": op1_lm_scoring}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op10_simhash_near_dedup)
+}
 ORACLE_SQL: dict[str, str] = {}
