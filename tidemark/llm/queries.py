@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import common, lm_scoring, simhash
+from . import bpe, common, lm_scoring, mpeg_audio, simhash
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,22 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs, common.remainder(F.col("doc_id"), 5) != 1)
 
 
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = mpeg_audio.media_column(table(spark, sf_dir, "documents"))
+    return mpeg_audio.digests(media).withColumnRenamed("id", "doc_id")
+
+
+def vocabulary() -> str:
+    """The tokenizer file that op8 and the pipeline use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +39,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op10_simhash_near_dedup)
+    for f in (op1_lm_scoring, op6_mpeg_audio, op8_bpe, op10_simhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
