@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, common, lm_scoring, mpeg_audio, simhash
+from . import bpe, common, lm_scoring, mpeg_audio, quality, simhash, toxicity
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs, common.remainder(F.col("doc_id"), 5) != 1)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = common.remainder(F.col("doc_id"), 3) != 1
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return found.select(F.col("id").alias("doc_id"), (common.remainder(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpeg_audio.media_column(table(spark, sf_dir, "documents"))
     return mpeg_audio.digests(media).withColumnRenamed("id", "doc_id")
@@ -32,6 +38,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, quality.trusted(labels, common.remainder(F.col("doc_id"), 5) != 0))
+    found = quality.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (common.remainder(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +52,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op6_mpeg_audio, op8_bpe, op10_simhash_near_dedup)
+    for f in (op1_lm_scoring, op2_toxicity, op6_mpeg_audio, op8_bpe, op9_quality, op10_simhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
