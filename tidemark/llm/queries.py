@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, common, lm_scoring, mpeg_audio, quality, simhash, toxicity
+from . import bpe, common, lm_scoring, mixing, mpeg_audio, quality, simhash, toxicity, url_filter
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,51 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (common.remainder(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: (host, path, verdict) of op3.
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+OP3_SQL = """
+WITH rules(host, rpath, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+parts AS (SELECT row_number() OVER () AS r, page_id, coalesce(substr(url, nullif(strpos(url, '://'), 0) + 3), '') AS rest FROM pages),
+split AS (SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM parts),
+urls AS (SELECT r, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM split),
+fits AS (SELECT u.r, arg_max(x.host || x.rpath, length(x.host || x.rpath)) AS rule, arg_max(x.verdict, length(x.host || x.rpath)) AS verdict
+         FROM urls u JOIN rules x ON (u.host = x.host OR ends_with(u.host, '.' || x.host)) AND starts_with(u.path, x.rpath) GROUP BY u.r)
+SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, 'allow') AS verdict FROM urls u LEFT JOIN fits f ON u.r = f.r
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size::DOUBLE * 2 AS cap, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS mix FROM s),
+l AS (SELECT *, (mix - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(cap, weight * coalesce((SELECT min(level) FROM l WHERE level <= cap / weight), 0)) AS target FROM l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank % 3 AS k, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, (greatest(least(floor(target)::BIGINT - start, size), 0) + greatest(least(floor(target)::BIGINT - start - source_size, size), 0))::BIGINT AS taken FROM p),
+u AS (SELECT *, greatest(least(start::DOUBLE / target, 1.0::DOUBLE), 0.0::DOUBLE) AS x FROM g)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE k
+  WHEN 0 THEN CASE WHEN x < 3.0::DOUBLE / 7 THEN (0.0::DOUBLE + (x - 0.0::DOUBLE) / (3.0::DOUBLE / 7)) / 4 WHEN x < 3.0::DOUBLE / 7 + 2.0::DOUBLE / 7 THEN (1.0::DOUBLE + (x - 3.0::DOUBLE / 7) / (2.0::DOUBLE / 7)) / 4
+    WHEN x < 3.0::DOUBLE / 7 + 2.0::DOUBLE / 7 + 1.0::DOUBLE / 7 THEN (2.0::DOUBLE + (x - (3.0::DOUBLE / 7 + 2.0::DOUBLE / 7)) / (1.0::DOUBLE / 7)) / 4 ELSE (3.0::DOUBLE + (x - (3.0::DOUBLE / 7 + 2.0::DOUBLE / 7 + 1.0::DOUBLE / 7)) / (1.0::DOUBLE / 7)) / 4 END
+  WHEN 1 THEN CASE WHEN x < 0.25::DOUBLE THEN (x - 0.0::DOUBLE) / 0.25::DOUBLE / 4 WHEN x < 0.5::DOUBLE THEN (1.0::DOUBLE + (x - 0.25::DOUBLE) / 0.25::DOUBLE) / 4 WHEN x < 0.75::DOUBLE THEN (2.0::DOUBLE + (x - 0.5::DOUBLE) / 0.25::DOUBLE) / 4 ELSE (3.0::DOUBLE + (x - 0.75::DOUBLE) / 0.25::DOUBLE) / 4 END
+  ELSE CASE WHEN x < 1.0::DOUBLE / 7 THEN (0.0::DOUBLE + (x - 0.0::DOUBLE) / (1.0::DOUBLE / 7)) / 4 WHEN x < 1.0::DOUBLE / 7 + 1.0::DOUBLE / 7 THEN (1.0::DOUBLE + (x - 1.0::DOUBLE / 7) / (1.0::DOUBLE / 7)) / 4
+    WHEN x < 1.0::DOUBLE / 7 + 1.0::DOUBLE / 7 + 2.0::DOUBLE / 7 THEN (2.0::DOUBLE + (x - (1.0::DOUBLE / 7 + 1.0::DOUBLE / 7)) / (2.0::DOUBLE / 7)) / 4 ELSE (3.0::DOUBLE + (x - (1.0::DOUBLE / 7 + 1.0::DOUBLE / 7 + 2.0::DOUBLE / 7)) / (3.0::DOUBLE / 7)) / 4 END END END AS position
+FROM u
+"""
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpeg_audio.media_column(table(spark, sf_dir, "documents"))
     return mpeg_audio.digests(media).withColumnRenamed("id", "doc_id")
@@ -52,6 +97,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op6_mpeg_audio, op8_bpe, op9_quality, op10_simhash_near_dedup)
+    for f in (op1_lm_scoring, op2_toxicity, op3_url_filter, op5_mixing, op6_mpeg_audio, op8_bpe, op9_quality, op10_simhash_near_dedup)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_mixing": OP5_SQL}
