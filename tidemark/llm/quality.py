@@ -184,10 +184,14 @@ def _sample(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, positives: DataFrame, *, text_col: str = "text", sample: int = 4000, id_col: str = "doc_id", **options) -> dict:
-    """Fit on ``sample`` texts at most of the labelled positives (rows of ids) and of all texts."""
+    """Fit on ``sample`` texts at most of the labelled positives (rows of ids) and of all texts. The
+    positives are those with the smallest hashes of their ids; so few ids may be broadcast, and texts
+    are read where they are."""
+    kind = docs.schema[id_col].dataType.simpleString()
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    good = positives.select(F.col(id_col).alias("id")).distinct()
-    return fit(_sample(known.join(good, "id", "left_semi"), sample), _sample(known, sample), **options)
+    good = positives.select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
+    good = good.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id").limit(sample)
+    return fit(_sample(known.join(F.broadcast(good), "id", "left_semi"), sample), _sample(known, sample), **options)
 
 
 def _scored(model: dict, chunk_bytes: int):
