@@ -247,7 +247,7 @@ def _sum_stats(answers: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", state_min: int = 8, block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", state_min: int = 8, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """Score every text by a model of the texts for which ``train`` holds (null counts as false).
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. ``state_min``: words
@@ -258,9 +258,12 @@ def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size, starts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     shards = max(32, math.ceil(size / shard_bytes))
-    blocks = common.materialise(rows.mapInArrow(_encode(shards, block_bytes), _EXCHANGE), "lm-blocks", "kind").select("block", "shard", "kind", "payload")
+    path = common.scratch_path(spark, "lm-blocks")
+    rows.mapInArrow(_encode(shards, block_bytes), _EXCHANGE).write.partitionBy("kind").parquet(path)
+    blocks = spark.read.schema(_EXCHANGE).parquet(path).select("block", "shard", "kind", "payload")
     texts = blocks.where("kind = 0")
     words = common.materialise(blocks.where("kind = 1").groupBy("shard").applyInPandas(_count_words, _EXCHANGE), "lm-words", "kind").select("block", "shard", "kind", "payload")
+    common.drop_scratch(spark, f"{path}/kind=1")  # answered
     total, vocab, once, twice = (int(x) for x in _sum_stats(words, 4))
     known = texts.unionByName(words.where("kind = 1"))
     pairs = common.materialise(known.groupBy("block").applyInPandas(_pairs(shards, starts, state_min), _EXCHANGE).groupBy("shard").applyInPandas(_count_pairs, _EXCHANGE), "lm-pairs", "kind").select("block", "shard", "kind", "payload")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, common, lm_scoring, mixing, mpeg_audio, quality, simhash, toxicity, url_filter
+from . import bpe, common, embedding_dedup, lm_scoring, mixing, mpeg_audio, quality, simhash, toxicity, url_filter, warc
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,23 @@ SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, 'allow') AS verd
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    members, folder = warc.archive(pages)
+    found = warc.read_archives(members, folder, payload=False)
+    rid = F.when(F.col("rid") != "", F.col("rid")).cast(kind)
+    return found.select(rid.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS owner FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN owner > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN owner > page_id THEN owner END AS refers_to FROM m
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
@@ -79,6 +96,10 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
@@ -97,6 +118,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_url_filter, op5_mixing, op6_mpeg_audio, op8_bpe, op9_quality, op10_simhash_near_dedup)
+    for f in (op1_lm_scoring, op2_toxicity, op3_url_filter, op4_warc, op5_mixing, op6_mpeg_audio, op7_embedding_near_dedup, op8_bpe, op9_quality, op10_simhash_near_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op4_warc": OP4_SQL, "op5_mixing": OP5_SQL}
