@@ -1,6 +1,69 @@
-STAGES = []
+"""A corpus pipeline of five operators: toxicity, quality, SimHash near-dedup, mixing, BPE.
+
+Each stage is a function (spark, docs, sf_dir) to a DataFrame that is written as Parquet and reread as
+the next one's ``docs``. All but the last return the columns of ``docs``:
+
+* toxicity: drops documents that score 0.7 or more by their nearest labelled examples;
+* quality: drops documents that score below 0.3 by the positive-unlabelled classifier;
+* simhash_near_dedup: keeps the document with the smallest id of each group of near-duplicates;
+* mixing: repeats or leaves out documents, whole, as the mix of sources takes them, in curriculum order;
+* bpe: ids and decoded text of every document left, with its id and source.
+
+Labels come from ``sf_dir``; the classifiers learn from the same rows as op2 and op9, found among the
+documents that reach the stage. Labels are by id, so rows without an id are judged but teach nothing.
+Rows with a null id are kept by the stages that drop by id, except where an equal text has an id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe as bpe_codec
+from tidemark.llm import common, mixing, quality, simhash
+from tidemark.llm import toxicity as toxic_votes
+from tidemark.llm.queries import vocabulary
+from tidemark.session import table
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _drop(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in ``rejected`` (id). Ids are narrow: the texts are only moved
+    where the rejected ids are too many for a broadcast."""
+    return docs.join(rejected.where("id is not null").distinct(), docs["doc_id"] == rejected["id"], "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxic_votes.score(docs, table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 3) != 1)
+    return _drop(docs, common.materialise(scored.where("score >= 0.7").select("id"), "pipeline-toxic"))
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    good = quality.trusted(table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 5) != 0)
+    scored = quality.score(docs, quality.train(docs, good))
+    return _drop(docs, common.materialise(scored.where("score < 0.3").select("id"), "pipeline-bad"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(docs)
+    return _drop(docs, common.materialise(groups.where("id != component_id").select("id"), "pipeline-copies"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.copies(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(docs, vocabulary(), keep=("source",)).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality_filter), ("simhash_near_dedup", simhash_near_dedup), ("mixing", mix), ("bpe", bpe)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -177,6 +177,8 @@ class Tokenizer:
         return _library(self.path)
 
     def pieces(self, word: str) -> list[bytes]:
+        if word.isascii():
+            return [word.encode()] if word.isalpha() else [x.encode() for x in self.pattern.findall(word)]
         if not _AGREED.fullmatch(word):
             symbols = {s: b for b, s in enumerate(byte_symbols())}
             return [bytes(symbols[c] for c in x) for x, _ in self._library.pre_tokenizer.pre_tokenize_str(word)]
@@ -227,9 +229,8 @@ class Encoder:
         missing = [w for i, w in enumerate(vocab) if w not in cache and i not in special]
         if missing:
             self._learn(missing)
-            cache = self.cache
-            if len(missing) < len(vocab):  # the cache may have been emptied meanwhile
-                self._learn_rest([w for i, w in enumerate(vocab) if w not in cache and i not in special])
+            if missing_still := [w for i, w in enumerate(vocab) if w not in cache and i not in special]:
+                self._learn(missing_still)  # the cache was emptied meanwhile
         parts = [special[i].to_bytes(4, "little") if i in special else cache[w] for i, w in enumerate(vocab)]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = np.frombuffer(b"".join(parts), "<u4")
@@ -241,10 +242,6 @@ class Encoder:
         upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         return flat, np.diff(upto, prepend=0)
 
-    def _learn_rest(self, words: list[str]) -> None:
-        if words:
-            self._learn(words)
-
     def decode(self, ids: np.ndarray, lens: np.ndarray) -> pa.Array:
         """Texts of ids: the tokens one space apart, as this kind of file has no decoder of its own."""
         tokens = pa.array(self.model.tokens, pa.string()).take(pa.array(ids.astype(np.int64)))
@@ -274,17 +271,18 @@ def _digest(path: str, cache_words: int, chunk_bytes: int, texts: bool):
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), docs.schema[id_col].dataType.simpleString()
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 300_000, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """(id, n_tokens, ids array<int>, decoded string) of every text."""
-    rows, kind = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(_digest(path, cache_words, chunk_bytes, True), f"id {kind}, n_tokens long, ids array<int>, decoded string")
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache_words: int = 300_000, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """(id, columns to keep, n_tokens, ids array<int>, decoded string) of every text."""
+    rows, kind = _rows(docs, id_col, text_col, keep)
+    return rows.mapInArrow(_digest(path, cache_words, chunk_bytes, True), f"{kind}, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 300_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text: :func:`encode` with digests in place of its arrays."""
     rows, kind = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(_digest(path, cache_words, chunk_bytes, False), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_digest(path, cache_words, chunk_bytes, False), f"{kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -47,7 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     levels = ranked.withColumn("level", (mix - before) / rest)
-    water = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("cap", "level"))["level"]).over(Window.partitionBy())
+    first = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "rank", "level")
+    water = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), first)).over(Window.partitionBy())["level"]
     water = F.coalesce(water, F.lit(0.0))
     return levels.withColumn("target", F.least("cap", water * F.col("weight"))).drop("level", "cap")
 
