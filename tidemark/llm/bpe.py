@@ -206,8 +206,6 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache.clear()
         split = [self.model.pieces(w) for w in words]
         distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in split for p in ps))}
         if not distinct:
@@ -227,10 +225,11 @@ class Encoder:
         special = {i: self.upper[w] for i, w in enumerate(vocab) if w in self.upper} if self.upper else {}
         cache = self.cache
         missing = [w for i, w in enumerate(vocab) if w not in cache and i not in special]
+        if len(cache) + len(missing) > self.cache_words:  # a chunk's own words always stay for the chunk
+            cache.clear()
+            missing = [w for i, w in enumerate(vocab) if i not in special]
         if missing:
             self._learn(missing)
-            if missing_still := [w for i, w in enumerate(vocab) if w not in cache and i not in special]:
-                self._learn(missing_still)  # the cache was emptied meanwhile
         parts = [special[i].to_bytes(4, "little") if i in special else cache[w] for i, w in enumerate(vocab)]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = np.frombuffer(b"".join(parts), "<u4")

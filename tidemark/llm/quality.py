@@ -124,7 +124,7 @@ def _best_bin(fit_p: np.ndarray, fit_u: np.ndarray, p: np.ndarray, u: np.ndarray
             out.append(net.backward(x, hidden, (sigmoid(score) - y) / len(x)))
         return [a + b for a, b in zip(*out)]
 
-    net = Network(width)
+    net = Network(width, fit_p.shape[1])
     net.fit(gradient, steps, 0.01)
     sp, su = (np.sort(net.forward(x)[0]) for x in (p, u))
     slack = sum(math.sqrt(math.log(4 / confidence) / (2 * len(x))) for x in (p, u))
@@ -141,7 +141,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, *, width: int = 16, steps: int = 600,
     mean, scale = unl.mean(0), unl.std(0) + 1e-3
     pos, unl = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
     prior = class_prior(pos, unl, width, steps // 2)
-    net = Network(width, seed=11)
+    net = Network(width, pos.shape[1], seed=11)
 
     def gradient(net):
         sp, hp = net.forward(pos)
