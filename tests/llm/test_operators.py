@@ -352,6 +352,24 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels, learn).count() == 0
 
 
+def test_toxicity_vectors_are_whole(spark):
+    import pyarrow as pa
+
+    names = {f"w{i}": i for i in range(40)}
+    _, term, tf, _ = toxicity.Vectoriser(names, 4).counts(pa.array([" ".join(names) + " w0" * 63]))
+    assert term.tolist() == list(range(40)) and tf.tolist() == [64] + [1] * 39
+    # every example is found at its own cosine of 1: vectors are neither cut to their strongest terms nor level off
+    rows = [(i, f"plain words {i}", 0) for i in range(60)] + [(100 + i, " ".join(f"q{chr(97 + j)}" for j in range(26) if j != i % 26) + " qz" * (8 << i // 26), 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.id: r for r in toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), evidence=3).collect()}
+    for i in range(100, 140):
+        assert [e.id for e in got[i].evidence if e.cosine > 1 - 1e-9] == [i]
+    # words of one text in many copies are no evidence
+    copies = spark.createDataFrame([(i, "once upon", 1) for i in range(50)] + [(100 + i, f"plain text{i}", 0) for i in range(50)] + [(300, "once", 0)], "doc_id long, text string, toxic int")
+    got = {r.id: r.score for r in toxicity.score(copies.select("doc_id", "text"), copies.select("doc_id", "toxic"), F.lit(True)).collect()}
+    assert got[300] == got[100]
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline

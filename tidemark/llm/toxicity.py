@@ -2,14 +2,14 @@
 
 Space. A text's terms are its words and the beginnings of longer words (``prefix`` letters to twice as
 many, and a star), which carry over to inflected forms and compounds; of those of a word only the
-strongest chosen one counts. A term that occurs 2, 4 or 8 times counts as one more term each time, so
-that how often it occurs shows in the direction of the vector. Terms that speak for the label are chosen on a bounded
-sample of labelled rows (``examples`` of either class, those with the smallest hash of their id) by
-the log-likelihood ratio, among those whose texts are toxic ``lift`` times as often as texts are; the
-ratio must exceed what chance gives the best of so many candidates (2 ln of their number); ``terms`` of them at most. Document frequencies of these terms are counted
-over all documents. A text's vector is made by the ``width`` strongest terms that occur anywhere in it
-(a group of copies of one toxic text makes all its words speak for the label, which would make every
-vector long); it has idf for each of them and length one.
+strongest chosen one counts. Terms that speak for the label are chosen on a bounded
+sample of labelled rows (``examples`` of either class, those with the smallest hash of their id), where
+copies of an equal text count once, by the log-likelihood ratio, among those whose texts are toxic
+``lift`` times as often as texts are; the ratio must exceed what chance gives the best of so many
+candidates (2 ln of their number). All of them are taken. Document frequencies of these terms are counted
+over all documents. A text's vector holds every chosen term that occurs anywhere in it, with
+(1 + ln of its occurrences) times its idf, and has length one. Terms that do not speak for the label are
+left out: the vector is not that of all words of the text (see the README for what those would give).
 
 Index. The examples' vectors are sorted so that like ones are neighbours, and cut into blocks; each
 term keeps its postings and, for each block, its largest weight. A query adds up these maxima to a bound
@@ -42,8 +42,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import common
 
 _WORD = re.compile(r"\w+")
-#: A term counts again at 2, 4 and 8 occurrences.
-LEVELS = 4
 #: Votes that the rate of the label counts for.
 PRIOR = 0.5
 
@@ -61,11 +59,10 @@ class Vectoriser:
     """Counts of terms in whole texts; a word is looked up once for each chunk of texts.
 
     terms: chosen terms by rank, the strongest first; None to count all terms of all words.
-    width: the strongest terms of a text that make its vector.
     """
 
-    def __init__(self, terms: dict[str, int] | None, prefix: int, width: int = 24):
-        self.terms, self.prefix, self.width = terms, prefix, width
+    def __init__(self, terms: dict[str, int] | None, prefix: int):
+        self.terms, self.prefix = terms, prefix
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str] | None]:
         """(text, term, count) triples sorted by text and term; the names of all terms if none were given."""
@@ -92,15 +89,6 @@ class Vectoriser:
         key, count = np.unique(np.repeat(text, width) * size + of[at], return_counts=True)
         return key // size, key % size, count, list(names) if chosen is None else None
 
-    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(text, term at a level) pairs, sorted."""
-        text, term, count, _ = self.counts(texts)
-        place = np.arange(len(text)) - np.searchsorted(text, text)
-        text, term, count = (x[place < self.width] for x in (text, term, count))
-        level = np.minimum(np.log2(count).astype(np.int64), LEVELS - 1) + 1
-        up = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level)
-        return np.repeat(text, level), np.repeat(term, level) * LEVELS + up
-
 
 def _evidence(prefix: int, chunk_bytes: int):
     """(term, texts with it, toxic ones) of labelled texts, added up for each chunk."""
@@ -115,14 +103,15 @@ def _evidence(prefix: int, chunk_bytes: int):
     return run
 
 
-def _vectors(terms: dict[str, int], prefix: int, width: int, chunk_bytes: int):
+def _vectors(terms: dict[str, int], prefix: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectoriser = Vectoriser(terms, prefix, width)
+        vectoriser = Vectoriser(terms, prefix)
         for batch in batches:
             for part in common.chunks(batch, "text", chunk_bytes):
-                text, term = vectoriser.vectors(part.column("text"))
+                text, term, tf, _ = vectoriser.counts(part.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]).astype(np.int32)
-                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32)))], names=["id", "term"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf)]
+                yield pa.record_batch([part.column("id"), *lists], names=["id", "term", "tf"])
 
     return run
 
@@ -139,51 +128,57 @@ def ratio(toxic: Column, n: Column, all_toxic: int, total: int) -> Column:
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors in blocks of ``width``, with the largest weight of each term in each block."""
+    """Examples' unit vectors in blocks of ``width``, with the largest weight of each term in each block that has it."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, width: int = 64):
-        self.width, self.n = width, len(vectors)
-        blocks = max(1, -(-self.n // width))
-        self.highest = np.zeros((n_terms, blocks), np.float64)
+        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // width))
         rows = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v.items())
         term = np.array([r[0] for r in rows], np.int64)
         self.example = np.array([r[1] for r in rows], np.int64)
         self.weight = np.array([r[2] for r in rows], np.float64)
         self.block = self.example // width
-        np.maximum.at(self.highest, (term, self.block), self.weight)
-        self.begin = np.searchsorted(term, np.arange(n_terms + 1)).tolist()
-
-    def _cosines(self, terms: list[int], weights: list[float], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks (a mask) that share a term with the query, and their cosines."""
-        sums = np.zeros(self.n)
-        for t, w in zip(terms, weights):
-            own = slice(self.begin[t], self.begin[t + 1])
-            inside = blocks[self.block[own]]
-            sums[self.example[own][inside]] += w * self.weight[own][inside]
-        hit = np.flatnonzero(sums > 0)
-        return hit, sums[hit]
+        self.begin = np.searchsorted(term, np.arange(n_terms + 1))
+        first = np.flatnonzero(np.diff(term * self.blocks + self.block, prepend=-1))
+        self.highest = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.highest_block = self.block[first]
+        self.highest_begin = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _gather(begin: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all entries of the terms, and for each the query's weight."""
+        size = begin[terms + 1] - begin[terms]
+        return np.repeat(begin[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum()), np.repeat(weights, size)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest cosine above 0 and their cosines. The ``first`` blocks of the
         highest bounds are read; after them only those whose bound is above the k-th cosine found. Of
         examples at the same cosine as the k-th, those already found are taken."""
-        bound = weights @ self.highest[terms]
-        listed, weighted = terms.tolist(), weights.tolist()
-        read = np.zeros(len(bound), bool)
+        at, weight = self._gather(self.highest_begin, terms, weights)
+        bound = np.bincount(self.highest_block[at], weight * self.highest[at], minlength=self.blocks)
+        at, weight = self._gather(self.begin, terms, weights)
+        block = self.block[at]
+
+        def cosines(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = blocks[block]
+            sums = np.bincount(self.example[at[own]], weight[own] * self.weight[at[own]], minlength=self.n)
+            hit = np.flatnonzero(sums > 0)
+            return hit, sums[hit]
+
+        read = np.zeros(self.blocks, bool)
         read[np.argsort(-bound, kind="stable")[:first]] = True
-        found, cosine = self._cosines(listed, weighted, read)
+        found, cosine = cosines(read)
         floor = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
         rest = ~read & (bound > floor + 1e-12)
         if rest.any():
-            more, its = self._cosines(listed, weighted, rest)
+            more, its = cosines(rest)
             found, cosine = np.concatenate([found, more]), np.concatenate([cosine, its])
         # sums of equal vectors may differ in the last bits; they tie
         best = np.lexsort((found, -np.round(cosine, 12)))[:k]
         return found[best], cosine[best]
 
 
-def unit(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = idf[terms]
+def unit(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(tf)) * idf[terms]
     return w / math.sqrt(float(w @ w))
 
 
@@ -192,24 +187,24 @@ def _score(model: dict, evidence: int):
         index, idf, y, vote, k = model["index"], model["idf"], model["y"], model["vote"], model["k"]
         for batch in batches:
             scores, shown = [], []
-            for t in batch.column("term").to_pylist():
+            for t, tf in zip(batch.column("term").to_pylist(), batch.column("tf").to_pylist()):
                 t = np.array(t)
-                near, cosine = index.nearest(t, unit(t, idf), k)
+                near, cosine = index.nearest(t, unit(t, np.array(tf), idf), k)
                 weight = (cosine / cosine[:1]) ** 4 * vote[near]
                 scores.append(float((weight @ y[near] + PRIOR * model["rate"]) / (weight.sum() + PRIOR)))
                 shown.append([(model["ids"][i], float(c), int(y[i])) for i, c in zip(near[:evidence], cosine)])
-            cols = [batch.column("term"), pa.array(scores, pa.float64())]
+            cols = [batch.column("term"), batch.column("tf"), pa.array(scores, pa.float64())]
             if evidence:
                 struct = pa.struct([("id", model["id_type"]), ("cosine", pa.float64()), ("toxic", pa.int32())])
                 cols.append(pa.array([[dict(zip(("id", "cosine", "toxic"), e)) for e in x] for x in shown], pa.list_(struct)))
-            yield pa.record_batch(cols, names=["term", "score", "evidence"][: len(cols)])
+            yield pa.record_batch(cols, names=["term", "tf", "score", "evidence"][: len(cols)])
 
     return run
 
 
 def score(
     docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    examples: int = 10_000, terms: int = 1024, width: int = 24, min_toxic: int = 2, lift: float = 1.5, prefix: int = 4, k: int = 24, evidence: int = 0, chunk_bytes: int = 8 << 20,
+    examples: int = 10_000, min_toxic: int = 2, lift: float = 1.5, prefix: int = 4, k: int = 24, evidence: int = 0, chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(id, score) of every text, and with ``evidence`` > 0 the nearest examples: id, cosine and label.
 
@@ -226,22 +221,23 @@ def score(
     chosen = marked.where("y = 1").orderBy(*order).limit(examples).unionByName(marked.where("y = 0").orderBy(*order).limit(examples))
     # at most 2 * examples rows of an id and a label: bounded, whatever the corpus
     bank = F.broadcast(common.materialise(chosen, "toxic-examples"))
-    known = rows.join(bank, "id").select("id", "text", "y")
+    # copies of a text would make all its words speak for the label; 2 * examples texts at most
+    known = common.materialise(rows.join(bank, "id").where("text is not null").groupBy("text").agg(F.max("y").alias("y")), "toxic-texts")
     seen = known.select("text", "y").mapInArrow(_evidence(prefix, chunk_bytes), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    size, sampled_toxic = bank.agg(F.count(F.lit(1)), F.sum("y")).first()
-    strength = ratio(F.col("toxic"), F.col("n"), int(sampled_toxic or 0), size)
-    usual = min((sampled_toxic or 0) / max(size or 1, 1), 0.9 / lift)
+    size, sampled_toxic = known.agg(F.count(F.lit(1)), F.sum("y")).first()
+    strength = ratio(F.col("toxic"), F.col("n"), int(sampled_toxic or 0), max(size, 1))
+    usual = min((sampled_toxic or 0) / max(size, 1), 0.9 / lift)
     candidates = common.materialise(seen.where((F.col("toxic") >= min_toxic) & (F.col("toxic") >= lift * usual * F.col("n"))).select("term", strength.alias("g")), "toxic-terms")
     chance = 2 * math.log(max(candidates.count(), 2))
-    best = candidates.where(F.col("g") > chance).orderBy(F.desc("g"), F.length("term"), "term").limit(terms)
-    names = {r.term: i for i, r in enumerate(best.select("term").collect())}
-    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, width, chunk_bytes), f"id {kind}, term array<int>"), "toxic-vectors")
-    n_docs, df = rows.count(), np.zeros(max(len(names), 1) * LEVELS)
-    for i, n in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # LEVELS * ``terms`` rows at most
+    best = candidates.where(F.col("g") > chance).orderBy(F.desc("g"), F.length("term"), "term")
+    names = {r.term: i for i, r in enumerate(best.select("term").collect())}  # terms of 2 * examples texts at most
+    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, chunk_bytes), f"id {kind}, term array<int>, tf array<int>"), "toxic-vectors")
+    n_docs, df = rows.count(), np.zeros(max(len(names), 1))
+    for i, n in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # a row for a chosen term
         df[i] = n
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     found = sorted(vectors.join(bank, "id").dropDuplicates(["id"]).collect(), key=lambda r: str(r.id))  # 2 * examples at most
-    units = [dict(zip(r.term, unit(np.array(r.term), idf).tolist())) if r.term else {} for r in found]
+    units = [dict(zip(r.term, unit(np.array(r.term), np.array(r.tf), idf).tolist())) if r.term else {} for r in found]
     place = sorted(range(len(found)), key=lambda i: sorted(units[i].items(), key=lambda x: (-x[1], x[0]))[:3])
     y = np.array([found[i].y for i in place], np.float64)
     rate = toxic / total
@@ -261,8 +257,8 @@ def score(
         yield from _score(sent.value, evidence)(batches)
 
     # a vector is looked up once, however many texts have it; texts without terms need no search
-    distinct = vectors.where(F.size("term") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("texts")).select("term")
-    judged = common.materialise(distinct.mapInArrow(run, "term array<int>, score double" + f", evidence {shown}" * bool(evidence)), "toxic-scores")
+    distinct = vectors.where(F.size("term") > 0).select("term", "tf").distinct()
+    judged = common.materialise(distinct.mapInArrow(run, "term array<int>, tf array<int>, score double" + f", evidence {shown}" * bool(evidence)), "toxic-scores")
     columns = ["id", "score", "evidence"] if evidence else ["id", "score"]
     bare_rows = vectors.where(F.size("term") == 0).select("id", F.lit(model["empty"]).alias("score"), F.array().cast(shown).alias("evidence"))
-    return vectors.where(F.size("term") > 0).join(judged, "term").select(*columns).unionByName(bare_rows.select(*columns))
+    return vectors.where(F.size("term") > 0).join(judged, ["term", "tf"]).select(*columns).unionByName(bare_rows.select(*columns))
