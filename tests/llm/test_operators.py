@@ -370,6 +370,15 @@ def test_toxicity_vectors_are_whole(spark):
     assert got[300] == got[100]
 
 
+def test_toxicity_lift_does_not_depend_on_the_sample(spark):
+    # a tenth is toxic; "weak" doubles the rate: 0.2 in all texts, 0.69 in a sample of as many of either class
+    rows = [(i, f"plain words {i}" + " weak" * (i % 10 == 0 and i % 100 > 0 or i % 10 in (1, 2, 3, 4)), int(i % 10 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for examples in (200, 10_000):
+        got = {r.id: r.score for r in toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), examples=examples).collect()}
+        assert got[10] > 1.3 * got[5], examples
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline

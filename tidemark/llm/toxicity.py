@@ -5,7 +5,7 @@ many, and a star), which carry over to inflected forms and compounds; of those o
 strongest chosen one counts. Terms that speak for the label are chosen on a bounded
 sample of labelled rows (``examples`` of either class, those with the smallest hash of their id), where
 copies of an equal text count once, by the log-likelihood ratio, among those whose texts are toxic
-``lift`` times as often as texts are; the ratio must exceed what chance gives the best of so many
+``lift`` times as often as labelled texts are (sampled counts weighted back to all labelled rows); the ratio must exceed what chance gives the best of so many
 candidates (2 ln of their number). All of them are taken. Document frequencies of these terms are counted
 over all documents. A text's vector holds every chosen term that occurs anywhere in it, with
 (1 + ln of its occurrences) times its idf, and has length one. Terms that do not speak for the label are
@@ -226,8 +226,14 @@ def score(
     seen = known.select("text", "y").mapInArrow(_evidence(prefix, chunk_bytes), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     size, sampled_toxic = known.agg(F.count(F.lit(1)), F.sum("y")).first()
     strength = ratio(F.col("toxic"), F.col("n"), int(sampled_toxic or 0), max(size, 1))
-    usual = min((sampled_toxic or 0) / max(size, 1), 0.9 / lift)
-    candidates = common.materialise(seen.where((F.col("toxic") >= min_toxic) & (F.col("toxic") >= lift * usual * F.col("n"))).select("term", strength.alias("g")), "toxic-terms")
+    # either class counts by the inverse of its sampling rate for the lift, so that it asks for the same share of
+    # the labelled texts whether or not ``examples`` cuts a class; chance is judged by the counts as they were drawn
+    drawn = [max(min(n, examples), 1) for n in (toxic, total - toxic)]
+    w1, w0 = toxic / drawn[0], (total - toxic) / drawn[1]
+    s1 = int(sampled_toxic or 0) * w1
+    usual = min(s1 / max(s1 + (size - int(sampled_toxic or 0)) * w0, 1e-9), 0.9 / lift)
+    weighted = F.col("toxic") * w1 + (F.col("n") - F.col("toxic")) * w0
+    candidates = common.materialise(seen.where((F.col("toxic") >= min_toxic) & (F.col("toxic") * w1 >= lift * usual * weighted)).select("term", strength.alias("g")), "toxic-terms")
     chance = 2 * math.log(max(candidates.count(), 2))
     best = candidates.where(F.col("g") > chance).orderBy(F.desc("g"), F.length("term"), "term")
     names = {r.term: i for i, r in enumerate(best.select("term").collect())}  # terms of 2 * examples texts at most
