@@ -302,6 +302,23 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embeddings_that_are_all_close(spark):
+    rng = np.random.default_rng(7)
+    group = rng.normal(size=16) + rng.normal(scale=0.05, size=(300, 16))  # pivots: one
+    common_part = 2 * np.eye(24)[0] + rng.normal(scale=0.16, size=(100, 24))
+    common_part[50:] = common_part[:50] + rng.normal(scale=0.01, size=(50, 24))
+    pair = rng.normal(size=8) + rng.normal(scale=0.01, size=(2, 8))
+    vectors = [*group, *common_part, *pair]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    want = Counter()
+    for start, part in ((0, group), (300, common_part), (400, pair)):
+        u = part / np.linalg.norm(part, axis=1)[:, None]
+        want.update({start + i: int(n) for i, n in enumerate((u @ u.T >= 0.93).sum(1) - 1)})
+    assert want[0] > 100 and want[300] >= 1 and want[401] == 1
+    for options in ({}, {"tile": 64}):
+        assert {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, **options).collect()} == dict(want)
+
+
 @needs_data
 def test_quality_on_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))

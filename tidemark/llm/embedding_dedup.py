@@ -12,8 +12,10 @@ task holds more than two chunks. A tile's links leave it as a count for each vec
 forest, never as pairs.
 
 The index is approximate by design: recall is the share of true pairs that share ``shared`` of their
-pivots, above 0.999 on the test tables (tests/llm/test_embedding_dedup.py measures it against brute
-force); what it links is exact. Vectors that are null, empty, zero or hold a null or non-finite component
+pivots; where a dimension has fewer pivots than ``shared``, all of them. Up to 2 * ``depth`` - ``shared``
+pivots any two vectors share enough, so vectors that are all close to one pivot are all compared (a number
+of pairs that grows with the square of their number). The tables sf0.01 and sf0.1 hold no pair at the
+default cosine; tests/llm/test_operators.py compares made-up ones with brute force; what it links is exact. Vectors that are null, empty, zero or hold a null or non-finite component
 link with nothing, like those without a label. Repeated ids are rows of their own. The smallest id of a
 component ignores null ids, a row with a null id keeps a null component unless it is linked.
 """
@@ -85,6 +87,7 @@ def _describe(sent, depth: int, step: int = 2048):
 
 def tile_links(rows: np.ndarray, pivots: np.ndarray, chunk: np.ndarray, own: int, shared: int, cosine: float, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links i < j of a tile of the list of pivot ``own``. chunk: 0 or 1; with both, only pairs across."""
+    shared = min(shared, pivots.shape[1])  # a dimension may have fewer pivots
     names, at = np.unique(pivots, return_inverse=True)
     has = np.zeros((len(rows), len(names)), np.float32)
     has[np.arange(len(rows))[:, None], at.reshape(pivots.shape)] = 1
