@@ -5,13 +5,14 @@ the next one's ``docs``. All but the last return the columns of ``docs``:
 
 * toxicity: drops documents that score 0.7 or more by their nearest labelled examples;
 * quality: drops documents that score below 0.3 by the positive-unlabelled classifier;
-* simhash_near_dedup: keeps the document with the smallest id of each group of near-duplicates;
+* simhash_near_dedup: keeps one document of each group of near-duplicates, that with the smallest id (nulls last);
 * mixing: repeats or leaves out documents, whole, as the mix of sources takes them, in curriculum order;
 * bpe: ids and decoded text of every document left, with its id and source.
 
 Labels come from ``sf_dir``; the classifiers learn from the same rows as op2 and op9, found among the
 documents that reach the stage. Labels are by id, so rows without an id are judged but teach nothing.
-Rows with a null id are kept by the stages that drop by id, except where an equal text has an id.
+Each stage gives its rows keys of their own and decides by them, so rows whose ids are null or repeated are
+judged one by one.
 """
 
 from __future__ import annotations
@@ -29,25 +30,30 @@ ORACLE_SQL = None
 
 
 def _drop(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in ``rejected`` (id). Ids are narrow: the texts are only moved
-    where the rejected ids are too many for a broadcast."""
-    return docs.join(rejected.where("id is not null").distinct(), docs["doc_id"] == rejected["id"], "left_anti")
+    """Keyed docs without the rows whose key is in ``rejected``. Keys are narrow: the texts are only moved
+    where the rejected rows are too many for a broadcast."""
+    return docs.join(rejected, common.ROW, "left_anti").drop(common.ROW)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxic_votes.score(docs, table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 3) != 1)
-    return _drop(docs, common.materialise(scored.where("score >= 0.7").select("id"), "pipeline-toxic"))
+    docs = common.keyed(docs, "toxicity-docs")
+    scored = toxic_votes.score(docs, table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 3) != 1, key_col=common.ROW)
+    return _drop(docs, common.materialise(scored.where("score >= 0.7").select(F.col("key").alias(common.ROW)), "pipeline-toxic"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = common.keyed(docs, "quality-docs")
     good = quality.trusted(table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 5) != 0)
-    scored = quality.score(docs, quality.train(docs, good))
-    return _drop(docs, common.materialise(scored.where("score < 0.3").select("id"), "pipeline-bad"))
+    scored = quality.score(docs, quality.train(docs, good), id_col=common.ROW)
+    return _drop(docs, common.materialise(scored.where("score < 0.3").select(F.col("id").alias(common.ROW)), "pipeline-bad"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(docs)
-    return _drop(docs, common.materialise(groups.where("id != component_id").select("id"), "pipeline-copies"))
+    docs = common.keyed(docs, "simhash-docs")
+    groups = simhash.simhash_groups(docs, id_col=common.ROW).select(F.col("id").alias(common.ROW), "component_id")
+    groups = common.materialise(groups.join(docs.select(common.ROW, "doc_id"), common.ROW), "pipeline-groups")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(common.ROW))).alias("m")).select(F.col(f"m.{common.ROW}").alias(common.ROW))
+    return _drop(docs, common.materialise(groups.join(kept, common.ROW, "left_anti").select(common.ROW), "pipeline-copies"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -413,6 +413,28 @@ def test_pipeline(spark):
     assert encoded.count() == docs.count()
 
 
+def test_pipeline_decides_by_row(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    df = spark.createDataFrame([(None, a), (None, a), (1, b), (1, b), (2, b), (None, c), (3, c), (4, d), (4, a + " x")], "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = [tuple(r) for r in corpus_pipeline.simhash_near_dedup(spark, df, "").select("doc_id", "text").collect()]
+    assert sorted(t for _, t in got if t in (a, b, c, d)) == sorted([a, b, c, d]) or sorted(t for _, t in got) == sorted([a + " x", b, c, d])
+    assert (1, b) in got and (3, c) in got
+    taken = mixing.plan(df).where("taken > 0").groupBy("id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("n")).collect()
+    assert sum(r.n for r in taken if r.id is None) > 0
+    counts = Counter(r.doc_id for r in mixing.copies(df).collect())
+    assert counts == Counter({r.id: r.n for r in taken})
+    # a clean text that shares the id of a toxic one stays, a toxic one without an id goes
+    rows = [(i, text() + " badword nasty" * (i % 4 == 0)) for i in range(200)] + [(0, b), (None, "badword nasty"), (None, c)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 200)], "doc_id long, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    left = [r.text for r in corpus_pipeline.toxicity(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert b in left and c in left and not [t for t in left if "badword" in t] and len(left) == 152
+
+
 def test_nulls_and_clashing_columns(spark):
     rows = spark.createDataFrame([(None, None, None, None, None, 1.0, 5, "x"), (1, "a b c d", "en", None, 7, None, None, None)], DOCS)
     assert lm_scoring.score_texts(rows, common.remainder(F.col("doc_id"), 5) != 1).count() == 2

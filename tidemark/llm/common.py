@@ -50,6 +50,15 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key of one row, whatever its columns hold.
+ROW = "_row"
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a unique key of each row in column ``ROW``, written so that every reader sees the same keys."""
+    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text (remainder 0)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -70,12 +70,14 @@ def position(offset: Column, target: Column, rank: Column, schedules: tuple[tupl
     return out
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, key_col: str | None = None) -> DataFrame:
     """(id, size, source, source_size, target, start, taken, position), range-sorted by position; documents
-    that are not taken come last and have none. start: words of the source's stream before the document."""
+    that are not taken come last and have none. start: words of the source's stream before the document.
+    key_col: a unique column that is passed on as ``row``."""
+    carry = ["row"] if key_col else []
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text_col, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(key_col).alias("row")] if key_col else []),
     ).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     rows = common.materialise(rows, "mix-rows")
@@ -84,25 +86,24 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
     offsets = offsets.select("key", "bucket", "ahead").join(targets.select("key", "source_size", "target", "rank"), "key")
-    within = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("h", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["key", "bucket"])
     start = F.col("ahead") + F.col("inside")
     goal = F.floor("target")
     taken = sum(F.greatest(F.least(goal - start - epoch * F.col("source_size"), F.col("size")), F.lit(0)) for epoch in range(repeats))
     placed = placed.withColumn("start", start).withColumn("taken", taken.cast("long"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("target"), F.col("rank"))))
-    placed = common.materialise(placed.select("id", "size", "source", "source_size", "target", "start", "taken", "rank", "position"), "mix-placed")
+    placed = common.materialise(placed.select("id", *carry, "size", "source", "source_size", "target", "start", "taken", "rank", "position"), "mix-placed")
     return placed.repartitionByRange(F.col("position").asc_nulls_last(), F.col("id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "id")
 
 
 def copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch, whole, in the order of their positions.
-    Rows that share an id are taken as the first of them in the stream is."""
-    planned = plan(docs, id_col=id_col, **options).where("taken > 0")
-    times = planned.groupBy("id").agg(
-        F.min(F.struct("start", F.ceil(F.col("taken") / F.col("size")).alias("times"), "target", "rank", "source_size")).alias("p")
-    ).select(F.col("id").alias("_id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("p.times").cast("int") - 1), lambda e: F.struct(
-        (F.col("p.start") + e * F.col("p.source_size")).cast("double").alias("offset"), F.col("p.target").alias("target"), F.col("p.rank").alias("rank")))).alias("o"))
-    times = times.select("_id", position(F.col("o.offset"), F.col("o.target"), F.col("o.rank")).alias("_position"))
-    mixed = common.materialise(docs.join(times, docs[id_col] == times["_id"]).drop("_id"), "mix-copies")
+    Each row is taken as it stands in the stream, whether its id is null, repeated or its own."""
+    docs = common.keyed(docs, "mix-docs")
+    planned = plan(docs, id_col=id_col, key_col=common.ROW, **options).where("taken > 0")
+    times = planned.select(F.col("row").alias(common.ROW), F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1), lambda e: F.struct(
+        (F.col("start") + e * F.col("source_size")).cast("double").alias("offset"), F.col("target").alias("target"), F.col("rank").alias("rank")))).alias("o"))
+    times = times.select(common.ROW, position(F.col("o.offset"), F.col("o.target"), F.col("o.rank")).alias("_position"))
+    mixed = common.materialise(docs.join(times, common.ROW).drop(common.ROW), "mix-copies")
     return mixed.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")

@@ -111,7 +111,8 @@ def _vectors(terms: dict[str, int], prefix: int, chunk_bytes: int):
                 text, term, tf, _ = vectoriser.counts(part.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf)]
-                yield pa.record_batch([part.column("id"), *lists], names=["id", "term", "tf"])
+                others = [c for c in part.schema.names if c != "text"]
+                yield pa.record_batch([*(part.column(c) for c in others), *lists], names=[*others, "term", "tf"])
 
     return run
 
@@ -204,18 +205,20 @@ def _score(model: dict, evidence: int):
 
 def score(
     docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    examples: int = 10_000, min_toxic: int = 2, lift: float = 1.5, prefix: int = 4, k: int = 24, evidence: int = 0, chunk_bytes: int = 8 << 20,
+    examples: int = 10_000, min_toxic: int = 2, lift: float = 1.5, prefix: int = 4, k: int = 24, evidence: int = 0, chunk_bytes: int = 8 << 20, key_col: str | None = None,
 ) -> DataFrame:
     """(id, score) of every text, and with ``evidence`` > 0 the nearest examples: id, cosine and label.
 
     labels: (id_col, label_col); only rows for which ``learn`` (on id_col) holds are looked at.
+    key_col: a long column that is passed on as ``key``, for rows whose ids are null or repeated.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carry = ["key"] if key_col else []
+    rows = docs.select(F.col(id_col).alias("id"), *([F.col(key_col).alias("key")] if key_col else []), F.col(text_col).alias("text"))
     marked = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("id"), F.col(label_col).alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     total, toxic = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not total:
-        empty = rows.select("id", F.lit(0.5).alias("score"))
+        empty = rows.select("id", *carry, F.lit(0.5).alias("score"))
         return empty.withColumn("evidence", F.array().cast(f"array<struct<id:{kind},cosine:double,toxic:int>>")) if evidence else empty
     order = [F.xxhash64(F.col("id").cast("string"), F.lit("examples")), F.col("id")]
     chosen = marked.where("y = 1").orderBy(*order).limit(examples).unionByName(marked.where("y = 0").orderBy(*order).limit(examples))
@@ -237,7 +240,7 @@ def score(
     chance = 2 * math.log(max(candidates.count(), 2))
     best = candidates.where(F.col("g") > chance).orderBy(F.desc("g"), F.length("term"), "term")
     names = {r.term: i for i, r in enumerate(best.select("term").collect())}  # terms of 2 * examples texts at most
-    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, chunk_bytes), f"id {kind}, term array<int>, tf array<int>"), "toxic-vectors")
+    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, chunk_bytes), f"id {kind}, " + "key long, " * bool(key_col) + "term array<int>, tf array<int>"), "toxic-vectors")
     n_docs, df = rows.count(), np.zeros(max(len(names), 1))
     for i, n in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # a row for a chosen term
         df[i] = n
@@ -265,6 +268,6 @@ def score(
     # a vector is looked up once, however many texts have it; texts without terms need no search
     distinct = vectors.where(F.size("term") > 0).select("term", "tf").distinct()
     judged = common.materialise(distinct.mapInArrow(run, "term array<int>, tf array<int>, score double" + f", evidence {shown}" * bool(evidence)), "toxic-scores")
-    columns = ["id", "score", "evidence"] if evidence else ["id", "score"]
-    bare_rows = vectors.where(F.size("term") == 0).select("id", F.lit(model["empty"]).alias("score"), F.array().cast(shown).alias("evidence"))
+    columns = ["id", *carry, "score", *(["evidence"] if evidence else [])]
+    bare_rows = vectors.where(F.size("term") == 0).select("id", *carry, F.lit(model["empty"]).alias("score"), F.array().cast(shown).alias("evidence"))
     return vectors.where(F.size("term") > 0).join(judged, ["term", "tf"]).select(*columns).unionByName(bare_rows.select(*columns))
