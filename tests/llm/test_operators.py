@@ -207,6 +207,18 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x00])).size == 417  # 128 kbit/s at 44.1 kHz
 
 
+def test_mpeg_payload_like_a_tag(spark):
+    for size in (100, 128, 900, 937, 2000):
+        for at in range(size - 2):
+            payload = mpeg_audio.padded(b"x" * at + b"TAG" + b"y" * (size - at - 3))
+            stream = mpeg_audio.build(payload)
+            found = mpeg_audio.probe(stream)
+            assert mpeg_audio.payload_of(stream, found) == payload and found.vbr_frames == len(found.offsets)
+    cut = spark.createDataFrame([(1, 3, bytearray(mpeg_audio.build(bytes(2000))[:700]))], "id long, n_bytes long, media binary")
+    with pytest.raises(Exception, match="shorter than its tagged length"):
+        mpeg_audio.digests(cut).collect()
+
+
 def test_warc(spark):
     big = "x" * 1500
     pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "http://d/\r\n", "small"), (5, "", None), (None, "u", big), (7, "u", "é" * 700)]

@@ -227,6 +227,10 @@ def _id3(text: dict[str, str]) -> bytes:
     return b"ID3\4\0\0" + safe(len(body)) + body
 
 
+#: The empty frame that ends every stream of :func:`build`: no payload byte lies where an ID3v1 tag would.
+_TRAILER = _LEADS[64].tobytes().ljust(3 * 64, b"\0")
+
+
 def build(payload: bytes) -> bytes:
     """A stream that holds ``payload`` in the ancillary data of its frames."""
     largest = BITRATES[True, 3][-1]
@@ -239,10 +243,10 @@ def build(payload: bytes) -> bytes:
     if rest:
         kbit = next(k for k in BITRATES[True, 3][1:] if 3 * k - LEAD >= rest)
         last = (_LEADS[kbit].tobytes() + payload[full * room :]).ljust(3 * kbit, b"\0")
-    body = frames.tobytes() + last
-    n, lead = full + bool(rest), _LEADS[64].tobytes()
+    body = frames.tobytes() + last + _TRAILER
+    n, lead = full + bool(rest) + 1, _LEADS[64].tobytes()
     total = 3 * 64 + len(body)
-    toc = bytes(min(255, 256 * (3 * 64 + min(i * n // 100, full) * 3 * largest) // total) for i in range(100))
+    toc = bytes(min(255, 256 * (3 * 64 + min(i * n // 100, full) * 3 * largest + len(last) * (i * n // 100 > full)) // total) for i in range(100))
     table = b"Xing" + struct.pack(">III", 7, n, total) + toc
     return _id3({"payload_bytes": str(len(payload))}) + (lead + table).ljust(3 * 64, b"\0") + body
 
@@ -292,6 +296,8 @@ def _digests(chunk_bytes: int):
                     data = data.as_buffer().to_pybytes()
                     stream = probe(data)
                     payload = payload_of(data, stream)
+                    if len(payload) < int(stream.tags.get("TXXX:payload_bytes", "0")):
+                        raise ValueError("the payload read back is shorter than its tagged length")
                     out.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature(stream)))
                 made = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
                 yield pa.record_batch([part.column("id"), part.column("n_bytes"), *made], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
