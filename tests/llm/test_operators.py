@@ -219,6 +219,13 @@ def test_mpeg_payload_like_a_tag(spark):
         mpeg_audio.digests(cut).collect()
 
 
+def test_lm_rare_words_are_states(spark):
+    rows = [(i, t) for i, t in enumerate(["rare word follows", "rare word follows", "other text here"])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), common.remainder(F.col("doc_id"), 5) != 1).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == lm_brute(rows, lambda r: not held(r[0]), 1)
+
+
 def test_warc(spark):
     big = "x" * 1500
     pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "http://d/\r\n", "small"), (5, "", None), (None, "u", big), (7, "u", "é" * 700)]

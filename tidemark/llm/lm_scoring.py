@@ -247,7 +247,7 @@ def _sum_stats(answers: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", state_min: int = 8, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", state_min: int = 1, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """Score every text by a model of the texts for which ``train`` holds (null counts as false).
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. ``state_min``: words
