@@ -52,65 +52,6 @@ def test_words_of_slices():
         assert counts.tolist() == [len(w) for w in want] and [x.encode() for x in found.to_pylist()] == [w for ws in want for w in ws]
 
 
-def lm_brute(rows, train_of, state_min):
-    tokens = {i: [*words(r[1]), b" "] for i, r in enumerate(rows)}
-    train = [i for i, r in enumerate(rows) if train_of(r)]
-    c = Counter(t for i in train for t in tokens[i])
-    pairs, hist = Counter(), Counter({None: len(train)})
-    for i in train:
-        before = None
-        for t in tokens[i]:
-            pairs[before, t] += 1
-            before = t
-    hist.update(c)
-    total, vocab = sum(c.values()), len(c)
-    n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
-    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.05), 0.95)
-    b = lambda h: int(math.log2(hist[h]))
-    new, seen = Counter(), Counter()
-    for (h, t), n in pairs.items():
-        if hist[h] >= state_min:
-            new[b(h)] += n == 1
-            seen[b(h)] += n
-    out = []
-    for i in range(len(rows)):
-        base = score = 0.0
-        before = None
-        for t in tokens[i]:
-            base += math.log10((c[t] + 0.5) / (total + 0.5 * (vocab + 1)))
-            p = (c[t] - d) / total if c[t] else (d * vocab / total if total else 1.0)
-            if hist[before] >= state_min:
-                e = min(max(new[b(before)] / max(seen[b(before)], 1), 1e-3), 0.999)
-                p = (1 - e) * pairs[before, t] / hist[before] + e * p
-            score += math.log10(p)
-            before = t
-        out.append((rows[i][0], not train_of(rows[i]), len(tokens[i]), sum(c[t] > 0 for t in tokens[i]), total, round(base, 6), round(score, 6)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
-def test_lm_scoring(spark, docs, block_bytes):
-    rows, df = docs
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    got = lm_scoring.score_texts(df, common.remainder(F.col("doc_id"), 5) != 1, state_min=3, block_bytes=block_bytes, shard_bytes=1000).collect()
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == lm_brute(rows, lambda r: not held(r[0]), 3)
-
-
-def test_lm_sums_to_one():
-    counts = np.array([5, 3, 1, 0])
-    automaton = lm_scoring.BackoffAutomaton(counts, 9, 3, 0.5, np.full(64, 0.2), 2)
-    codes = np.arange(4)
-    assert np.isclose((10 ** automaton.traverse(codes, np.zeros(4, int), np.zeros(4, int))).sum(), 1)
-    assert np.isclose((10 ** automaton.traverse(codes, np.full(4, 5), np.array([2, 3, 0, 0]))).sum(), 1)
-
-
-def test_lm_empty_and_untrained(spark):
-    empty = spark.createDataFrame([], DOCS)
-    assert lm_scoring.score_texts(empty, F.lit(True)).count() == 0
-    row = lm_scoring.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).first()
-    assert (row.train_tokens, row.n_known, row.score, row.base_score) == (0, 0, 0.0, 0.0)
-
-
 def test_simhash(spark, docs):
     rows, df = docs
     fp = {}
@@ -219,13 +160,6 @@ def test_mpeg_payload_like_a_tag(spark):
         mpeg_audio.digests(cut).collect()
 
 
-def test_lm_rare_words_are_states(spark):
-    rows = [(i, t) for i, t in enumerate(["rare word follows", "rare word follows", "other text here"])]
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), common.remainder(F.col("doc_id"), 5) != 1).collect()
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == lm_brute(rows, lambda r: not held(r[0]), 1)
-
-
 def test_warc(spark):
     big = "x" * 1500
     pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "http://d/\r\n", "small"), (5, "", None), (None, "u", big), (7, "u", "é" * 700)]
@@ -286,8 +220,31 @@ def test_mixing(spark, docs):
     for s in order:
         assert target[s] == pytest.approx(level * weight[s] if s in open_ else 2 * sizes[s])
         assert taken[s] == math.floor(target[s])
-    assert sum(r.n for r in mixing.copies(df).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()) >= sum(r.taken > 0 for r in got) - 1
-    assert mixing.plan(df.limit(0)).count() == 0
+    want = Counter()
+    for r in got:
+        want[r.id] += -(-r.taken // r.size) if r.taken else 0
+    assert Counter(r.doc_id for r in mixing.copies(df).collect()) == +want
+    assert mixing.plan(df.limit(0)).count() == 0 and mixing.copies(df.limit(0)).count() == 0
+
+
+def test_mixing_rows_without_ids_and_clashing_names(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 3 else i // 7, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 30))), f"s{i % 2}", i, f"k{i}", i * 0.5, "x") for i in range(120)]
+    rows += [rows[1]] * 40  # one row, many times
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, position long, key string, _position double, `h.x` string").repartition(4)
+    planned = mixing.plan(df).collect()
+    assert len(planned) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in planned)
+    got = mixing.copies(df)
+    assert got.columns == df.columns
+    want = Counter()
+    for r in planned:
+        want[r.id, r.size] += -(-r.taken // r.size) if r.taken else 0
+    found = [tuple(r) for r in got.collect()]
+    assert Counter((r[0], len(r[1].split())) for r in found) == +want and set(found) <= set(rows)
+    assert max(Counter(r[3] for r in found if r[3] != 1).values()) <= 2 and sorted(found, key=str) == sorted(map(tuple, mixing.copies(df.repartition(3)).collect()), key=str)
+    # in order of position: the share of an early source falls over the run
+    early = [r[2] == "s0" for r in found]
+    assert sum(early[: len(early) // 2]) > sum(early[len(early) // 2 :])
 
 
 def test_position_inverts_the_schedule(spark):
