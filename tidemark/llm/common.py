@@ -8,6 +8,7 @@ share, so a lost executor costs a re-read and never a recomputation of the whole
 from __future__ import annotations
 
 import json
+import re
 import struct
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; Hadoop removes it when the driver's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/tidemark-shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tidemark-shared"  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,8 +59,12 @@ ROW = "_row"
 
 
 def keyed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a unique key of each row in column ``ROW``, written so that every reader sees the same keys."""
-    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """``df`` with a unique text key of each row in column ``ROW``, the same for every reader: of rows of files
+    the file and the place in it, any others are written with a number first."""
+    try:
+        return df.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(ROW))
+    except AnalysisException:  # the rows don't come from files that number them
+        return materialise(df.withColumn(ROW, F.monotonically_increasing_id().cast("string")), name)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -13,12 +13,15 @@ schedule of weights over phases of the training run; its integral up to time t i
 source by then, and inverting it at the words that precede a document in the stream gives the document's
 training position between 0 and 1. Documents are then range-sorted by position.
 
-Execution. The running sums have two levels, (source, hash bucket) and then rows of a bucket, so a
-source that holds a third of all rows is spread over all tasks. Everything is DataFrame expressions; only
-narrow rows (id, source, size) are shuffled.
+Execution. The order is that of a hash of id and text, so rows without an id are spread like others. Rows
+that are equal in both and in source are one class with a count before anything is shuffled. The running sums
+have two levels, (source, hash bucket) and then classes of a bucket, so a source that holds a third of all
+rows is spread over all tasks. Everything is DataFrame expressions; only narrow rows (id, source, size) are
+shuffled for the plan. ``copies`` moves each text twice: to its class, and to its range of positions.
 
 Null texts have size 0 and are never taken. A null source is a source, the last one. Repeated rows are
-documents of their own. With no words at all every target is 0.
+documents of their own. With no words at all every target is 0; an empty table gives no rows. Columns of any
+name are kept.
 """
 
 from __future__ import annotations
@@ -70,40 +73,55 @@ def position(offset: Column, target: Column, rank: Column, schedules: tuple[tupl
     return out
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, key_col: str | None = None) -> DataFrame:
-    """(id, size, source, source_size, target, start, taken, position), range-sorted by position; documents
-    that are not taken come last and have none. start: words of the source's stream before the document.
-    key_col: a unique column that is passed on as ``row``."""
-    carry = ["row"] if key_col else []
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(key_col).alias("row")] if key_col else []),
-    ).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    rows = common.materialise(rows, "mix-rows")
-    buckets = common.materialise(rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+def _stream(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Columns key (the source, told apart from null), h (place in its stream) and size of each row of docs."""
+    source = F.col(source_col).cast("string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("key"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text).cast("binary")).alias("h"),
+        F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"), source.alias("source"), F.col(id_col).alias("id"),
+    ]
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, repeats: int) -> DataFrame:
+    """(key, h, id, source, size, n, start, source_size, target, rank, goal): rows of equal id, source and
+    text are one class of n, which take up n times their size of the stream from ``start`` on."""
+    classes = docs.select(_stream(docs, id_col, text_col, source_col)).groupBy("key", "h", "size", "source", "id").agg(F.count(F.lit(1)).alias("n"))
+    classes = common.materialise(classes.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "mix-classes")
+    words = F.col("size") * F.col("n")
+    buckets = common.materialise(classes.groupBy("key", "source", "bucket").agg(F.sum(words).alias("words")), "mix-buckets")
     targets = source_targets(buckets.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, share, repeats)
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
     offsets = offsets.select("key", "bucket", "ahead").join(targets.select("key", "source_size", "target", "rank"), "key")
-    within = Window.partitionBy("key", "bucket").orderBy("h", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["key", "bucket"])
-    start = F.col("ahead") + F.col("inside")
-    goal = F.floor("target")
-    taken = sum(F.greatest(F.least(goal - start - epoch * F.col("source_size"), F.col("size")), F.lit(0)) for epoch in range(repeats))
-    placed = placed.withColumn("start", start).withColumn("taken", taken.cast("long"))
+    within = Window.partitionBy("key", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = classes.withColumn("inside", F.coalesce(F.sum(words).over(within), F.lit(0))).join(offsets, ["key", "bucket"])
+    return placed.withColumn("start", F.col("ahead") + F.col("inside")).withColumn("goal", F.floor("target")).drop("ahead", "inside", "bucket")
+
+
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """(id, size, source, source_size, target, start, taken, position), range-sorted by position; documents
+    that are not taken come last and have none. start: words of the source's stream before the document."""
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, repeats)
+    placed = placed.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("start") + i * F.col("size"))))
+    taken = sum(F.greatest(F.least(F.col("goal") - F.col("start") - epoch * F.col("source_size"), F.col("size")), F.lit(0)) for epoch in range(repeats))
+    placed = placed.withColumn("taken", taken.cast("long"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("target"), F.col("rank"))))
-    placed = common.materialise(placed.select("id", *carry, "size", "source", "source_size", "target", "start", "taken", "rank", "position"), "mix-placed")
+    placed = common.materialise(placed.select("id", "size", "source", "source_size", "target", "start", "taken", "rank", "position"), "mix-placed")
     return placed.repartitionByRange(F.col("position").asc_nulls_last(), F.col("id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "id")
 
 
-def copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch, whole, in the order of their positions.
     Each row is taken as it stands in the stream, whether its id is null, repeated or its own."""
-    docs = common.keyed(docs, "mix-docs")
-    planned = plan(docs, id_col=id_col, key_col=common.ROW, **options).where("taken > 0")
-    times = planned.select(F.col("row").alias(common.ROW), F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1), lambda e: F.struct(
-        (F.col("start") + e * F.col("source_size")).cast("double").alias("offset"), F.col("target").alias("target"), F.col("rank").alias("rank")))).alias("o"))
-    times = times.select(common.ROW, position(F.col("o.offset"), F.col("o.target"), F.col("o.rank")).alias("_position"))
-    mixed = common.materialise(docs.join(times, common.ROW).drop(common.ROW), "mix-copies")
-    return mixed.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")
+    key, h, *_ = _stream(docs, id_col, text_col, source_col)
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, repeats).where((F.col("size") > 0) & (F.col("start") < F.col("goal")))
+    placed = placed.select("key", "h", "n", "size", "start", "goal", "source_size", "target", "rank")
+    # one row of ``placed`` a class of documents: it is as long as ``docs``, so both sides are sorted by the class
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key, h).join(placed.hint("merge"), ["key", "h"])
+    nth = F.row_number().over(Window.partitionBy("key", "h").orderBy(F.xxhash64("doc"))) - 1  # of equal texts of one id
+    rows = rows.withColumn("start", F.col("start") + nth * F.col("size"))
+    epochs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("start") + e * F.col("source_size")), lambda at: at < F.col("goal"))
+    times = rows.select("doc", F.explode(epochs).alias("at"), "target", "rank")
+    mixed = times.select("doc", position(F.col("at").cast("double"), F.col("target"), F.col("rank")).alias("position"))
+    return mixed.repartitionByRange("position", F.col(f"doc.`{id_col}`")).sortWithinPartitions("position", f"doc.`{id_col}`").select("doc.*")

@@ -65,12 +65,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size::DOUBLE * 2 AS cap, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS mix FROM s),
 l AS (SELECT *, (mix - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, least(cap, weight * coalesce((SELECT level FROM l WHERE level <= cap / weight ORDER BY cap / weight, rank LIMIT 1), 0)) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank % 3 AS k, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank % 3 AS k, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 g AS (SELECT *, (greatest(least(floor(target)::BIGINT - start, size), 0) + greatest(least(floor(target)::BIGINT - start - source_size, size), 0))::BIGINT AS taken FROM p),
 u AS (SELECT *, greatest(least(start::DOUBLE / target, 1.0::DOUBLE), 0.0::DOUBLE) AS x FROM g)

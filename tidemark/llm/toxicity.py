@@ -210,7 +210,7 @@ def score(
     """(id, score) of every text, and with ``evidence`` > 0 the nearest examples: id, cosine and label.
 
     labels: (id_col, label_col); only rows for which ``learn`` (on id_col) holds are looked at.
-    key_col: a long column that is passed on as ``key``, for rows whose ids are null or repeated.
+    key_col: a column that is passed on as ``key``, for rows whose ids are null or repeated.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     carry = ["key"] if key_col else []
@@ -240,7 +240,7 @@ def score(
     chance = 2 * math.log(max(candidates.count(), 2))
     best = candidates.where(F.col("g") > chance).orderBy(F.desc("g"), F.length("term"), "term")
     names = {r.term: i for i, r in enumerate(best.select("term").collect())}  # terms of 2 * examples texts at most
-    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, chunk_bytes), f"id {kind}, " + "key long, " * bool(key_col) + "term array<int>, tf array<int>"), "toxic-vectors")
+    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, chunk_bytes), f"id {kind}, " + (f"key {docs.schema[key_col].dataType.simpleString()}, " if key_col else "") + "term array<int>, tf array<int>"), "toxic-vectors")
     n_docs, df = rows.count(), np.zeros(max(len(names), 1))
     for i, n in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # a row for a chosen term
         df[i] = n
