@@ -29,8 +29,8 @@ word or a hot source cannot skew it. Memory is bounded by a block and a shard. O
 the driver: those of words are made by the shards, those of escape weights by the blocks (an n-gram seen once
 in training is seen by one block).
 
-N-grams are told apart by hashes of 64 bits for words, and for longer ones of 20 bits more than it takes to
-number the tokens, so that at any size about one in a million shares its key with another.
+N-grams are told apart by hashes of 64 bits for words, and for longer ones of 18 bits more than it takes to
+number the tokens, so that at any size a few in a million share their key with another.
 
 Null or empty texts are one end token. Without training texts N = V = 0, the unknown word has probability 1.
 Repeated rows count each time. Other columns are ignored. An empty table has no rows to return.
@@ -94,6 +94,7 @@ class Grams:
             first[1:] = ranked[1:] != ranked[:-1]
             index = np.full(len(codes), -1, np.int32)
             index[at[sort]] = np.cumsum(first, dtype=np.int32) - 1
+            del key, low
             one = sort[first]  # one occurrence of each
             self.keys.append(ranked[first])
             self.of.append(index)
@@ -319,6 +320,7 @@ def _requests(folder: str, order: int, bits: int, shards: int, block_bytes: int)
                 if size >= block_bytes:
                     yield from flush()
                     made, held, size = made + 1, [], 0
+                    common.give_back()
         if held:
             yield from flush()
 
@@ -405,12 +407,15 @@ def _score(folder: str, order: int, bits: int, model: dict):
                     ~train, lens, np.add.reduceat((known > 0).astype(np.int64)[codes], begin), np.full(len(lens), model["N"]),
                     np.add.reduceat(base_weight[codes], begin), np.add.reduceat(automaton.traverse(codes, lens), begin),
                 ]
-                yield pa.record_batch([block.ids["id"].combine_chunks(), *map(pa.array, made)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                out = pa.record_batch([block.ids["id"].combine_chunks(), *map(pa.array, made)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del block, automaton, codes, counts, known, made
+                common.give_back()
+                yield out
 
     return run
 
 
-def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, block_bytes: int = 5 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """Score every text by a model of the texts for which ``train`` holds (null counts as false).
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. ``block_bytes``,
@@ -420,15 +425,14 @@ def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size, n, starts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.count_if("train")).first()
-    # a word takes two bytes at least, with the space; an end token one row
-    bits = min(64, max(40, 20 + math.ceil(math.log2(size / 2 + n + 2))))
+    bits = min(64, max(40, 18 + math.ceil(math.log2(size / 4 + n + 2))))  # words take four bytes or more, with their spaces
     shards, blocks = max(32, math.ceil(size / shard_bytes)), max(1, math.ceil(size / block_bytes))
     folder = common.scratch_path(spark, "lm-blocks")
     _make_folder(spark, folder)
-    asked = rows.mapInArrow(_requests(folder, order, bits, shards, block_bytes), _EXCHANGE)
-    answers = asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_count, _EXCHANGE)
+    asked = rows.mapInArrow(common.lean(_requests(folder, order, bits, shards, block_bytes)), _EXCHANGE)
+    answers = asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(common.lean(_count), _EXCHANGE)
     parts = answers.repartition(min(blocks, 10_000), "block").sortWithinPartitions("block", "shard")
-    model = common.materialise(parts.mapInArrow(_assemble(folder, order, bits, starts), _MODEL), "lm-model")
+    model = common.materialise(parts.mapInArrow(common.lean(_assemble(folder, order, bits, starts)), _MODEL), "lm-model")
     words, escapes = [0] * 4, np.zeros((order - 1, 2, BUCKETS))
     sums = model.select((F.col("block") == "").alias("words"), F.posexplode("stats").alias("i", "n")).groupBy("words", "i").agg(F.sum("n").alias("n"))
     for r in sums.collect():  # 4 + 128 (order - 1) numbers
@@ -443,7 +447,7 @@ def score_texts(docs: DataFrame, train: F.Column, *, id_col: str = "doc_id", tex
     }
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = model.where("block != ''").select("block", "payload").mapInArrow(_score(folder, order, bits, found), schema)
+    scored = model.where("block != ''").select("block", "payload").mapInArrow(common.lean(_score(folder, order, bits, found)), schema)
     return scored.withColumnRenamed("id", id_col)
 
 
