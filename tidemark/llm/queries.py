@@ -47,8 +47,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     members, folder = warc.archive(pages)
     found = warc.read_archives(members, folder, payload=False)
-    rid = F.when(F.col("rid") != "", F.col("rid")).cast(kind)
-    return found.select(rid.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return found.select(F.col("rid").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 OP4_SQL = """

@@ -13,7 +13,10 @@ memory is bounded by one record and a buffer.
 Records: ``response`` with the HTTP header and payload, or ``revisit`` with the header only, for payloads
 of ``min_revisit`` bytes or more that equal that of a row with a larger id; the row with the largest id
 is the response (rows that share it all are), and revisits refer to it. Null payloads are empty, null ids
-sort lowest. The reader recomputes each response's digest and fails where it differs from its header.
+sort lowest and are read back as null; ids of any text come back as they were. The reader recomputes each
+response's digest and fails where it differs from its header; a stream that is cut, or holds another number
+of records than were written, is an error at whatever step finds it. Columns besides id, URL and HTML are
+ignored; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from hashlib import sha1
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -34,14 +38,24 @@ URN = "urn:tidemark:record:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(rid: str, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
+def urn(rid: str | None) -> str:
+    """The record id of a row's id, percent-encoded, so that any text comes back; rows without one are ``null``."""
+    return f"<{URN}null>" if rid is None else f"<{URN}id:{quote(rid, safe='')}>"
+
+
+def id_of(value: str) -> str | None:
+    name = value.strip().removeprefix("<").removesuffix(">").removeprefix(URN)
+    return unquote(name.removeprefix("id:")) if name.startswith("id:") else None
+
+
+def record(rid: str | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; without the payload where ``refers_to`` says which record has it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = "".join(c for c in (url or "") if c not in "\r\n")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{URN}{rid}>", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(rid)}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{URN}{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {_PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -75,18 +89,26 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(file, buffer: int = 1 << 20) -> Iterator[bytes]:
-    """The contents of a gzip file, member after member, in pieces of ``buffer`` bytes at most."""
-    engine = zlib.decompressobj(31)
+    """The contents of a gzip file, member after member, in pieces of ``buffer`` bytes at most. A file that
+    ends within a member is an error, wherever the cut lies; zeros after a member are padding."""
+    engine = None
     while data := file.read(buffer):
         while data:
-            yield engine.decompress(data, buffer)
-            while engine.unconsumed_tail:
-                yield engine.decompress(engine.unconsumed_tail, buffer)
+            if engine is None:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                engine = zlib.decompressobj(31)
+            while (out := engine.decompress(data, buffer)) or engine.unconsumed_tail:
+                yield out
+                if engine.eof:
+                    break
+                data = engine.unconsumed_tail
             data = engine.unused_data
             if engine.eof:
-                engine = zlib.decompressobj(31)
-    if tail := engine.flush():
-        yield tail
+                engine = None
+    if engine is not None:
+        raise ValueError("the file ends within a gzip member")
 
 
 def normalise(source, target) -> list[tuple[int, int]]:
@@ -122,7 +144,7 @@ def _write(folder: str, chunk_bytes: int):
                         n += 1
             out.write(engine.flush())
         if n:
-            yield pa.record_batch([pa.array([name])], names=["file"])
+            yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n"])
 
     return run
 
@@ -131,10 +153,12 @@ def _normalise(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, written in zip(batch.column("file").to_pylist(), batch.column("n").to_pylist()):
                 made = f"{uuid.uuid4().hex}.members.warc.gz"
                 with store.open_input_stream(f"{base}/{name}", compression=None) as source, store.open_output_stream(f"{base}/{made}", compression=None) as target:
                     index = normalise(source, target)
+                if len(index) != written:
+                    raise ValueError(f"{name} holds {len(index)} records, {written} were written")
                 with store.open_output_stream(f"{base}/{made}.idx", compression=None) as sidecar:
                     sidecar.write("".join(f"{a}\t{n}\n" for a, n in index).encode())
                 yield pa.record_batch([pa.array([name]), pa.array([made]), pa.array([len(index)], pa.int64())], names=["file", "members", "n"])
@@ -153,10 +177,9 @@ def read_member(data: bytes) -> dict[str, object]:
     kind = head["warc-type"]
     if kind == "response" and sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
-    name = lambda x: x.strip("<>").removeprefix(URN)
     return {
-        "rid": name(head["warc-record-id"]), "url": head["warc-target-uri"], "record_type": kind, "payload_digest": digest,
-        "payload_bytes": int(headers(block[:cut])["content-length"]), "refers_to": name(head["warc-refers-to"]) if kind == "revisit" else None,
+        "rid": id_of(head["warc-record-id"]), "url": head["warc-target-uri"], "record_type": kind, "payload_digest": digest,
+        "payload_bytes": int(headers(block[:cut])["content-length"]), "refers_to": id_of(head["warc-refers-to"]) if kind == "revisit" else None,
         "payload": payload if kind == "response" else None,
     }
 
@@ -167,9 +190,11 @@ def _read(folder: str, payload: bool):
         names = ["rid", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"][: None if payload else -1]
         kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
         for batch in batches:
-            for file in batch.column("members").to_pylist():
+            for file, written in zip(batch.column("members").to_pylist(), batch.column("n").to_pylist()):
                 with store.open_input_stream(f"{base}/{file}.idx", compression=None) as sidecar:
                     index = [tuple(map(int, x.split(b"\t"))) for x in sidecar.read().splitlines()]
+                if len(index) != written:
+                    raise ValueError(f"the index of {file} names {len(index)} records, {written} were written")
                 with store.open_input_file(f"{base}/{file}") as source:
                     for at in range(0, len(index), 256):
                         rows = []
@@ -190,7 +215,7 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     revisit = F.col("owner").isNotNull() & F.coalesce(F.col("id") < F.col("owner"), F.lit(True))
     joined = rows.join(many, "digest", "left")
     return joined.select(
-        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("rid"), "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size",
+        F.col("id").cast("string").alias("rid"), "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size",
         F.when(revisit, F.col("owner").cast("string")).alias("refers_to"),
     )
 
@@ -199,13 +224,13 @@ def archive(pages: DataFrame, *, chunk_bytes: int = 8 << 20, **options) -> tuple
     """Write all rows as monolithic archives and normalise them: (file, members, n) and the folder."""
     spark = pages.sparkSession
     folder = common.scratch_path(spark, "warc-archives")
-    written = common.materialise(with_revisits(pages, **options).mapInArrow(_write(folder, chunk_bytes), "file string"), "warc-files")
+    written = common.materialise(with_revisits(pages, **options).mapInArrow(common.lean(_write(folder, chunk_bytes)), "file string, n long"), "warc-files")
     n = max(1, min(written.count(), 10_000))
-    return common.materialise(written.repartition(n, "file").mapInArrow(_normalise(folder), "file string, members string, n long"), "warc-members"), folder
+    return common.materialise(written.repartition(n, "file").mapInArrow(common.lean(_normalise(folder)), "file string, members string, n long"), "warc-members"), folder
 
 
 def read_archives(members: DataFrame, folder: str, *, payload: bool = True) -> DataFrame:
     """Every record of normalised archives, read member by member through the sidecar index."""
     schema = "rid string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string" + ", payload binary" * payload
     n = max(1, min(members.count(), 10_000))
-    return members.select("members").repartition(n, "members").mapInArrow(_read(folder, payload), schema)
+    return members.select("members", "n").repartition(n, "members").mapInArrow(common.lean(_read(folder, payload)), schema)
