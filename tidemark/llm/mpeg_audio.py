@@ -11,7 +11,8 @@ an ID3v2 tag holds the payload's length.
 
 Tables: a media column is written as Parquet in the shared folder and read back by another job. Each
 row is handled by itself, memory is bounded by a chunk of rows and the longest one. Null texts are
-empty; repeated rows keep a row each; a null or unreadable stream has no frames.
+empty; repeated rows keep a row each; a null or unreadable stream has no frames, no payload and a null
+duration. An empty table gives no rows; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ BITRATES = {
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 CRC_POLYNOMIAL = 0x8005
 
+#: Bits of bit allocation of the subbands, by runs (subbands, bits): layer II at high, middle and low rates of a
+#: channel (the last two lists: 44.1 or 48 kHz, 32 kHz), then the lower sampling rates.
+ALLOCATION = {"high": ((11, 4), (12, 3), (7, 2)), "middle": ((11, 4), (12, 3), (4, 2)), "low": ((2, 4), (6, 3)), "low32": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
 LEAD = 4 + 2 + 17  # header, CRC and side information of a protected mono MPEG-1 Layer III frame
 
 
@@ -72,6 +77,7 @@ class Header:
     size: int  # bytes
     samples: int
     mono: bool
+    joint: int = -1  # mode extension of joint stereo
 
     @property
     def side(self) -> int:
@@ -103,7 +109,41 @@ def _header(four: bytes) -> Header | None:
     bits, hz, pad = BITRATES[version == 3, layer][index] * 1000, RATES[version][rate], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     size = (samples // 32 * bits // hz + pad) * 4 if layer == 1 else samples // 8 * bits // hz + pad
-    return Header(version, layer, not four[1] & 1, bits, hz, size, samples, four[3] >> 6 == 3)
+    return Header(version, layer, not four[1] & 1, bits, hz, size, samples, four[3] >> 6 == 3, four[3] >> 4 & 3 if four[3] >> 6 == 1 else -1)
+
+
+def protected_bits(h: Header, frame: bytes) -> int:
+    """Bits after the CRC that it covers: side information in layer III, bit allocation in I, that and the scale
+    factor selection in II. -1 if the frame is too short."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        bands = [4] * 32
+    else:
+        each = h.bitrate // 1000 // channels
+        kind = "lsf" if h.version != 3 else ("low32" if h.rate == 32000 else "low") if each <= 48 else "middle" if each <= 80 or h.rate == 48000 else "high"
+        bands = [bits for n, bits in ALLOCATION[kind] for _ in range(n)]
+    apart = len(bands) if h.joint < 0 else min(4 * (h.joint + 1), len(bands))  # joint stereo: one allocation for both above
+    total = sum(bands[:apart]) * channels + sum(bands[apart:])
+    if h.layer == 1:
+        return total
+    data, at, used = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    for i, bits in enumerate(bands):
+        for _ in range(channels if i < apart else 1):
+            at += bits
+            if data >> 512 - at & (1 << bits) - 1:
+                used += 1 if i < apart else channels
+    return total + 2 * used
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of the first ``bits`` bits of ``data``."""
+    crc = 0xFFFF
+    for i in range(bits):
+        top = (crc >> 15) ^ (data[i >> 3] >> (7 - (i & 7)) & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (CRC_POLYNOMIAL if top else 0)
+    return crc
 
 
 def _syncsafe(data: bytes) -> int:
@@ -192,12 +232,17 @@ def probe(data: bytes) -> Stream:
 
 
 def _check(data: bytes, out: Stream) -> None:
-    """CRC of Layer III frames: over the last half of the header and the side information."""
+    """CRC of protected frames: over the last half of the header and what :func:`protected_bits` says."""
     rows = np.frombuffer(data, np.uint8)
     kinds: dict[int, list[int]] = {}
     for at, h in zip(out.offsets, out.headers):
-        if h.protected and h.layer == 3:
+        if h.protected and h.layer == 3 and h.size >= 6 + h.side:
             kinds.setdefault(h.side, []).append(at)
+        elif h.protected:
+            frame = data[at : at + h.size]
+            bits = protected_bits(h, frame)
+            out.checked += 1
+            out.crc_errors += 6 + -(-bits // 8) > len(frame) or crc16_bits(frame[2:4] + frame[6:], 16 + bits) != int.from_bytes(frame[4:6], "big")
     for side, where in kinds.items():
         at = np.array(where)[:, None]
         want = rows[at + np.array([4, 5])].astype(np.uint32)
@@ -275,7 +320,7 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, n_bytes, media): every text as a stream, written to the shared folder and read back."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return common.materialise(rows.mapInArrow(_build(chunk_bytes), f"id {kind}, n_bytes long, media binary"), "mpeg")
+    return common.materialise(rows.mapInArrow(common.lean(_build(chunk_bytes)), f"id {kind}, n_bytes long, media binary"), "mpeg")
 
 
 def feature(stream: Stream) -> str:
@@ -293,22 +338,25 @@ def _digests(chunk_bytes: int):
             for part in common.chunks(batch, "media", chunk_bytes):
                 out = []
                 for data in part.column("media"):
-                    data = data.as_buffer().to_pybytes()
+                    data = data.as_buffer().to_pybytes() if data.is_valid else b""
                     stream = probe(data)
                     payload = payload_of(data, stream)
                     if len(payload) < int(stream.tags.get("TXXX:payload_bytes", "0")):
                         raise ValueError("the payload read back is shorter than its tagged length")
-                    out.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature(stream)))
-                made = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.record_batch([part.column("id"), part.column("n_bytes"), *made], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    seconds = stream.samples / stream.rate if stream.rate else None
+                    out.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature(stream), stream.samples, stream.rate, seconds, stream.offsets))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
+                made = [pa.array(x, t) for x, t in zip(zip(*out), kinds)]
+                yield pa.record_batch([part.column("id"), part.column("n_bytes"), *made], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate", "seconds", "frame_offsets"])
 
     return run
 
 
 def digests(media: DataFrame, *, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Per stream of :func:`media_column`: lengths and digests of the payload read back and of the stream, and its features as text."""
+    """Per stream of :func:`media_column`: lengths and digests of the payload read back and of the stream, its
+    features as text, its exact duration (samples, their rate, seconds) and the seek offset of every frame."""
     kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(_digests(chunk_bytes), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(common.lean(_digests(chunk_bytes)), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate int, seconds double, frame_offsets array<long>")
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,4 +377,4 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def probe_column(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """Facts of any column of MPEG audio streams, with the offset of every frame."""
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(_facts, f"id {kind}, samples long, rate int, seconds double, frame_offsets array<long>, crc_errors long, skipped_bytes long, vbr_frames long, tags map<string,string>")
+    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(common.lean(_facts), f"id {kind}, samples long, rate int, seconds double, frame_offsets array<long>, crc_errors long, skipped_bytes long, vbr_frames long, tags map<string,string>")
