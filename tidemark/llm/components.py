@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     loops are no edges."""
     spark = edges.sparkSession
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    now, mark, path = _step(now, "cc"), None, None
+    now, path = _step(now, "cc"), None
+    size = now.count()
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -33,11 +34,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if path:
             common.drop_scratch(spark, path)
         path = now.inputFiles()[0].rsplit("/", 1)[0] if now.inputFiles() else None
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        now = after
-        if seen == mark:
+        n = after.count()
+        settled = n == size and after.join(now, ["a", "b"], "left_anti").isEmpty()  # both hold each edge once
+        now, size = after, n
+        if settled:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = seen
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
