@@ -260,7 +260,10 @@ def _digest(path: str, cache_words: int, chunk_bytes: int, texts: bool):
                 if texts:
                     offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
                     made = [pa.array(lens), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), decoded]
-                    yield pa.record_batch([*keep, *made], names=[*names, "n_tokens", "ids", "decoded"])
+                    out = pa.record_batch([*keep, *made], names=[*names, "n_tokens", "ids", "decoded"])
+                    del ids, lens, decoded, made
+                    common.give_back()  # the batch is as long as the texts: it goes out before the next is made
+                    yield out
                 else:
                     data, ends = memoryview(ids.tobytes()), np.cumsum(lens) * 4
                     own = [sha256(data[a:b]).hexdigest() for a, b in zip((ends - lens * 4).tolist(), ends.tolist())]
@@ -275,13 +278,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (
     return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache_words: int = 300_000, chunk_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache_words: int = 300_000, chunk_bytes: int = 2 << 20) -> DataFrame:
     """(id, columns to keep, n_tokens, ids array<int>, decoded string) of every text."""
     rows, kind = _rows(docs, id_col, text_col, keep)
-    return rows.mapInArrow(_digest(path, cache_words, chunk_bytes, True), f"{kind}, n_tokens long, ids array<int>, decoded string")
+    return rows.mapInArrow(common.lean(_digest(path, cache_words, chunk_bytes, True)), f"{kind}, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 300_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text: :func:`encode` with digests in place of its arrays."""
     rows, kind = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(_digest(path, cache_words, chunk_bytes, False), f"{kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(common.lean(_digest(path, cache_words, chunk_bytes, False)), f"{kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
