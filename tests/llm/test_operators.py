@@ -122,67 +122,6 @@ def test_bpe_matches_library(spark, docs):
     assert row.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
 
 
-def test_mpeg_round_trip(spark, docs):
-    rows, df = docs
-    got = {r.id: r for r in mpeg_audio.digests(mpeg_audio.media_column(df)).collect()}
-    for i, t, *_ in rows:
-        data = (t or "").encode()
-        payload = mpeg_audio.padded(data)
-        assert len(payload) % 64 == 0 and payload
-        r = got[i]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert "crc_errors=0;skipped=0" in r.feature
-
-
-def test_mpeg_resynchronises_and_checks():
-    stream = mpeg_audio.build(bytes(range(256)) * 20)
-    whole = mpeg_audio.probe(stream)
-    assert whole.vbr_frames == len(whole.offsets) and whole.samples == 1152 * len(whole.offsets) and len(whole.toc) == 100
-    junk = stream[: whole.offsets[1]] + b"\xff\xfb junk \xff" + stream[whole.offsets[1] :]
-    hurt = mpeg_audio.probe(junk + b"TAG" + b"title".ljust(30, b"\0") + bytes(95))
-    assert len(hurt.offsets) in (len(whole.offsets), len(whole.offsets) - 1) and hurt.skipped > 0 and hurt.tags["title"] == "title"
-    flipped = bytearray(stream)
-    flipped[whole.offsets[0] + 8] ^= 1
-    assert mpeg_audio.probe(bytes(flipped)).crc_errors == 1
-    assert mpeg_audio.probe(b"").offsets == [] and mpeg_audio.probe(b"\xff" * 50).offsets == []
-    assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x00])).size == 417  # 128 kbit/s at 44.1 kHz
-
-
-def test_mpeg_payload_like_a_tag(spark):
-    for size in (100, 128, 900, 937, 2000):
-        for at in range(size - 2):
-            payload = mpeg_audio.padded(b"x" * at + b"TAG" + b"y" * (size - at - 3))
-            stream = mpeg_audio.build(payload)
-            found = mpeg_audio.probe(stream)
-            assert mpeg_audio.payload_of(stream, found) == payload and found.vbr_frames == len(found.offsets)
-    cut = spark.createDataFrame([(1, 3, bytearray(mpeg_audio.build(bytes(2000))[:700]))], "id long, n_bytes long, media binary")
-    with pytest.raises(Exception, match="shorter than its tagged length"):
-        mpeg_audio.digests(cut).collect()
-
-
-def test_warc(spark):
-    big = "x" * 1500
-    pages = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "http://d/\r\n", "small"), (5, "", None), (None, "u", big), (7, "u", "é" * 700)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    members, folder = warc.archive(df)
-    got = {r.rid: r for r in warc.read_archives(members, folder).collect()}
-    assert len(got) == 7 and {k for k, r in got.items() if r.record_type == "revisit"} == {"1", ""}
-    assert got["1"].refers_to == "2" and got["1"].payload_bytes == 1500 and got["7"].payload.decode() == "é" * 700
-    for i, _, html in pages:
-        assert got["" if i is None else str(i)].payload_digest == hashlib.sha1((html or "").encode()).hexdigest()
-    assert warc.read_archives(*warc.archive(df.limit(0))).count() == 0
-
-
-def test_warc_normaliser_index():
-    records = [warc.record(str(i), "u", b"p\r\n\r\nWARC/" * i, hashlib.sha1(b"p\r\n\r\nWARC/" * i).hexdigest(), 10 * i, None) for i in range(50)]
-    for source in (gzip.compress(b"".join(records)), b"".join(gzip.compress(r) for r in records)):
-        target = io.BytesIO()
-        index = warc.normalise(io.BytesIO(source), target)
-        assert [gzip.decompress(target.getvalue()[a : a + n]) for a, n in index] == records
-    with pytest.raises(ValueError):
-        warc.normalise(io.BytesIO(gzip.compress(records[3][:-9])), io.BytesIO())
-
-
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.example.COM/en/7x?q", "http://example.com/en/8", "https://x.net/de/1", "https://example.net/de/8#f", "http://notorg/es/", "http://org/es/1", "http://xcom/en/", "a://b://c/d", "http://com", "http://com/en/"]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string")
@@ -256,62 +195,6 @@ def test_position_inverts_the_schedule(spark):
         assert (sum(schedule[:phase]) + schedule[phase] * (r.t * 4 - phase)) / sum(schedule) == pytest.approx(r.u)
 
 
-def test_embeddings(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=(60, 16))
-    hot = base[0] + rng.normal(scale=0.05, size=(150, 16))
-    vectors = [*base, *(base[:20] * 2), *(base[20:40] + rng.normal(scale=0.03, size=(20, 16))), *hot]
-    rows = [(i, [float(x) for x in v], i % 2 if i < 100 else 0) for i, v in enumerate(vectors)]
-    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, rows[0][1], None), (904, [1.0, 2.0], 0), (905, [None] * 16, 0), (906, [], 0), (907, rows[0][1], 0)]
-    schema = "vec_id long, embedding array<double>, label int"
-    ok = {r[0]: np.array(r[1]) for r in rows if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])}
-    label = {r[0]: r[2] for r in rows}
-    cos = lambda a, b: float(ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]))
-    links = {(a, b) for a in ok for b in ok if a != b and label[a] == label[b] and len(ok[a]) == len(ok[b]) and cos(a, b) >= 0.93}
-    for options in ({}, {"tile": 16}):
-        got = {r.id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema), per_pivot=4, **options).collect()}
-        assert len(got) == len(rows)
-        want = Counter(a for a, _ in links)
-        assert sum(got[i].n_links for i in got) >= 0.99 * len(links) and all(got[i].n_links <= want[i] for i in got)
-        assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, 905, 906))
-        assert got[907].component_id == 0 and not got[907].kept
-    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-
-
-def test_embeddings_that_are_all_close(spark):
-    rng = np.random.default_rng(7)
-    group = rng.normal(size=16) + rng.normal(scale=0.05, size=(300, 16))  # pivots: one
-    common_part = 2 * np.eye(24)[0] + rng.normal(scale=0.16, size=(100, 24))
-    common_part[50:] = common_part[:50] + rng.normal(scale=0.01, size=(50, 24))
-    pair = rng.normal(size=8) + rng.normal(scale=0.01, size=(2, 8))
-    vectors = [*group, *common_part, *pair]
-    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
-    want = Counter()
-    for start, part in ((0, group), (300, common_part), (400, pair)):
-        u = part / np.linalg.norm(part, axis=1)[:, None]
-        want.update({start + i: int(n) for i, n in enumerate((u @ u.T >= 0.93).sum(1) - 1)})
-    assert want[0] > 100 and want[300] >= 1 and want[401] == 1
-    for options in ({}, {"tile": 64}):
-        assert {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, **options).collect()} == dict(want)
-
-
-@needs_data
-def test_quality_on_held_out(spark):
-    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    found = queries.op9_quality(spark, DATA).join(labels, "doc_id").toPandas()
-    assert found.loc[found.quality == 1, "predicted"].mean() > 0.95 and found.loc[found.quality == 0, "predicted"].mean() < 0.5
-    blank = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 50_000)], "doc_id long, text string")
-    model = quality.train(docs, labels.limit(0).select("doc_id"))
-    assert {r.score for r in quality.score(blank, model).collect()} == {0.5}
-
-
-def test_prior_estimate():
-    rng = np.random.default_rng(3)
-    pos = rng.normal(1, 1, (1500, 4))
-    unl = np.concatenate([rng.normal(1, 1, (900, 4)), rng.normal(-3, 1, (600, 4))])
-    assert abs(quality.class_prior(pos, unl, 8, 200) - 0.6) < 0.08
-
-
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(5)
     vectors = []

@@ -134,6 +134,24 @@ def _best_bin(fit_p: np.ndarray, fit_u: np.ndarray, p: np.ndarray, u: np.ndarray
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
+def pu_risk(net: Network, pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the non-negative unbiased risk: of positives, and of negatives (counts as 0 below 0)."""
+    sp, su = net.forward(pos)[0], net.forward(unl)[0]
+    return float(prior * np.logaddexp(0, -sp).mean()), float(np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean())
+
+
+def pu_gradient(net: Network, pos: np.ndarray, unl: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Gradient of the sum of both parts; where the second is below 0, the gradient that raises it again."""
+    sp, hp = net.forward(pos)
+    su, hu = net.forward(unl)
+    plus = net.backward(pos, hp, -prior * sigmoid(-sp) / len(pos))  # of prior * R_p(+)
+    u = net.backward(unl, hu, sigmoid(su) / len(unl))
+    p = net.backward(pos, hp, prior * sigmoid(sp) / len(pos))
+    if pu_risk(net, pos, unl, prior)[1] < 0:
+        return [b - a for a, b in zip(u, p)]
+    return [x + a - b for x, a, b in zip(plus, u, p)]
+
+
 def fit(pos: np.ndarray, unl: np.ndarray, *, width: int = 16, steps: int = 600, rate: float = 0.01) -> dict:
     """The model: scaling, prior and network. Rows of features."""
     if not (len(pos) and len(unl)):
@@ -142,19 +160,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, *, width: int = 16, steps: int = 600,
     pos, unl = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
     prior = class_prior(pos, unl, width, steps // 2)
     net = Network(width, pos.shape[1], seed=11)
-
-    def gradient(net):
-        sp, hp = net.forward(pos)
-        su, hu = net.forward(unl)
-        plus = net.backward(pos, hp, -prior * sigmoid(-sp) / len(pos))  # of prior * R_p(+)
-        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-        u = net.backward(unl, hu, sigmoid(su) / len(unl))
-        p = net.backward(pos, hp, prior * sigmoid(sp) / len(pos))
-        if negative < 0:
-            return [b - a for a, b in zip(u, p)]
-        return [x + a - b for x, a, b in zip(plus, u, p)]
-
-    net.fit(gradient, steps, rate)
+    net.fit(lambda n: pu_gradient(n, pos, unl, prior), steps, rate)
     return {"mean": mean, "scale": scale, "prior": prior, "p": net.p}
 
 
@@ -179,7 +185,7 @@ def _sample(texts: DataFrame, n: int) -> np.ndarray:
     last = hashed.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
     if last is None:
         return np.zeros((0, N_FEATURES))
-    chosen = hashed.where(F.col("h") <= last).mapInArrow(_features, "h long, x array<double>").dropDuplicates(["h"]).collect()
+    chosen = hashed.where(F.col("h") <= last).mapInArrow(common.lean(_features), "h long, x array<double>").dropDuplicates(["h"]).collect()
     return np.array([r.x for r in sorted(chosen, key=lambda r: r.h)]).reshape(-1, N_FEATURES)
 
 
@@ -208,7 +214,7 @@ def _scored(model: dict, chunk_bytes: int):
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, score) of every text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scored(model, chunk_bytes), f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.lean(_scored(model, chunk_bytes)), f"id {kind}, score double")
 
 
 def trusted(labels: DataFrame, keep: Column, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:

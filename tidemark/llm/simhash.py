@@ -195,7 +195,7 @@ def _keys(fps: DataFrame, hot: int) -> DataFrame:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, fp): the fingerprint of every text, as a signed 64-bit integer."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle, chunk_bytes), f"id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.lean(_fingerprints(shingle, chunk_bytes)), f"id {id_type}, fp long")
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 2, fanout: int = 8, hot: int = 100_000, batch_rows: int = 200_000) -> DataFrame:
@@ -212,7 +212,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
     keyed = _keys(fps.select("fp"), hot).withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63))))
-    edges = keyed.repartition("key").sortWithinPartitions("key", "rank").select("key", "fp").mapInArrow(_link(limit, fanout, batch_rows), "a long, b long")
+    edges = keyed.repartition("key").sortWithinPartitions("key", "rank").select("key", "fp").mapInArrow(common.lean(_link(limit, fanout, batch_rows)), "a long, b long")
     members = connected_components(edges)
     roots = fps.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -13,9 +13,11 @@ left out: the vector is not that of all words of the text (see the README for wh
 
 Index. The examples' vectors are sorted so that like ones are neighbours, and cut into blocks; each
 term keeps its postings and, for each block, its largest weight. A query adds up these maxima to a bound
-for each block, reads blocks from the highest bound down, and stops when the k-th best cosine found is
-above the next bound: the k nearest are exact. Index, terms and sample are bounded by parameters
-(``examples``, ``terms``), whatever the size of the corpus, so that the index may be sent to all tasks.
+for each block, reads the blocks of the highest bounds first and then, together, all others whose bound is
+above the k-th best cosine found by then; the rest can hold nothing nearer, so the k nearest cosines are exact.
+Of examples that tie for the last places, those in blocks read first count, then those of lower numbers: the
+same ones in every run. Index and terms are those of a sample bounded by ``examples``, whatever the size of
+the corpus, so that the index may be sent to all tasks.
 
 Votes. Neighbours vote with weight (cosine / highest cosine)**4, times the inverse of the rate at which their class was
 sampled, shrunk towards the rate of the label with the weight of half a vote: the score is an estimate of
@@ -226,7 +228,7 @@ def score(
     bank = F.broadcast(common.materialise(chosen, "toxic-examples"))
     # copies of a text would make all its words speak for the label; 2 * examples texts at most
     known = common.materialise(rows.join(bank, "id").where("text is not null").groupBy("text").agg(F.max("y").alias("y")), "toxic-texts")
-    seen = known.select("text", "y").mapInArrow(_evidence(prefix, chunk_bytes), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    seen = known.select("text", "y").mapInArrow(common.lean(_evidence(prefix, chunk_bytes)), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     size, sampled_toxic = known.agg(F.count(F.lit(1)), F.sum("y")).first()
     strength = ratio(F.col("toxic"), F.col("n"), int(sampled_toxic or 0), max(size, 1))
     # either class counts by the inverse of its sampling rate for the lift, so that it asks for the same share of
@@ -240,7 +242,7 @@ def score(
     chance = 2 * math.log(max(candidates.count(), 2))
     best = candidates.where(F.col("g") > chance).orderBy(F.desc("g"), F.length("term"), "term")
     names = {r.term: i for i, r in enumerate(best.select("term").collect())}  # terms of 2 * examples texts at most
-    vectors = common.materialise(rows.mapInArrow(_vectors(names, prefix, chunk_bytes), f"id {kind}, " + (f"key {docs.schema[key_col].dataType.simpleString()}, " if key_col else "") + "term array<int>, tf array<int>"), "toxic-vectors")
+    vectors = common.materialise(rows.mapInArrow(common.lean(_vectors(names, prefix, chunk_bytes)), f"id {kind}, " + (f"key {docs.schema[key_col].dataType.simpleString()}, " if key_col else "") + "term array<int>, tf array<int>"), "toxic-vectors")
     n_docs, df = rows.count(), np.zeros(max(len(names), 1))
     for i, n in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():  # a row for a chosen term
         df[i] = n
@@ -267,7 +269,7 @@ def score(
 
     # a vector is looked up once, however many texts have it; texts without terms need no search
     distinct = vectors.where(F.size("term") > 0).select("term", "tf").distinct()
-    judged = common.materialise(distinct.mapInArrow(run, "term array<int>, tf array<int>, score double" + f", evidence {shown}" * bool(evidence)), "toxic-scores")
+    judged = common.materialise(distinct.mapInArrow(common.lean(run), "term array<int>, tf array<int>, score double" + f", evidence {shown}" * bool(evidence)), "toxic-scores")
     columns = ["id", *carry, "score", *(["evidence"] if evidence else [])]
     bare_rows = vectors.where(F.size("term") == 0).select("id", *carry, F.lit(model["empty"]).alias("score"), F.array().cast(shown).alias("evidence"))
     return vectors.where(F.size("term") > 0).join(judged, ["term", "tf"]).select(*columns).unionByName(bare_rows.select(*columns))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WORDS = 8  # 64-bit words of a block
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -75,7 +77,7 @@ def build_filter(keys: DataFrame, bits_per_key: int = 16, max_filter_bytes: int
         used = np.flatnonzero(own.any(axis=1))
         yield pa.record_batch([pa.array(used), *(pa.array(own[used, i].view(np.int64)) for i in range(WORDS))], names=["block", *(f"w{i}" for i in range(WORDS))])
 
-    found = keys.select("h").mapInArrow(part, schema).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
+    found = keys.select("h").mapInArrow(common.lean(part), schema).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
     out = np.zeros((blocks, WORDS), np.int64)
     for row in found.collect():  # max_filter_bytes at most
         out[row.block] = row[1:]
@@ -110,7 +112,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     else:
         table = spark.sparkContext.broadcast(build_filter(exact.select(F.xxhash64("rule").alias("h")), **options))
         keyed = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths)).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-        passed = keyed.mapInArrow(_probe(table), f"id {kind}, host string, path string, n long, keys array<string>")
+        passed = keyed.mapInArrow(common.lean(_probe(table)), f"id {kind}, host string, path string, n long, keys array<string>")
         hits = passed.select("id", "host", "path", "n", F.explode_outer("keys").alias("rule")).join(exact, "rule", "left")
         best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule").alias("l"), "rule", "verdict"))).alias("b")
         judged = hits.groupBy("id", "host", "path", "n").agg(best).select("id", "host", "path", "n", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
