@@ -42,11 +42,11 @@ def test_text_rules(spark):
     assert one(spark, tx.jaccard(F.split(F.lit("a b c d"), " "), F.split(F.lit("a b c e"), " "))) == pytest.approx(0.6)
     assert one(spark, tx.fingerprint(F.lit(" The  Cat, (sat)! -- "))) == "the cat sat"
     assert one(spark, tx.snippet(F.lit("abc   def ghi"), 6)) == "abc d…"
-    assert one(spark, tx.strong_signal(F.lit("recall SMDFS-455")))
-    assert not one(spark, tx.strong_signal(F.lit("how do we deploy this thing?")))
-    path = tx.path_parts(F.lit("/repo/docs/api/v1/projects.md"))
-    assert not one(spark, tx.aligned(tx.path_parts(F.lit("/api/v1/project")), path))
-    assert one(spark, tx.aligned(tx.path_parts(F.lit("/api/v1/projects")), path))
+    assert one(spark, tx.strong_signal(F.lit("what became of OPS-77 last week")))
+    assert not one(spark, tx.strong_signal(F.lit("where did the boats go?")))
+    path = tx.path_parts(F.lit("/srv/books/shop/v2/orders.txt"))
+    assert not one(spark, tx.aligned(tx.path_parts(F.lit("/shop/v2/order")), path))
+    assert one(spark, tx.aligned(tx.path_parts(F.lit("/shop/v2/orders")), path))
     secret = "key sk-abcdefghijklmnop end"
     assert one(spark, tx.has_secret(F.lit(secret))) and not one(spark, tx.has_secret(F.lit("task-abcdefghijklmnop")))
     assert one(spark, tx.redact(F.lit(secret))) == "key [REDACTED] end"

@@ -18,7 +18,28 @@ SECRETS = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     r"https?://[^\s:@]+:[^\s:@]+@",
 )
-# Fixed patterns of exact signals: tickets, routes, dotted and colon paths, errors, HTTP statuses.
+# Fixed patterns of exact signals: UUIDs, hex digests, tickets, routes, paths, colon and dotted chains, errors, HTTP statuses.
+TOKENS = (
+    r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
+    r"\b[0-9a-fA-F]{32}\b",
+    r"\b[A-Z][A-Z0-9]{1,9}-\d{1,8}\b",
+    r"(?:/[A-Za-z0-9_.@:-]+){2,}",
+    r"/(?:[A-Za-z0-9_.-]+/){1,}[A-Za-z0-9_.-]+",
+    r"\b[A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*){1,}\b",
+    r"\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){1,}\b",
+    r"\b[A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning|Failure)\b(?:\s*:?\s*[A-Za-z0-9_./-]{2,})?",
+    r"\bHTTP\s*[1-5]\d{2}\b",
+)
+IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]{2,}\b"
+# Fixed words that are no identifiers.
+STOP_WORDS = (
+    "the and for with this that from into onto your you are was were but not all any can use using run running have has had get "
+    "got via per its out his her him she they them our who why how what when where here there these those such than then also about "
+    "more most less much many some each every either neither both none one two three four five six seven eight nine ten "
+    "quick brown fox jumps over lazy dog see look recall find show tell know think make made "
+    "go went going done do does did doing thing things stuff data info note notes general specific kind type types"
+).split()
+# Fixed patterns of structure in a query: tickets, routes, dotted and colon paths, errors, HTTP statuses.
 SIGNALS = (
     r"\b[A-Z][A-Z0-9]{1,9}-\d{1,8}\b",
     r"(?:/[A-Za-z0-9_.@:-]+){2,}",
@@ -69,10 +90,14 @@ def redact(text: Column, marker: str = "[REDACTED]") -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, marker), SECRETS, text)
 
 
-def signal_tokens(text: Column) -> Column:
-    """Distinct exact-signal tokens, pattern by pattern, stripped of quotes and punctuation."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"({p})"), 1) for p in SIGNALS]))
-    return F.array_distinct(F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"^[`'\".,;:()\[\]{}<>]+|[`'\".,;:()\[\]{}<>]+$", "")), lambda t: t != ""))
+def signal_tokens(text: Column, limit: int = 64) -> Column:
+    """The first ``limit`` distinct exact-signal tokens, pattern by pattern, then identifiers that are no stop
+    words; stripped of quotes and punctuation."""
+    every = lambda p: F.regexp_extract_all(text, F.lit(f"(?U)({p})"), 1)  # noqa: E731  boundaries by Unicode's word characters
+    found = [every(p) for p in TOKENS]
+    names = F.filter(every(IDENTIFIER), lambda t: ~F.lower(t).isin(*STOP_WORDS))
+    bare = F.transform(F.concat(*found, names), lambda t: F.regexp_replace(F.trim(t), r"^[`'\".,;:()\[\]{}<>]+|[`'\".,;:()\[\]{}<>]+$", ""))
+    return F.slice(F.array_distinct(F.filter(bare, lambda t: t != "")), 1, limit)
 
 
 def strong_signal(text: Column) -> Column:
@@ -119,8 +144,15 @@ def word_chars(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\w"))
 
 
-def importance(text: Column, trusted: Column, keyword: str = r"(?i)\b(important|remember|always|never|prefer|decision)\b") -> Column:
-    """1 for trivial texts, else 5, 2 more for a trusted source and for a keyword, 2 less when short; 1..10."""
-    words = F.size(tokens(text))
-    score = F.lit(5) + F.when(trusted, 2).otherwise(0) + F.when(text.rlike(keyword), 2).otherwise(0) - F.when(words < 8, 2).otherwise(0)
-    return F.when(F.length(collapse(text)) < 3, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), score)))
+# Fixed words of the importance rule.
+TRIVIAL = r"^(ok|okay|thanks|thank you|got it|sure|yes|no|yep|nope|k|ty|thx|np)\.?$"
+KEYWORDS = ("remember", "important", "decision", "prefer", "correction", "never", "always")
+
+
+def importance(text: Column, trusted: Column) -> Column:
+    """1 for trivial texts, else 5, 2 more for a trusted source and for a keyword anywhere, then 2 less for a text
+    below 40 characters that has not 8 yet; 1 to 10."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    score = F.lit(5) + F.when(trusted, 2).otherwise(0) + F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in KEYWORDS]), 2).otherwise(0)
+    score = F.when((F.length(low) < 40) & (score < 8), score - 2).otherwise(score)
+    return F.when(F.regexp_replace(low, r"^\s+|\s+$", "").rlike(TRIVIAL), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), score)))

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names; only a session of one machine may do without."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     """pairs: (a, b). Returns (node, component), the smallest node reachable. A round is two joins and an
     aggregation, checkpointed to the folder that the session names."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/tidemark-checkpoints"))
+    shared_folder(pairs.sparkSession)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node").checkpoint()
     for _ in range(max_rounds):

@@ -73,31 +73,63 @@ def promotions(points: DataFrame) -> DataFrame:
     return points.where((F.col("confidence") >= 0.85) & (F.col("importance") >= 8) & ~tx.has_secret(F.col("text")))
 
 
-def heading_noise(points: DataFrame) -> DataFrame:
-    """Short headings without a sentence."""
-    flat = tx.collapse(F.col("text"))
-    return points.where((F.length(flat) <= 80) & (F.size(F.split(flat, " ")) <= 4) & ~flat.rlike("[.!?;:]"))
+# Fixed headings that indexers and agents leave behind.
+KNOWN_HEADINGS = (
+    "tareas", "notas", "reflexion", "reflexión", "contribution", "implementation", "files modified this turn", "plan de implementacion",
+    "plan de implementación", "risks doubts", "next handoff",
+)
 
 
-def greedy_star(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(seed, id): in id order, an unused seed takes all unused points linked to it. The order is
-    sequential, so each connected group of pairs is folded by itself; groups are near-duplicates and
-    bounded by ``collect`` of their ids only."""
-    from ..operators.components import components
-
-    group = components(pairs)
-    keyed = pairs.join(group.select(F.col("node").alias("a"), "component"), "a")
-    lists = keyed.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("links"))
-    kind = points.schema["id"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("seeds"), F.array().cast(f"array<struct<seed:{kind},id:{kind}>>").alias("taken"))
+def heading_noise(points: DataFrame) -> DataFrame:
+    """Texts of at most 80 characters that are only a heading, with ``known``: one of the known ones, which may be
+    removed unattended, or a marked one of four words at most without a sentence, which is for review."""
+    flat = tx.collapse(F.col("text"))
+    bare = F.regexp_replace(flat, r"^(#\s*)+", "")
+    words = tx.fingerprint(bare)
+    known = words.isin(*KNOWN_HEADINGS)
+    generic = flat.startswith("#") & (F.size(F.filter(F.split(words, " "), lambda w: w != "")) <= 4) & ~bare.rlike("[.!?;:]")
+    return points.withColumn("known", known).where((flat != "") & (F.length(flat) <= 80) & (known | generic))
+
+
+def reconsolidations(points: DataFrame, confidence: float = 0.6) -> DataFrame:
+    """(fact_key, canonical_id, n, n_texts): facts with two or more points and texts, whatever their status; the
+    canonical point has the highest importance, confidence, creation time and id."""
+    known = points.where((F.col("confidence") >= confidence) & (F.coalesce("fact_key", F.lit("")) != ""))
+    text = tx.fingerprint(F.col("text"))
+    best = F.max_by("id", F.struct("importance", "confidence", "created_at", "id")).alias("canonical_id")
+    found = known.groupBy("fact_key").agg(best, F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(text != "", F.sha2(text.cast("binary"), 256))).alias("n_texts"))
+    return found.where("n >= 2 and n_texts >= 2")
 
-    def step(s: Column, x: Column) -> Column:
-        used = F.exists(s["taken"], lambda t: (t["id"] == x["a"]))
-        other = F.exists(s["taken"], lambda t: (t["id"] == x["b"])) | F.array_contains(s["seeds"], x["b"])
-        take = ~used & ~other
-        return F.struct(F.when(take, F.array_union(s["seeds"], F.array(x["a"]))).otherwise(s["seeds"]).alias("seeds"), F.when(take, F.concat(s["taken"], F.array(F.struct(x["a"].alias("seed"), x["b"].alias("id"))))).otherwise(s["taken"]).alias("taken"))
 
-    return lists.select(F.explode(F.aggregate("links", start, step)["taken"]).alias("t")).select("t.seed", "t.id")
+def greedy_star(pairs: DataFrame, points: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(seed, id): in id order, a point that no earlier seed took is a seed and takes all points linked to it that
+    are left. pairs: (a, b, jaccard), links of representatives and, at 1.0, of each representative to its copies,
+    as :func:`jaccard_pairs` gives them; copies go where their representative goes.
+
+    A representative is a seed if none of its smaller neighbours is one, and is taken by its smallest neighbour
+    that is. Each round settles all whose smaller neighbours are settled, by joins of the links that are left: no
+    group is collected anywhere. Rounds are cut by checkpoints in the folder that the session names."""
+    from .components import shared_folder
+
+    shared_folder(pairs.sparkSession)
+    copies = pairs.where("jaccard >= 1").select(F.col("a").alias("rep"), F.col("b").alias("id"))
+    links = pairs.where("jaccard < 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    left, taken = links, links.select(F.col("b").alias("t")).limit(0)  # links that may still decide something; who is no seed
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        # ends that are nobody's larger one are seeds: no smaller neighbour is left that could take them
+        seeds = left.select(F.col("a").alias("s")).distinct().join(left.select(F.col("b").alias("s")), "s", "left_anti")
+        hit = left.join(seeds, left["a"] == seeds["s"], "left_semi").select(F.col("b").alias("t")).distinct().checkpoint()
+        taken = taken.unionByName(hit).checkpoint()
+        left = left.join(hit, left["a"] == hit["t"], "left_anti").join(hit, F.col("b") == hit["t"], "left_anti").checkpoint()
+    else:
+        raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
+    by_seed = links.join(taken, links["a"] == taken["t"], "left_anti").join(taken, F.col("b") == taken["t"], "left_semi")
+    taken = by_seed.groupBy("b").agg(F.min("a").alias("seed")).select("seed", F.col("b").alias("id"))
+    owner = taken.select(F.col("id").alias("rep"), "seed")
+    moved = copies.join(owner, "rep", "left").select(F.coalesce("seed", "rep").alias("seed"), "id")
+    return taken.select("seed", "id").unionByName(moved)
 
 
 def quarantine(points: DataFrame, ids: DataFrame, until: str) -> DataFrame:

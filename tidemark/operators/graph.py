@@ -12,6 +12,25 @@ def neighbours(edges: DataFrame, cap: int) -> DataFrame:
     return clean.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("n") <= cap)
 
 
+def neighbours_both(edges: DataFrame, cap: int) -> DataFrame:
+    """(id, other, relation, side): edges of each node at either end, the first ``cap`` of each side by the other
+    end; loops dropped."""
+    clean = edges.where("src != dst").select("src", "dst", "relation").distinct()
+    sides = clean.select(F.col("src").alias("id"), F.col("dst").alias("other"), "relation", F.lit("source").alias("side")).unionByName(
+        clean.select(F.col("dst").alias("id"), F.col("src").alias("other"), "relation", F.lit("target").alias("side"))
+    )
+    return sides.withColumn("_n", F.row_number().over(Window.partitionBy("id", "side").orderBy("other", "relation"))).where(F.col("_n") <= cap).drop("_n")
+
+
+def entity_memories(entities: DataFrame, points: DataFrame, *, first: int = 8) -> DataFrame:
+    """entities: (entity_id, source_point_ids). (entity_id, point_id, is_entity): visible points among the first
+    ids of each; an entity none of whose ids resolves stands for itself."""
+    listed = entities.select("entity_id", F.explode(F.array_distinct(F.slice("source_point_ids", 1, first))).alias("point_id"))
+    found = listed.join(points.select(F.col("id").alias("point_id")), "point_id", "left_semi").select("entity_id", F.col("point_id").cast("string").alias("point_id"), F.lit(False).alias("is_entity"))
+    alone = entities.select("entity_id").distinct().join(found, "entity_id", "left_anti")
+    return found.unionByName(alone.select("entity_id", F.col("entity_id").cast("string").alias("point_id"), F.lit(True).alias("is_entity")))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, *, depth: int = 2, cap: int = 8, total: int | None = None) -> DataFrame:
     """Breadth-first levels of (id): (id, depth), each id at the smallest depth. One equi-join a level;
     the frontier is bounded by cap**depth for each seed, and by ``total`` over all if given."""

@@ -39,6 +39,19 @@ def parent_status(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return found.select("node_id", F.when((F.col("n") == 0) | F.col("q"), "excluded").when(F.col("u"), "stale").otherwise("active").alias("status"))
 
 
+def search(nodes: DataFrame, leaves: DataFrame, *, max_children: int = 8, budget: int = 16_000, order: str = "node_id") -> DataFrame:
+    """Summaries with the status that their children and their own flags give them. nodes: (node_id, children,
+    text, reasons), a bounded list of seeds; leaves as in :func:`parent_status`. A node without children is
+    excluded, one with reasons is review_required, else its children decide; text is blank unless active. The
+    lengths of the texts add up in order, also of what is left out; from the first overflow on, ``kept`` is false."""
+    state = parent_status(nodes.withColumn("children", F.slice(F.array_sort("children"), 1, max(1, min(max_children, 16)))), leaves)
+    rows = nodes.join(state.withColumnRenamed("status", "by_children"), "node_id")
+    status = F.when(F.size("children") <= 0, "excluded").when(F.size("reasons") > 0, "review_required").otherwise(F.col("by_children"))
+    rows = rows.withColumn("status", status).withColumn("text", F.when(F.col("status") == "active", F.col("text")).otherwise(""))
+    so_far = F.sum(F.length("text")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("node_id", "status", "text", (so_far <= budget).alias("kept"))
+
+
 def with_evidence(summaries: DataFrame, cited: DataFrame) -> DataFrame:
     """Summaries that have a cited leaf."""
     return summaries.join(cited.select("node_id").distinct(), "node_id", "left_semi")

@@ -54,3 +54,9 @@ def expand_messages(hits: DataFrame, messages: DataFrame, around: int = 3) -> Da
     """Messages within ``around`` turns of a hit (conv_id, turn): an equi-join on a short range."""
     wanted = hits.select("conv_id", F.explode(F.sequence(F.col("turn") - around, F.col("turn") + around)).alias("turn")).distinct()
     return messages.join(wanted, ["conv_id", "turn"], "left_semi")
+
+
+def eligible_sessions(rows: DataFrame, sessions: DataFrame, *, exclude: tuple[str, ...] = (), session: str = "conv_id") -> DataFrame:
+    """Rows with the source of their session, null where it is not listed, without those of excluded sources."""
+    joined = rows.join(sessions.select(session, F.col("source").alias("session_source")), session, "left")
+    return joined.where(~F.coalesce("session_source", F.lit("")).isin(*exclude)) if exclude else joined

@@ -49,16 +49,23 @@ def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", (clean != F.col("text")).alias("changed"), F.length(clean).alias("n_chars"), tx.has_secret(clean).alias("secret"))
 
 
-@R.add(rf"""WITH {POINTS} SELECT id, CASE WHEN length({FLAT}) < 3 THEN 1 ELSE greatest(1, least(10, 5 + CASE WHEN source IN ('src1', 'src2') THEN 2 ELSE 0 END
-+ CASE WHEN regexp_matches(text, '(?i)\b(important|remember|always|never|prefer|decision)\b') THEN 2 ELSE 0 END - CASE WHEN len(list_filter(string_split(lower({FLAT}), ' '), lambda t: t <> '')) < 8 THEN 2 ELSE 0 END)) END AS importance FROM points""")
+IMPORTANCE = f"""CASE WHEN regexp_matches(lower(coalesce(text, '')), '^\\s*{tx.TRIVIAL[1:-1]}\\s*$') THEN 1 ELSE greatest(1, least(10, s - CASE WHEN length(coalesce(text, '')) < 40 AND s < 8 THEN 2 ELSE 0 END)) END"""
+_KEYWORD = " OR ".join(f"contains(lower(text), '{w}')" for w in tx.KEYWORDS)
+SCORED = f"imp AS (SELECT *, 5 + CASE WHEN source IN ('src1', 'src2') THEN 2 ELSE 0 END + CASE WHEN {_KEYWORD} THEN 2 ELSE 0 END AS s FROM points)"
+
+
+@R.add(f"WITH {POINTS}, {SCORED} SELECT id, {IMPORTANCE} AS importance FROM imp")
 def importance_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", tx.importance(F.col("text"), F.col("source").isin("src1", "src2")).alias("importance"))
 
 
-@R.add(r"""SELECT page_id, list_distinct(list_filter(regexp_extract_all(url, '\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){1,}\b'), lambda t: t <> '')) AS t FROM pages""".replace("SELECT page_id, list_distinct", "SELECT page_id, len(list_distinct").replace(" AS t FROM", ") AS n_dotted FROM"))
+def _quoted(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@R.add()
 def signal_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dotted = F.array_distinct(F.regexp_extract_all("url", F.lit(f"({tx.SIGNALS[2]})"), 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(dotted).cast("long").alias("n_dotted"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("|", tx.signal_tokens(F.col("text"))).alias("tokens"))
 
 
 @R.add(r"""SELECT page_id, regexp_matches(url, '\b[A-Z][A-Z0-9]{1,9}-\d{1,8}\b') OR regexp_matches(url, '(?:/[A-Za-z0-9_.@:-]+){2,}') OR regexp_matches(url, '\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){1,}\b')
@@ -146,13 +153,26 @@ def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidation.promotions(points(spark, sf_dir)).select("id")
 
 
-@R.add(rf"WITH {POINTS} SELECT id FROM points WHERE length({FLAT}) <= 80 AND len(string_split({FLAT}, ' ')) <= 4 AND NOT regexp_matches({FLAT}, '[.!?;:]')")
+#: A heading without its marks, and when it is noise.
+BARE = r"trim(regexp_replace(flat, '^(#\s*)+', ''))"
+HEADING = FP.replace(FLAT, BARE)
+NOISE = f"""flat <> '' AND length(flat) <= 80 AND ({HEADING} IN ({_quoted(consolidation.KNOWN_HEADINGS)}) OR (starts_with(flat, '#') AND len(list_filter(string_split({HEADING}, ' '), lambda x: x <> '')) <= 4 AND NOT regexp_matches({BARE}, '[.!?;:]')))"""
+#: Headings, known and other, and the beginnings of texts.
+BEGIN = f"array_to_string(list_slice(string_split({FLAT}, ' '), 1, 3), ' ')"
+HEADED = f"headed AS (SELECT id, CASE id % 5 WHEN 0 THEN '# ' || {BEGIN} WHEN 1 THEN '## Next handoff:' WHEN 2 THEN 'Notas' WHEN 3 THEN {BEGIN} ELSE text END AS text FROM points)"
+
+
+@R.add(f"WITH {POINTS}, {HEADED}, h AS (SELECT id, {FLAT} AS flat FROM headed) SELECT id, {HEADING} IN ({_quoted(consolidation.KNOWN_HEADINGS)}) AS known FROM h WHERE {NOISE}")
 def heading_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.heading_noise(points(spark, sf_dir)).select("id")
+    """On texts of which some are cut down to headings."""
+    begin = F.concat_ws(" ", F.slice(F.split(tx.collapse(F.col("text")), " "), 1, 3))
+    i = F.col("id") % 5
+    text = F.when(i == 0, F.concat(F.lit("# "), begin)).when(i == 1, "## Next handoff:").when(i == 2, "Notas").when(i == 3, begin).otherwise(F.col("text"))
+    return consolidation.heading_noise(points(spark, sf_dir).withColumn("text", text)).select("id", "known")
 
 
 REPORT = rf"""WITH {POINTS}, k AS (SELECT 1 AS o, 'secret' AS proposal_type, id AS key FROM points WHERE {SECRET_SQL}
-UNION ALL SELECT 2, 'heading_noise', id FROM points WHERE length({FLAT}) <= 80 AND len(string_split({FLAT}, ' ')) <= 4 AND NOT regexp_matches({FLAT}, '[.!?;:]')
+UNION ALL SELECT 2, 'heading_noise', id FROM (SELECT id, {FLAT} AS flat FROM points) WHERE {NOISE}
 UNION ALL SELECT 3, 'duplicate', arg_max(id, (importance, confidence, created_at, id)) FROM points GROUP BY {FP} HAVING count(*) > 1
 UNION ALL SELECT 4, 'stale_low_value', id FROM points WHERE created_at <= TIMESTAMP '{NOW}' - INTERVAL 90 DAYS AND importance < 4 AND access_count = 0 AND confidence <= 0.5
 UNION ALL SELECT 5, 'promotion', id FROM points WHERE confidence >= 0.85 AND importance >= 8 AND NOT ({SECRET_SQL})

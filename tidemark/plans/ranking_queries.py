@@ -68,9 +68,9 @@ def learning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.learning_search(_pool(spark, sf_dir), now=NOW).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@R.add(f"WITH {POINTS}, {VISIBLE} SELECT id FROM visible WHERE profile_id = 'en' AND source = 'src3' AND id % 2 = 0")
+@R.add(f"WITH {POINTS}, {VISIBLE} SELECT id FROM visible WHERE profile_id = 'en' AND source = 'src0' AND id % 2 = 0")
 def filter_tags_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visible(points(spark, sf_dir)).where(filters.tags_all("tags", "lang:en, src:src3,even")).select("id")
+    return visible(points(spark, sf_dir)).where(filters.tags_all("tags", "lang:en, src:src0,even")).select("id")
 
 
 @R.add(f"WITH {POINTS} SELECT id, stale, requires_review FROM points WHERE stale AND NOT coalesce(requires_review, false)")

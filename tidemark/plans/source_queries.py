@@ -46,10 +46,10 @@ def count_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible(points(spark, sf_dir)).groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(f"WITH {POINTS} SELECT id, CASE WHEN id % 10 = 4 THEN 'patched' ELSE source END AS source, importance FROM points WHERE id < 500")
+@R.add(f"WITH {POINTS} SELECT id, CASE WHEN id % 10 = 4 THEN 'patched' ELSE source END AS source, importance FROM points")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = _ids(spark, sf_dir, "id < 500 and id % 20 != 4")
-    return tables.upsert(current, _ids(spark, sf_dir, "id < 500 and id % 10 = 4").withColumn("source", F.lit("patched")))
+    current = _ids(spark, sf_dir, "id % 20 != 4")
+    return tables.upsert(current, _ids(spark, sf_dir, "id % 10 = 4").withColumn("source", F.lit("patched")))
 
 
 @R.add(f"WITH {POINTS} SELECT id, source, CASE WHEN id % 3 = 0 THEN 10 ELSE importance END AS importance FROM points")

@@ -154,9 +154,9 @@ def tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@R.add(f"WITH {POINTS}, s AS (SELECT source || '/' || CAST(id // 40 AS VARCHAR) AS node_id, bool_or(consolidation_quarantined) AS q, bool_or(stale OR requires_review) AS u FROM points WHERE id < 400 GROUP BY 1) SELECT node_id, CASE WHEN q THEN 'excluded' WHEN u THEN 'stale' ELSE 'active' END AS status FROM s")
+@R.add(f"WITH {POINTS}, s AS (SELECT source || '/' || CAST(id // 40 AS VARCHAR) AS node_id, bool_or(consolidation_quarantined) AS q, bool_or(stale OR requires_review) AS u FROM points GROUP BY 1) SELECT node_id, CASE WHEN q THEN 'excluded' WHEN u THEN 'stale' ELSE 'active' END AS status FROM s")
 def parent_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir).where("id < 400")
+    rows = points(spark, sf_dir)
     node = F.concat_ws("/", "source", F.floor(F.col("id") / 40).cast("string"))
     return tree.parent_status(rows.groupBy(node.alias("node_id")).agg(F.collect_list("id").alias("children")), rows)
 
