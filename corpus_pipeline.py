@@ -36,12 +36,14 @@ def _drop(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below 0.7. Null and empty texts are scored as empty; without labels all rows stay; no rows, none."""
     docs = common.keyed(docs, "toxicity-docs")
     scored = toxic_votes.score(docs, table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 3) != 1, key_col=common.ROW)
     return _drop(docs, common.materialise(scored.where("score >= 0.7").select(F.col("key").alias(common.ROW)), "pipeline-toxic"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.3 or more. Null and empty texts are scored as empty; without positives all rows stay; no rows, none."""
     docs = common.keyed(docs, "quality-docs")
     good = quality.trusted(table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 5) != 0)
     scored = quality.score(docs, quality.train(docs, good), id_col=common.ROW)
@@ -49,6 +51,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group: the smallest id, nulls last, any one of equal ids. Texts without words are one group."""
     docs = common.keyed(docs, "simhash-docs")
     groups = simhash.simhash_groups(docs, id_col=common.ROW).select(F.col("id").alias(common.ROW), "component_id")
     groups = common.materialise(groups.join(docs.select(common.ROW, "doc_id"), common.ROW), "pipeline-groups")
@@ -57,10 +60,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, null ids and sources included; texts without words are never taken."""
     return mixing.copies(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every row, with its id and source; null texts are empty."""
     return bpe_codec.encode(docs, vocabulary(), keep=("source",)).withColumnRenamed("id", "doc_id")
 
 
