@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring
+from tidemark.functions import scoring, secrets
 from tidemark.functions import text as tx
 from tidemark.functions import vector
-from tidemark.operators import components, consolidation, graph, search, windows
+from tidemark.operators import components, consolidation, evaluate, graph, search, windows
 from tidemark.sources import files, tables
 from tidemark.streaming import events, window_index
 
@@ -140,3 +140,42 @@ def test_writes(spark):
     assert sorted(map(tuple, changed.collect())) == [(1, "a"), (2, "c"), (3, "d")]
     digests = tables.row_digest(rows)
     assert tables.verify_backup(digests).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("pw: password=swordfish; next", "pw: password=<x>; next"),
+        ("secret = '***'", "secret = '***'"),
+        ('token: "(empty)".', 'token: "(empty)".'),
+        ("my_token: a", "my_token: <x>"),
+        ("thetoken: abcdefgh", "thetoken: abcdefgh"),
+        ("the token bucket holds 12345678", "the token bucket holds 12345678"),
+        ("use token zz11yy22xx", "use token <x>"),
+        ("the secret ingredient is salt", "the secret ingredient is salt"),
+        ("api key, then api_key q1w2e3r4", "api key, then api_key <x>"),
+        ("-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY----- bye", "<x><x> bye"),
+        ("-----BEGIN PRIVATE KEY-----\ncut off", "<x><x>"),
+        ("password =\nsecond line", "password =\nsecond line"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_secret_spans(spark, text, clean):
+    """``<x>`` stands for the marker; spans that overlap, as of a private key and its first line, give one each."""
+    row = spark.createDataFrame([(text,)], "t string").select(secrets.has_secret(F.col("t")).alias("found"), secrets.redact(F.col("t")).alias("clean")).first()
+    assert row.found == (text != clean)
+    assert row.clean == (None if clean is None else clean.replace("<x>", secrets.MARKER))
+
+
+def test_gate_fails_closed(spark):
+    columns = "variant string, errored boolean, hit_at_k boolean, source_hit_at_k boolean, exact_identifier_hit boolean, wrong_memory boolean, latency_ms double, latency_budget_met boolean"
+    good = [("new", False, True, True, True, False, 10.0, True)] * 10 + [("old", False, True, True, None, False, 10.0, True)] * 10
+    checks = {r.check_name: r for r in evaluate.gate(evaluate.summarise(spark.createDataFrame(good, columns)), "new", ["old"]).collect()}
+    assert [name for name, r in checks.items() if not r.passed] == ["exact_id_drop"] and checks["exact_id_drop"].actual is None and len(checks) == 12
+    bad = [(*r[:1], True, *r[2:]) if i == 0 else r for i, r in enumerate(good)]
+    checks = {r.check_name: r for r in evaluate.gate(evaluate.summarise(spark.createDataFrame(bad, columns)), "new", ["old"]).collect()}
+    assert [name for name, r in checks.items() if not r.passed] == ["scored_count", "errored_count", "exact_id_drop"]
+    only = evaluate.gate(evaluate.summarise(spark.createDataFrame(good, columns)), "other", ["old"]).collect()
+    assert [(r.check_name, r.passed) for r in only] == [("candidate_present", False)]
+    assert [r.check_name for r in evaluate.gate(evaluate.summarise(spark.createDataFrame([], columns)), "new", ["old"]).collect()] == ["candidate_present"]

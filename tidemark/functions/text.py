@@ -7,17 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed patterns of the reference, in its order: credentials that are secret wherever they stand.
-SECRETS = (
-    r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{10,}",
-    r"gh[pousr]_[A-Za-z0-9_]{20,}",
-    r"AKIA[0-9A-Z]{16}",
-    r"(?i)authorization\s*:\s*bearer\s+\S+",
-    r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{16,}",
-    r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    r"https?://[^\s:@]+:[^\s:@]+@",
-)
+from . import secrets
+from .secrets import has_secret  # noqa: F401  one of the text rules
+
 # Fixed patterns of exact signals: UUIDs, hex digests, tickets, routes, paths, colon and dotted chains, errors, HTTP statuses.
 TOKENS = (
     r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
@@ -80,14 +72,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
-def has_secret(text: Column) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, [text.rlike(p) for p in SECRETS]), F.lit(False))
-
-
 def redact(text: Column, marker: str = "[REDACTED]") -> Column:
-    """Secrets replaced one pattern after another; a private key goes to its END line or the end."""
-    text = F.regexp_replace(text, r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(-----END [A-Z ]*PRIVATE KEY-----|\z)", marker)
-    return reduce(lambda t, p: F.regexp_replace(t, p, marker), SECRETS, text)
+    """Texts without their credentials, see :func:`tidemark.functions.secrets.redact`."""
+    return secrets.redact(text, marker)
 
 
 def signal_tokens(text: Column, limit: int = 64) -> Column:

@@ -32,16 +32,66 @@ def variant_rates(scores: DataFrame) -> DataFrame:
     )
 
 
-def gate(rates: DataFrame, candidate: str, baselines: list[str], *, max_wrong: float = 3.0, max_p95: float = 500.0) -> DataFrame:
-    """(check_name, value, bound, passed) of a candidate; a missing value fails."""
-    own = rates.where(F.col("variant") == candidate)
-    best = rates.where(F.col("variant").isin(*baselines)).agg(F.max("hit_at_k_rate").alias("best_hit"), F.min("wrong_memory_rate").alias("best_wrong"))
-    row = own.crossJoin(F.broadcast(best))
-    checks = [
-        ("hit_rate_not_below_best", "hit_at_k_rate", F.col("best_hit"), F.col("hit_at_k_rate") >= F.col("best_hit")),
-        ("wrong_rate_cap", "wrong_memory_rate", F.lit(max_wrong), F.col("wrong_memory_rate") <= max_wrong),
-        ("wrong_rate_not_above_best", "wrong_memory_rate", F.col("best_wrong"), F.col("wrong_memory_rate") <= F.col("best_wrong")),
-        ("latency_p95_cap", "latency_p95", F.lit(max_p95), F.col("latency_p95") <= max_p95),
-    ]
-    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(v).cast("double").alias("value"), b.cast("double").alias("bound"), F.coalesce(p, F.lit(False)).alias("passed")) for n, v, b, p in checks])
-    return row.select(F.explode(rows).alias("c")).select("c.*")
+def summarise(rows: DataFrame) -> DataFrame:
+    """rows: (variant, errored, hit_at_k, source_hit_at_k, exact_identifier_hit, wrong_memory, latency_ms,
+    latency_budget_met). Counts and percentage rates of the rows without an error, for each variant; a flag that is null
+    has no label and leaves its denominator, but for hits and wrong memories, where it counts as false. Rates without
+    any label are null."""
+    ok = ~F.coalesce(F.col("errored"), F.lit(False))
+
+    def rate(flag: str, labelled: Column | None = None) -> Column:
+        n = F.count(F.when(ok if labelled is None else ok & labelled, 1))
+        share = F.when(n > 0, F.bround(100.0 * F.count(F.when(ok & F.col(flag), 1)) / n, 4))
+        return (F.coalesce(share, F.lit(0.0)) if labelled is None else share).alias(f"{flag}_rate")
+
+    def known(flag: str) -> Column:
+        return rate(flag, F.col(flag).isNotNull())
+
+    return rows.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("case_count"), F.count(F.when(ok, 1)).alias("scored_count"), F.count(F.when(~ok, 1)).alias("errored_count"), rate("hit_at_k"), known("source_hit_at_k"),
+        known("exact_identifier_hit"), rate("wrong_memory"), F.percentile(F.when(ok, F.col("latency_ms")), F.lit(0.95)).alias("latency_ms_p95"), known("latency_budget_met").alias("latency_budget_pass_rate"),
+    )
+
+
+# Fixed checks of a promotion, in order: name, metric, rule (own value, or against the best baseline) and default bound.
+CHECKS = (
+    ("case_count", "case_count", "ge", 10),
+    ("scored_count", "scored_count", "ge", 10),
+    ("errored_count", "errored_count", "le", 0),
+    ("candidate_hit_at_k", "hit_at_k_rate", "ge", 80.0),
+    ("candidate_source_hit_at_k", "source_hit_at_k_rate", "ge", 80.0),
+    ("hit_at_k_lift", "hit_at_k_rate", "lift", 0.0),
+    ("source_hit_at_k_lift", "source_hit_at_k_rate", "lift", 0.0),
+    ("exact_id_drop", "exact_identifier_hit_rate", "drop", 5.0),
+    ("wrong_memory_rate", "wrong_memory_rate", "le", 3.0),
+    ("wrong_memory_regression", "wrong_memory_rate", "rise", 1.0),
+    ("latency_p95", "latency_ms_p95", "le", 500.0),
+    ("latency_budget_pass_rate", "latency_budget_pass_rate", "ge", 95.0),
+)
+
+
+def gate(summary: DataFrame, candidate: str, baselines: list[str], bounds: dict[str, float] | None = None) -> DataFrame:
+    """(check_name, actual, threshold, passed) of a candidate's row of :func:`summarise`; ``bounds`` by check name. The
+    best baseline has the highest rate, of wrong memories the lowest. A value that is missing fails its check; a
+    candidate that is missing gives the one row ``candidate_present``. One aggregate over one row a variant, no join."""
+    bounds = {name: bound for name, _, _, bound in CHECKS} | (bounds or {})
+    own, base = F.col("variant") == candidate, F.col("variant").isin(*baselines)
+    best = {m: (F.min if kind == "rise" else F.max)(F.when(base, F.col(m))) for _, m, kind, _ in CHECKS if kind in ("lift", "drop", "rise")}
+    mine = {m: F.max(F.when(own, F.col(m))) for _, m, _, _ in CHECKS}
+    row = summary.agg(F.max(own).alias("present"), *[c.cast("double").alias(f"own_{m}") for m, c in mine.items()], *[c.cast("double").alias(f"best_{m}") for m, c in best.items()])
+
+    def check(name: str, metric: str, kind: str) -> Column:
+        value, bound = F.col(f"own_{metric}"), F.lit(float(bounds[name]))
+        if kind in ("lift", "drop", "rise"):
+            gap = value - F.col(f"best_{metric}")
+            gap = -gap if kind == "drop" else gap
+            value = gap if kind == "lift" else F.when(gap < 0, 0.0).otherwise(gap)
+        passed = value >= bound if kind in ("ge", "lift") else value <= bound
+        return result(name, value if kind in ("ge", "le") else F.bround(value, 4), bound, F.coalesce(passed, F.lit(False)))
+
+    def result(name: str, actual: Column, bound: Column, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), actual.alias("actual"), bound.alias("threshold"), passed.alias("passed"))
+
+    missing = F.array(result("candidate_present", F.lit(0.0), F.lit(1.0), F.lit(False)))
+    checks = F.when(F.col("present"), F.array(*[check(name, metric, kind) for name, metric, kind, _ in CHECKS])).otherwise(missing)
+    return row.select(F.explode(checks).alias("c")).select("c.*")

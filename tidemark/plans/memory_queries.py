@@ -11,7 +11,7 @@ from ..operators import consolidation, graph, retrieve, tree, windows
 from ..schema import points, visible
 from ..session import table
 from .common import POINTS, POOL, VISIBLE, Registry
-from .quality_queries import FLAT, FP, IMPORTANCE, SCORED, SECRET_SQL
+from .quality_queries import FLAT, FP, IMPORTANCE, SCORED, SECRET_SQL, secret_sql
 from .ranking_queries import _pool
 from .structure_queries import EDGES, NODES, _edges, _nodes
 
@@ -72,7 +72,7 @@ def file_event_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = rf"w AS (SELECT list_distinct(list_filter(string_split(lower({FLAT}), ' '), lambda t: length(t) > 5)) AS q FROM documents WHERE doc_id = 1)"
 
 
-@R.add(f"""WITH {POOL}, {WORDS}, t AS (SELECT p.id, list_distinct(list_filter(string_split(lower({FLAT.replace('text', 'p.text')}), ' '), lambda x: x <> '')) AS words, p.consolidation_quarantined AS quarantined, ({SECRET_SQL.replace('text', 'p.text')}) AS secret FROM points p),
+@R.add(f"""WITH {POOL}, {WORDS}, t AS (SELECT p.id, list_distinct(list_filter(string_split(lower({FLAT.replace('text', 'p.text')}), ' '), lambda x: x <> '')) AS words, p.consolidation_quarantined AS quarantined, {secret_sql('p.text')} AS secret FROM points p),
 s AS (SELECT id, len(list_intersect(words, q)) AS matched, quarantined, secret FROM t, w), u AS (SELECT id, CAST(matched AS DOUBLE) AS score, quarantined OR secret AS blocked FROM s WHERE quarantined OR secret OR matched > 0),
 d AS (SELECT id, similarity, CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS r FROM pool)
 SELECT coalesce(d.id, u.id) AS id, d.r AS dense_rank, round(coalesce(d.similarity, 0), 6) AS dense_score, CASE WHEN coalesce(blocked, false) THEN 0.0::DOUBLE ELSE coalesce(u.score, 0.0::DOUBLE) END AS sparse_score,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import secrets
 from ..functions import text as tx
 from ..operators import consolidation, evaluate
 from ..schema import NOW, points, visible
@@ -33,7 +34,38 @@ def text_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", tx.snippet(F.col("text"), 240).alias("snippet"))
 
 
-SECRET_SQL = " OR ".join(f"regexp_matches(text, '{p}')" for p in (*[r"(^|[^A-Za-z0-9_])sk-[A-Za-z0-9_-]{10,}"], *tx.SECRETS[1:]))
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _placeholder_sql(v: str) -> str:
+    def bare(x: str) -> str:
+        return rf"regexp_replace(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '[.,;:!?]+$', ''), '^\s+|\s+$', '', 'g')"
+
+    once = bare(v)
+    inner = f"""CASE WHEN length({once}) > 1 AND left({once}, 1) = right({once}, 1) AND left({once}, 1) IN ('"', '''', '`') THEN {bare(f"substr({once}, 2, length({once}) - 2)")} ELSE {once} END"""
+    return f"lower({inner}) IN ({', '.join(_literal(p) for p in secrets.PLACEHOLDERS)})"
+
+
+def secret_sql(text: str) -> str:
+    """The secret rules over a column; the words that a loose value may not begin with are looked at afterwards."""
+    plain = " OR ".join(f"regexp_matches({text}, '{p}')" for p in (r"(^|[^A-Za-z0-9_])sk-[A-Za-z0-9_-]{10,}", *secrets.SECRETS[1:]))
+
+    def values(pattern: str) -> str:
+        return f"regexp_extract_all({text}, {_literal('(?i)' + pattern)}, 1)"
+
+    def loose(words: list[str]) -> str:
+        return rf"NOT regexp_matches(v, '(?i)^(?:{'|'.join(words)})\b') AND NOT {_placeholder_sql('v')} AND length(v) >= 8 AND (regexp_matches(v, '\p{{Nd}}') OR length(regexp_replace(v, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 16)"
+
+    found = [
+        (rf"(?:^|[^A-Za-z0-9]){secrets.NAMES}[ \t]*[:=][ \t]*{secrets.VALUE}", f"NOT {_placeholder_sql('v')}"),
+        (rf"\b(?:access\s+)?token\s+{secrets.LOOSE}", loose(secrets.ABOUT_TOKENS)),
+        (rf"\b(?:api[_-]?key|password|secret)\s+{secrets.LOOSE}", loose(secrets.ABOUT_CREDENTIALS)),
+    ]
+    return "(" + " OR ".join([plain, *(f"len(list_filter({values(p)}, lambda v: {rule})) > 0" for p, rule in found)]) + ")"
+
+
+SECRET_SQL = secret_sql("text")
 
 
 @R.add(f"WITH {POINTS} SELECT id, {SECRET_SQL} AS secret FROM points")
@@ -43,10 +75,28 @@ def secret_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted texts; a text that still holds a secret afterwards would be replaced as a whole."""
-    clean = tx.redact(F.col("text"))
-    clean = F.when(tx.has_secret(clean), "[REDACTED]").otherwise(clean)
-    return points(spark, sf_dir).select("id", (clean != F.col("text")).alias("changed"), F.length(clean).alias("n_chars"), tx.has_secret(clean).alias("secret"))
+    """Redacted texts; a text that still holds a secret afterwards is replaced as a whole."""
+    rows = points(spark, sf_dir).withColumn("clean", secrets.redact(F.col("text")))
+    return rows.select("id", (F.col("clean") != F.col("text")).alias("changed"), F.length("clean").alias("n_chars"), secrets.has_secret(F.col("clean")).alias("secret"))
+
+
+#: Endings of a text, and what is left of them.
+ENDINGS = (
+    (' password: "hunter2"', f" password: {secrets.MARKER}"),
+    (" api_key = [redacted].", " api_key = [redacted]."),
+    (" the token budget of 1234567890", " the token budget of 1234567890"),
+    (" access token q7r8s9t0u1", f" access token {secrets.MARKER}"),
+    (" secret rotation 12345678", " secret rotation 12345678"),
+    (" password plainword", " password plainword"),
+    (" Bearer: Bearer abcdefghijklmnopqrst", f" Bearer: {secrets.MARKER}{secrets.MARKER}"),
+)
+
+
+@R.add(f"""WITH {POINTS} SELECT id, CASE id % 7 {' '.join(f"WHEN {i} THEN {_literal(after)}" for i, (_, after) in enumerate(ENDINGS))} END AS clean, id % 7 IN (0, 3, 6) AS secret FROM points""")
+def secret_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments, placeholders, loose values and spans that overlap, one for each row."""
+    rows = points(spark, sf_dir).select("id", F.element_at(F.array(*[F.lit(before) for before, _ in ENDINGS]), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    return rows.select("id", secrets.redact(F.col("text")).alias("clean"), secrets.has_secret(F.col("text")).alias("secret"))
 
 
 IMPORTANCE = f"""CASE WHEN regexp_matches(lower(coalesce(text, '')), '^\\s*{tx.TRIVIAL[1:-1]}\\s*$') THEN 1 ELSE greatest(1, least(10, s - CASE WHEN length(coalesce(text, '')) < 40 AND s < 8 THEN 2 ELSE 0 END)) END"""
@@ -248,8 +298,40 @@ def eval_variant_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.variant_rates(evaluate.score_runs(*_runs(spark, sf_dir)))
 
 
-@R.add(f"""WITH {RATES}, b AS (SELECT max(hit_at_k_rate) AS best_hit, min(wrong_memory_rate) AS best_wrong FROM g WHERE variant IN ('dense', 'tree')), own AS (SELECT g.*, b.* FROM g, b WHERE variant = 'hybrid')
-SELECT 'hit_rate_not_below_best' AS check_name, hit_at_k_rate AS value, best_hit AS bound, hit_at_k_rate >= best_hit AS passed FROM own UNION ALL SELECT 'wrong_rate_cap', wrong_memory_rate, 3.0::DOUBLE, wrong_memory_rate <= 3.0 FROM own
-UNION ALL SELECT 'wrong_rate_not_above_best', wrong_memory_rate, best_wrong, wrong_memory_rate <= best_wrong FROM own UNION ALL SELECT 'latency_p95_cap', latency_p95, 500.0::DOUBLE, latency_p95 <= 500.0 FROM own""")
+_FLAGS = "latency_ms >= 400 AS errored, CASE WHEN case_id % 3 <> 0 THEN first_position BETWEEN 1 AND 5 END AS source_hit, CASE WHEN case_id % 2 = 0 THEN first_position = 1 END AS exact_hit, latency_ms <= 300 AS in_budget"
+_PERCENT = "round(100.0::DOUBLE * count(*) FILTER (NOT errored AND {0}) / nullif(count(*) FILTER (NOT errored AND {1}), 0), 4)"
+SUMMARY = f"""{RUNS}, f AS (SELECT *, {_FLAGS} FROM s), m AS (SELECT variant, count(*) AS case_count, count(*) FILTER (NOT errored) AS scored_count, count(*) FILTER (errored) AS errored_count,
+  coalesce({_PERCENT.format('hit_at_k', 'true')}, 0) AS hit_at_k_rate, {_PERCENT.format('source_hit', 'source_hit IS NOT NULL')} AS source_hit_at_k_rate, {_PERCENT.format('exact_hit', 'exact_hit IS NOT NULL')} AS exact_identifier_hit_rate,
+  coalesce({_PERCENT.format('wrong', 'true')}, 0) AS wrong_memory_rate, quantile_cont(latency_ms, 0.95) FILTER (NOT errored) AS latency_ms_p95, {_PERCENT.format('in_budget', 'in_budget IS NOT NULL')} AS latency_budget_pass_rate FROM f GROUP BY variant)"""
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    position = F.col("first_position")
+    scores = evaluate.score_runs(*_runs(spark, sf_dir))
+    return evaluate.summarise(scores.select(
+        "variant", (F.col("latency_ms") >= 400).alias("errored"), "hit_at_k", F.when(F.col("case_id") % 3 != 0, position.between(1, 5)).alias("source_hit_at_k"),
+        F.when(F.col("case_id") % 2 == 0, position == 1).alias("exact_identifier_hit"), F.col("wrong").alias("wrong_memory"), "latency_ms", (F.col("latency_ms") <= 300).alias("latency_budget_met"),
+    ))
+
+
+@R.add(f"WITH {SUMMARY} SELECT * FROM m")
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, sf_dir)
+
+
+def _checks_sql() -> str:
+    own = ("ge", "le")
+    found = []
+    for name, metric, kind, bound in evaluate.CHECKS:
+        value = {"lift": f"{metric} - best_{metric}", "drop": f"greatest(0, best_{metric} - {metric})", "rise": f"greatest(0, {metric} - best_{metric})"}.get(kind, metric)
+        known = f"{metric} IS NOT NULL" + (f" AND best_{metric} IS NOT NULL" if kind not in own else "")
+        value = f"CASE WHEN {known} THEN {value} END"
+        shown = value if kind in own else f"round({value}, 4)"
+        found.append(f"{{'check_name': '{name}', 'actual': CAST({shown} AS DOUBLE), 'threshold': {bound}::DOUBLE, 'passed': coalesce({value} {'>=' if kind in ('ge', 'lift') else '<='} {bound}, false)}}")
+    return f"SELECT unnest([{', '.join(found)}], recursive := true) FROM x"
+
+
+@R.add(f"""WITH {SUMMARY}, b AS (SELECT max(hit_at_k_rate) AS best_hit_at_k_rate, max(source_hit_at_k_rate) AS best_source_hit_at_k_rate, max(exact_identifier_hit_rate) AS best_exact_identifier_hit_rate, min(wrong_memory_rate) AS best_wrong_memory_rate
+FROM m WHERE variant IN ('dense', 'tree')), x AS (SELECT m.*, b.* FROM m, b WHERE variant = 'hybrid') {_checks_sql()}""")
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.gate(evaluate.variant_rates(evaluate.score_runs(*_runs(spark, sf_dir))), "hybrid", ["dense", "tree"])
+    return evaluate.gate(_summary(spark, sf_dir), "hybrid", ["dense", "tree"])
