@@ -48,6 +48,11 @@ def delete(current: DataFrame, ids: DataFrame) -> DataFrame:
     return current.join(ids.select("id"), "id", "left_anti")
 
 
+def delete_where(current: DataFrame, condition) -> DataFrame:
+    """Without the rows that a filter matches; rows for which it is null stay."""
+    return current.where(~F.coalesce(condition, F.lit(False)))
+
+
 def merged(own: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
     """Own and read-only collections with a ``collection`` column; the own one is ``own`` and comes first."""
     out = own.withColumn("collection", F.lit("own"))
