@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signals as sg
+from ..operators import extract
 from ..schema import points
 from ..session import table
 from ..sources import tables
@@ -98,3 +99,51 @@ def applied_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"WITH {POINTS} SELECT id, fact_status FROM points WHERE NOT (stale AND coalesce(fact_status = 'disputed', false))")
 def delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.delete_where(points(spark, sf_dir).select("id", "stale", "fact_status"), F.col("stale") & (F.col("fact_status") == "disputed")).select("id", "fact_status")
+
+
+#: Lines put before each text, by its number, and what they say; worked out by hand.
+SAID = (
+    ("Decision: keep it.", "memory_candidate", "decision", "Decision: keep it.", 0.88), ("maybe decision: x", None, None, None, None), ("quirk - slow", "memory_candidate", "tool_quirk", "Tool quirk: slow.", 0.86),
+    ("project invariant: one clock", "invariant_candidate", "project_invariant", "Project invariant: one clock.", 0.9), ("conflict resolved: b wins", "status_update_candidate", "assertion", "Resolved conflict: b wins.", 0.82),
+    ("Actually, use b", "preference_candidate", "user_preference", "User preference/correction: use b.", 0.9), ("decision: my name is Z", None, None, None, None),
+)
+
+
+def _said(i: int, kind: str) -> str:
+    return f"CASE doc_id % {len(SAID)} " + " ".join(f"WHEN {n} THEN " + ("NULL" if x[i] is None else f"CAST('{x[i]}' AS {kind})") for n, x in enumerate(SAID)) + " END"
+
+
+@R.add(f"SELECT doc_id AS id, 3 AS line, {_said(1, 'VARCHAR')} AS candidate_type, {_said(2, 'VARCHAR')} AS memory_kind, {_said(3, 'VARCHAR')} AS text, {_said(4, 'DOUBLE')} AS confidence FROM documents WHERE {_said(1, 'VARCHAR')} IS NOT NULL")
+def line_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*[F.lit(x[0]) for x in SAID]), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("first\r\n\n"), said, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return extract.line_signals(rows)
+
+
+@R.add("""SELECT doc_id AS id, 2 AS line, 'entity' AS kind, 'doc' AS entity_type, source AS label, NULL AS relation, NULL AS target_type, NULL AS target FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
+UNION ALL SELECT doc_id, 3, 'edge', 'doc', source, 'WRITTEN_IN', 'lang', lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def graph_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    marked = F.concat(F.lit("\nGraph entity: doc: "), "source", F.lit("\n graph edge : doc:"), "source", F.lit(" -[WRITTEN_IN]-> lang: "), "lang", F.lit("\n"), F.coalesce("text", F.lit("")))
+    return extract.graph_markers(rows.select(F.col("doc_id").alias("id"), marked.alias("text")))
+
+
+@R.add(r"""WITH c AS (SELECT doc_id, text, regexp_replace(substr(text, 1 + doc_id % 50, 60), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS k FROM documents), p AS (SELECT *, CASE WHEN k <> '' THEN strpos(text, k) END AS pos FROM c),
+l AS (SELECT *, 1 + length(substr(text, 1, pos - 1)) - length(replace(substr(text, 1, pos - 1), chr(10), '')) AS a FROM p)
+SELECT doc_id, a AS line_start, a + length(k) - length(replace(k, chr(10), '')) AS line_end, CASE WHEN pos IS NULL THEN 0 ELSE pos - 1 + length(k) END AS "end" FROM l""")
+def locate_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.locate(F.col("text"), F.substr(F.col("text"), (F.col("doc_id") % 50 + 1).cast("int"), F.lit(60)), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).select("doc_id", "x.line_start", "x.line_end", "x.end")
+
+
+@R.add("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(role, '') AS role FROM conversations WHERE coalesce(text, '') <> '' AND coalesce(role, '') <> '')
+SELECT conv_id, turn, 1 AS op, 'action+content+operations' AS shape, 'add' AS action, role AS target, text AS content, '' AS old_text FROM c WHERE turn % 2 = 0
+UNION ALL SELECT conv_id, turn, 2, 'action+content+operations', 'remove', 'memory', '', role FROM c WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 1, 'action+content', 'add', 'memory', text, '' FROM c WHERE turn % 2 = 1""")
+def memory_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.struct(F.lit("add").alias("action"), F.col("role").alias("target"), F.col("text").alias("content"), F.lit(None).cast("string").alias("old_text"))
+    two = F.struct(F.lit("remove").alias("action"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("content"), F.col("role").alias("old_text"))
+    args = F.to_json(F.struct(F.lit("add").alias("action"), F.col("text").alias("content"), F.when(F.col("turn") % 2 == 0, F.array(one, two)).alias("operations")))
+    call = F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.lit("memory").alias("name"), args.alias("arguments")).alias("function"))
+    other = F.struct(F.lit("x").alias("id"), F.struct(F.lit("search").alias("name"), F.lit("{}").alias("arguments")).alias("function"))
+    rows = table(spark, sf_dir, "conversations").where("coalesce(text, '') != '' and coalesce(role, '') != ''").select("conv_id", "turn", F.to_json(F.array(call, other)).alias("tool_calls"))
+    return extract.memory_calls(rows).select("conv_id", "turn", "op", "shape", "action", "target", "content", "old_text")
