@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; only a session of one machine may do without."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
-    spark.sparkContext.setCheckpointDir(folder)
+from ..session import shared_folder
 
 
 def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:

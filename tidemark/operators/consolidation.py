@@ -109,7 +109,7 @@ def greedy_star(pairs: DataFrame, points: DataFrame, max_rounds: int = 1000) ->
     A representative is a seed if none of its smaller neighbours is one, and is taken by its smallest neighbour
     that is. Each round settles all whose smaller neighbours are settled, by joins of the links that are left: no
     group is collected anywhere. Rounds are cut by checkpoints in the folder that the session names."""
-    from .components import shared_folder
+    from ..session import shared_folder
 
     shared_folder(pairs.sparkSession)
     copies = pairs.where("jaccard >= 1").select(F.col("a").alias("rep"), F.col("b").alias("id"))
