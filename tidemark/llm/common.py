@@ -10,9 +10,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import json
-import re
 import struct
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,21 +22,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Words of a text: runs of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop removes it when the driver's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/tidemark-shared"  # one machine, as in tests
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, named with its file system; Hadoop removes it when the driver's
+    JVM ends, unless it is to be kept."""
+    path = f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
@@ -77,17 +73,23 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return own
 
 
-#: A key of one row, whatever its columns hold.
-ROW = "_row"
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def keyed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a unique text key of each row in column ``ROW``, the same for every reader: of rows of files
-    the file and the place in it, any others are written with a number first."""
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` with one more column, a unique text key of each row, and that column's name, which no other column
+    has. The key is the same for every reader: of rows of files the file and the place in it; any others are
+    written with a number first."""
+    key = fresh(df, "_row")
     try:
-        return df.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(ROW))
+        return df.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(key)), key
     except AnalysisException:  # the rows don't come from files that number them
-        return materialise(df.withColumn(ROW, F.monotonically_increasing_id().cast("string")), name)
+        return materialise(df.withColumn(key, F.monotonically_increasing_id().cast("string")), name), key
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -36,6 +36,8 @@ WEIGHTS = (5, 2, 1)
 #: Weight over equal phases of the run, by the same rank: early, even, late.
 SCHEDULES = ((3.0, 2.0, 1.0, 1.0), (1.0, 1.0, 1.0, 1.0), (1.0, 1.0, 2.0, 3.0))
 BUCKETS = 4096
+#: Rows that one row of a class becomes at once.
+RUN = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -74,19 +76,20 @@ def position(offset: Column, target: Column, rank: Column, schedules: tuple[tupl
 
 
 def _stream(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
-    """Columns key (the source, told apart from null), h (place in its stream) and size of each row of docs."""
+    """Columns key (the source, told apart from null), who (the id, likewise), h (place in its stream) and size of
+    each row of docs. ``h`` alone doesn't tell a null id from an empty one, nor where the id ends."""
     source = F.col(source_col).cast("string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return [
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("key"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text).cast("binary")).alias("h"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("key"), F.coalesce(F.concat(F.lit("s"), F.col(id_col).cast("string")), F.lit("")).alias("who"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text).cast("binary")).alias("h"),
         F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"), source.alias("source"), F.col(id_col).alias("id"),
     ]
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, repeats: int) -> DataFrame:
-    """(key, h, id, source, size, n, start, source_size, target, rank, goal): rows of equal id, source and
+    """(key, who, h, id, source, size, n, start, source_size, target, rank, goal): rows of equal id, source and
     text are one class of n, which take up n times their size of the stream from ``start`` on."""
-    classes = docs.select(_stream(docs, id_col, text_col, source_col)).groupBy("key", "h", "size", "source", "id").agg(F.count(F.lit(1)).alias("n"))
+    classes = docs.select(_stream(docs, id_col, text_col, source_col)).groupBy("key", "who", "h", "size", "source", "id").agg(F.count(F.lit(1)).alias("n"))
     classes = common.materialise(classes.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "mix-classes")
     words = F.col("size") * F.col("n")
     buckets = common.materialise(classes.groupBy("key", "source", "bucket").agg(F.sum(words).alias("words")), "mix-buckets")
@@ -103,7 +106,10 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """(id, size, source, source_size, target, start, taken, position), range-sorted by position; documents
     that are not taken come last and have none. start: words of the source's stream before the document."""
     placed = _placed(docs, id_col, text_col, source_col, weights, share, repeats)
-    placed = placed.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("start") + i * F.col("size"))))
+    # a class of n equal rows becomes n rows in two steps, so no row holds an array as long as the class
+    placed = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    ends = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
+    placed = placed.withColumn("start", F.explode(F.transform(F.sequence(F.col("run") * RUN, ends), lambda i: F.col("start") + i * F.col("size")))).drop("run")
     taken = sum(F.greatest(F.least(F.col("goal") - F.col("start") - epoch * F.col("source_size"), F.col("size")), F.lit(0)) for epoch in range(repeats))
     placed = placed.withColumn("taken", taken.cast("long"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("target"), F.col("rank"))))
@@ -114,12 +120,12 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch, whole, in the order of their positions.
     Each row is taken as it stands in the stream, whether its id is null, repeated or its own."""
-    key, h, *_ = _stream(docs, id_col, text_col, source_col)
+    key, who, h, *_ = _stream(docs, id_col, text_col, source_col)
     placed = _placed(docs, id_col, text_col, source_col, weights, share, repeats).where((F.col("size") > 0) & (F.col("start") < F.col("goal")))
-    placed = placed.select("key", "h", "n", "size", "start", "goal", "source_size", "target", "rank")
+    placed = placed.select("key", "who", "h", "n", "size", "start", "goal", "source_size", "target", "rank")
     # one row of ``placed`` a class of documents: it is as long as ``docs``, so both sides are sorted by the class
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key, h).join(placed.hint("merge"), ["key", "h"])
-    nth = F.row_number().over(Window.partitionBy("key", "h").orderBy(F.xxhash64("doc"))) - 1  # of equal texts of one id
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key, who, h).join(placed.hint("merge"), ["key", "who", "h"])
+    nth = F.row_number().over(Window.partitionBy("key", "who", "h").orderBy(F.xxhash64("doc"))) - 1  # of equal texts of one id
     rows = rows.withColumn("start", F.col("start") + nth * F.col("size"))
     epochs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("start") + e * F.col("source_size")), lambda at: at < F.col("goal"))
     times = rows.select("doc", F.explode(epochs).alias("at"), "target", "rank")

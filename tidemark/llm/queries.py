@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, common, embedding_dedup, lm_scoring, mixing, mpeg_audio, quality, simhash, toxicity, url_filter, warc
+from . import bpe, common, compaction, embedding_dedup, language, lm_scoring, mixing, mpeg_audio, quality, simhash, toxicity, url_filter, warc, whitening
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,42 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch_path(spark, "clicks", keep=True)
+    layout, planned = compaction.compact(table(spark, sf_dir, "clicks"), folder)
+    found = compaction.final_files(spark, layout, folder, planned)
+    return found.withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
+
+
+#: Entries of op12: floor(64 * c) + 1000000.
+X_SCALE, X_SHIFT, COMPONENTS = 64, 1_000_000, 32
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(whitening.usable("embedding"))
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * X_SCALE) + X_SHIFT)
+    vectors = vectors.select("vec_id", x.alias("x"))
+    model = whitening.fit(vectors, "x", COMPONENTS)
+    found = whitening.transform(vectors, model, id_col="vec_id", vector_col="x", keep=("x",))
+    # n*x - S of each dimension, squared and summed in whole numbers; null if that is beyond a long
+    off = F.zip_with("x", whitening.constants(model.sums, "long"), lambda v, s: F.try_subtract(F.try_multiply(v, F.lit(model.n)), s))
+    total = F.aggregate(off, F.lit(0).cast("long"), lambda t, v: F.try_add(t, F.try_multiply(v, v)))
+    rows = found.select("id", F.lit(model.n).cast("long").alias("n"), total.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(whitening.constants(model.explained, "double"), F.col("at") + 1)
+    return rows.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error")
+    )
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(common.remainder(F.col("doc_id"), 4) != 2))
+    found = language.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (common.remainder(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_url_filter, op4_warc, op5_mixing, op6_mpeg_audio, op7_embedding_near_dedup, op8_bpe, op9_quality, op10_simhash_near_dedup)
+    for f in (op1_lm_scoring, op2_toxicity, op3_url_filter, op4_warc, op5_mixing, op6_mpeg_audio, op7_embedding_near_dedup, op8_bpe, op9_quality, op10_simhash_near_dedup, op11_compaction, op12_whitening, op13_language)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op4_warc": OP4_SQL, "op5_mixing": OP5_SQL}
