@@ -29,34 +29,34 @@ from tidemark.session import table
 ORACLE_SQL = None
 
 
-def _drop(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+def _drop(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
     """Keyed docs without the rows whose key is in ``rejected``. Keys are narrow: the texts are only moved
     where the rejected rows are too many for a broadcast."""
-    return docs.join(rejected, common.ROW, "left_anti").drop(common.ROW)
+    return docs.join(rejected, key, "left_anti").drop(key)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below 0.7. Null and empty texts are scored as empty; without labels all rows stay; no rows, none."""
-    docs = common.keyed(docs, "toxicity-docs")
-    scored = toxic_votes.score(docs, table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 3) != 1, key_col=common.ROW)
-    return _drop(docs, common.materialise(scored.where("score >= 0.7").select(F.col("key").alias(common.ROW)), "pipeline-toxic"))
+    docs, row = common.keyed(docs, "toxicity-docs")
+    scored = toxic_votes.score(docs, table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 3) != 1, key_col=row)
+    return _drop(docs, row, common.materialise(scored.where("score >= 0.7").select(F.col("key").alias(row)), "pipeline-toxic"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score 0.3 or more. Null and empty texts are scored as empty; without positives all rows stay; no rows, none."""
-    docs = common.keyed(docs, "quality-docs")
+    docs, row = common.keyed(docs, "quality-docs")
     good = quality.trusted(table(spark, sf_dir, "labels"), common.remainder(F.col("doc_id"), 5) != 0)
-    scored = quality.score(docs, quality.train(docs, good), id_col=common.ROW)
-    return _drop(docs, common.materialise(scored.where("score < 0.3").select(F.col("id").alias(common.ROW)), "pipeline-bad"))
+    scored = quality.score(docs, quality.train(docs, good), id_col=row)
+    return _drop(docs, row, common.materialise(scored.where("score < 0.3").select(F.col("id").alias(row)), "pipeline-bad"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: the smallest id, nulls last, any one of equal ids. Texts without words are one group."""
-    docs = common.keyed(docs, "simhash-docs")
-    groups = simhash.simhash_groups(docs, id_col=common.ROW).select(F.col("id").alias(common.ROW), "component_id")
-    groups = common.materialise(groups.join(docs.select(common.ROW, "doc_id"), common.ROW), "pipeline-groups")
-    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(common.ROW))).alias("m")).select(F.col(f"m.{common.ROW}").alias(common.ROW))
-    return _drop(docs, common.materialise(groups.join(kept, common.ROW, "left_anti").select(common.ROW), "pipeline-copies"))
+    docs, row = common.keyed(docs, "simhash-docs")
+    groups = simhash.simhash_groups(docs, id_col=row).select(F.col("id").alias(row), "component_id")
+    groups = common.materialise(groups.join(docs.select(row, "doc_id"), row), "pipeline-groups")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("m")).select(F.col(f"m.{row}").alias(row))
+    return _drop(docs, row, common.materialise(groups.join(kept, row, "left_anti").select(row), "pipeline-copies"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
