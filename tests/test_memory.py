@@ -83,9 +83,63 @@ def test_collapse_of_windows(spark):
     assert not any({"id5", "id10"} <= g for g in groups) and len(groups) == 8
     for r in retrieve.collapse_duplicates(df, keep=3, near=False).collect():
         assert r.place <= 3
-    a, b = base[0].split(), base[0].split()[10:]
-    assert retrieve.near_duplicate(a, b) and SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, 80, 0, 70).size == 70
-    assert not retrieve.near_duplicate([], a)
+
+
+def run_rule(a: list[str], b: list[str]) -> bool:
+    """Three quarters of the shorter text's words are one run of the longer, and as much of its set of words is in the other's."""
+    if not a or not b or len(set(a) & set(b)) < 0.75 * min(len(set(a)), len(set(b))):
+        return False
+    return SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size >= 0.75 * min(len(a), len(b))
+
+
+def cuts(rng: random.Random, n: int, words: int) -> list[list[str]]:
+    """Texts of few distinct words, many of them cut from each other."""
+    out = []
+    for _ in range(n):
+        if out and rng.random() < 0.7:
+            base = list(rng.choice(out))
+            base = base[rng.randint(0, max(len(base) // 3, 1)) :] + [f"w{rng.randint(0, words)}" for _ in range(rng.randint(0, 3))]
+            if base and rng.random() < 0.3:
+                base[rng.randrange(len(base))] = "other"
+        else:
+            base = [f"w{rng.randint(0, words)}" for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 7, 9, 15, 30, 60)))]
+        out.append(base)
+    return out
+
+
+def test_near_texts_random(spark):
+    rng = random.Random(8)
+    rows = [(q, i, w) for q in range(6) for i, w in enumerate(cuts(rng, 40, rng.choice((3, 40))))]
+    found = {tuple(r) for r in retrieve.near_texts(spark.createDataFrame(rows, "q int, idx int, words array<string>"), "q").collect()}
+    assert found == {(q, i, j) for q, i, a in rows for r, j, b in rows if q == r and i != j and run_rule(a, b)} and len(found) > 50
+
+
+def test_collapse_random(spark):
+    """Groups, places and representatives against the rule applied one text after the other."""
+    rng = random.Random(9)
+    rows = [(q, i, "  ".join(w) if w else None, float(rng.randint(1, 4)), float(rng.randint(1, 3))) for q in range(5) for i, w in enumerate(cuts(rng, 40, 30))]
+    df = spark.createDataFrame(rows, "query_id int, id int, text string, score double, start_ts double")
+    for keep, near in ((6, True), (100, True), (9, False)):
+        want = set()
+        for q in range(5):
+            exact = {}
+            for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1]))[:35]:
+                exact.setdefault(tuple((r[2] or "").split()), []).append(r)
+            pool = []
+            for words, members in exact.items():
+                if len(pool) >= keep:
+                    break
+                top = max(members, key=lambda r: (r[3], r[4]))
+                host = next((g for g in pool if near and run_rule(list(words), list(g[0]))), None)
+                if host is None:
+                    pool.append([words, top, members])
+                else:
+                    host[2] = host[2] + members
+                    if (top[3], top[4]) > (host[1][3], host[1][4]):
+                        host[:2] = [words, top]
+            want |= {(q, k + 1, g[1][1], tuple(sorted(m[1] for m in g[2]))) for k, g in enumerate(pool)}
+        got = {(r.query_id, r.place, r.id, tuple(r.members)) for r in retrieve.collapse_duplicates(df, keep=keep, fetch=35, near=near).collect()}
+        assert got == want
 
 
 def test_merged_candidates_by_hand(spark):

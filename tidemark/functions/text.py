@@ -25,12 +25,14 @@ TOKENS = (
 IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]{2,}\b"
 # Fixed words that are no identifiers.
 STOP_WORDS = (
-    "the and for with this that from into onto your you are was were but not all any can use using run running have has had get "
-    "got via per its out his her him she they them our who why how what when where here there these those such than then also about "
-    "more most less much many some each every either neither both none one two three four five six seven eight nine ten "
-    "quick brown fox jumps over lazy dog see look recall find show tell know think make made "
-    "go went going done do does did doing thing things stuff data info note notes general specific kind type types"
-).split()
+    "the", "and", "for", "with", "this", "that", "from", "into", "onto", "your", "you", "are", "was", "were", "but", "not", "all", "any", "can",
+    "use", "using", "run", "running", "have", "has", "had", "get", "got", "via", "per", "its", "out", "his", "her", "him", "she", "they", "them",
+    "our", "who", "why", "how", "what", "when", "where", "here", "there", "these", "those", "such", "than", "then", "also", "about", "more", "most",
+    "less", "much", "many", "some", "each", "every", "either", "neither", "both", "none", "one", "two", "three", "four", "five", "six", "seven",
+    "eight", "nine", "ten", "quick", "brown", "fox", "jumps", "over", "lazy", "dog", "see", "look", "recall", "find", "show", "tell", "know", "think",
+    "make", "made", "go", "went", "going", "done", "do", "does", "did", "doing", "thing", "things", "stuff", "data", "info", "note", "notes",
+    "general", "specific", "kind", "type", "types",
+)
 # Fixed patterns of structure in a query: tickets, routes, dotted and colon paths, errors, HTTP statuses.
 SIGNALS = (
     r"\b[A-Z][A-Z0-9]{1,9}-\d{1,8}\b",
