@@ -67,7 +67,7 @@ def test_greedy_seeds_with_copies(spark):
                 used |= {a, *group}
                 want |= {(a, b) for b in group}
         pairs = spark.createDataFrame([(a, b, 0.95) for a, b in near] + [(i, x, 1.0) for i, xs in copies.items() for x in xs], "a long, b long, jaccard double")
-        assert {(r.seed, r.id) for r in consolidation.greedy_star(pairs, None).collect()} == want
+        assert {(r.seed, r.id) for r in consolidation.greedy_star(pairs).collect()} == want
 
 
 def test_collapse_of_windows(spark):

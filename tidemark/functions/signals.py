@@ -25,6 +25,23 @@ USER_RULES = (
     ("scope", "decision", r"fuera del scope|fuera de(?:l)? alcance|out of scope"),
     ("we_have", "fact", r"ya tenemos|tenemos otr[oa]|we have another|we already have"),
 )
+# Fixed markers of what is never stored unattended: name, pattern between characters that are no letters, digits or underscores.
+SENSITIVE_FLAGS = (
+    ("identity", r"(?:my|mi|mis) (?:name|surname|email|e-mail|phone|address|birthday|birth date|age|passport|nombre|apellido|correo|tel[eé]fono|celular|direcci[oó]n|cumplea[nñ]os|edad|pasaporte|rut|dni)"),
+    ("money", r"(?:usd|eur|clp|\$\s?\d|dinero|money|precio|price|pago|payment|invertir|invest\w*|inversi[oó]n|sueldo|salary|salario|tarjeta|card|banco|bank|cr[eé]dito|credit)"),
+    ("security", r"(?:password|contrase[nñ]a|clave|token|api[ _-]?key|secret|secreto|ssh|credential\w*|credencial\w*|firewall|2fa|mfa|security|seguridad|permiso\w*|permission\w*|sudo|root)"),
+)
+# Fixed topics that are never acted on unattended: name, patterns anywhere, words between characters that are no letters, digits or underscores.
+SENSITIVE_TOPICS = (
+    ("identity", (r"[\w.+-]+@[\w-]+\.[\w.]+", r"\+\d{1,3}[\s.-]?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){2,4}"),
+     r"\d{1,2}\.?\d{3}\.?\d{3}-[\dkK]|passport|pasaporte|ssn|social security|date of birth|fecha de nacimiento|birthday|cumpleaños|home address|direcci[oó]n|domicilio|rut|dni|c[eé]dula|phone number|tel[eé]fono|celular|whatsapp"),
+    ("money", (r"[$€£]\s?\d",),
+     r"\d[\d.,]*\s?(?:usd|clp|eur|uf|btc|eth)|bank|banco|bancari\w*|iban|swift|credit card|tarjeta|invoice|factura\w*|billing|payment|pago|pagos|salary|sueldo|salario|loan|pr[eé]stamo|deuda|debt|mortgage|hipoteca|"
+     r"tax|impuesto\w*|wallet|crypto\w*|bitcoin|transferencia\w*|budget|presupuesto|price|precio|cost|costo|subscription|suscripci[oó]n|stripe|paypal"),
+    ("security", (),
+     r"security|seguridad|password|passwords|contraseña\w*|passphrase|credential\w*|credencial\w*|secret|secrets|secreto\w*|api[ _-]?keys?|access[ _-]?tokens?|auth(?:entication|enticated|orization|orized)?|oauth|2fa|mfa|totp|otp|"
+     r"ssh|gpg|pgp|private key|llave privada|firewall|vpn|cve-\d+|vulnerab\w*|exploit\w*|malware|phishing|sudo|root access|permission\w*|permiso\w*|encrypt\w*|cifrad\w*|certificate|certificado|keyring|vault token"),
+)
 # Fixed words that ask for an exact reply, and limits of a scripted check.
 EXACT_REPLY = r"(?iu)\b(?:exactly|exactamente|verbatim|literally|literalmente)\b"
 ECHO_PROMPT, ECHO_ANSWER = 500, 80
@@ -112,3 +129,18 @@ def terms_present(terms: list[str], *fields: Column) -> Column:
     lowered = [F.lower(_text(f)) for f in fields]
     hits = [F.when(reduce(lambda a, b: a | b, [F.contains(f, F.lit(t.lower())) for f in lowered]), F.lit(t)) for t in terms if t]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
+def sensitive_flags(text: Column) -> Column:
+    """Names of the markers that a text has: identity, money, security."""
+    return F.array_compact(F.array(*[F.when(_text(text).rlike(rf"(?iuU)(?<!\w)(?:{p})(?!\w)"), F.lit(name)) for name, p in SENSITIVE_FLAGS]))
+
+
+def sensitive_topics(text: Column) -> Column:
+    """Names of the topics that a text touches; broader than the flags, for what is already stored."""
+    text = _text(text)
+
+    def touches(free: tuple[str, ...], words: str) -> Column:
+        return text.rlike("|".join([*free, rf"\b(?:{words})\b"]).join(("(?iuU)(?:", ")")))
+
+    return F.array_compact(F.array(*[F.when(touches(free, words), F.lit(name)) for name, free, words in SENSITIVE_TOPICS]))

@@ -5,59 +5,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import payload as pl
 from ..functions import text as tx
 from ..schema import TERMINAL_STATUSES, now_column
 
 
-def proposal_id(kind: str, ids: Column) -> Column:
-    joined = F.concat_ws(",", F.transform(ids, lambda x: x.cast("string")))
-    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(joined.cast("binary"), 256), 1, 16))
-
-
 def exact_duplicates(points: DataFrame) -> DataFrame:
-    """Groups of two or more points of one fingerprint: members and the canonical one (importance,
-    confidence, created_at, id). Grouped by digest; ids only are collected."""
+    """(proposal_id, canonical_id, n): groups of two or more points of one fingerprint, and the canonical one
+    (importance, confidence, created_at, id). A group is named by its fingerprint, so no group's ids are collected."""
     best = F.max_by("id", F.struct("importance", "confidence", "created_at", "id")).alias("canonical_id")
     rows = points.withColumn("fp", F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256))
-    groups = rows.groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("ids"), best).where(F.size("ids") > 1)
-    return groups.select(proposal_id("duplicate", F.col("ids")).alias("proposal_id"), "canonical_id", F.size("ids").alias("n"))
-
-
-def jaccard_pairs(points: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of Jaccard >= threshold over word sets, exact, by prefix filtering: words in order of
-    rarity; two such sets share one of the first |x| - ceil(t |x|) + 1, so only these are joined, and the
-    pair is looked at where its sizes allow. Equal sets are one representative before the join."""
-    sets = points.select("id", F.array_distinct(tx.tokens(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    sets = sets.groupBy(F.array_sort("w").alias("w")).agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"))
-    words = sets.select("rep", F.explode("w").alias("t"))
-    rarity = words.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ordered = words.join(rarity, "t").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o"))
-    keep = F.size("o") - F.ceil(threshold * F.size("o") - 1e-9).cast("int") + 1
-    prefix = ordered.select("rep", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), keep)).alias("t"))
+    groups = rows.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("n"), best).where("n > 1")
+    return groups.select(F.concat(F.lit("duplicate-"), F.substring("fp", 1, 16)).alias("proposal_id"), "canonical_id", "n")
+
+
+def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None = None, block: str | None = None) -> DataFrame:
+    """(a, b, jaccard): pairs a < b of representatives with Jaccard >= threshold over word sets, and each representative
+    with its copies at 1. Exact, by prefix filtering; only points of one ``block`` (a column) meet, if given.
+
+    Equal sets (by digest) are one representative, the smallest id. Words are 64-bit hashes, in order of rarity:
+    two such sets share one of the first |x| - ceil(t |x|) + 1. A pair is looked at where both sizes and what
+    is left of both behind the shared word allow the overlap it needs. Only representatives' hashes are moved,
+    never texts; the rarest words are joined, so no key is as long as a frequent word's list. Texts without words are in no pair."""
+    own = F.array_distinct(F.filter(words if words is not None else tx.tokens(F.col("text")), lambda w: w != ""))
+    room = F.col(block).cast("string") if block else F.lit("")
+    hashes = F.array_sort(F.array_distinct(F.transform(own, lambda w: F.xxhash64(w, room))))
+    sets = points.select("id", hashes.alias("w")).where(F.size("w") > 0).withColumn("digest", F.md5(F.concat_ws(",", F.transform("w", lambda h: h.cast("string"))).cast("binary")))
+    leader = sets.groupBy("digest").agg(F.min("id").alias("rep"))
+    member = sets.select("digest", "id").join(leader, "digest")
+    reps = sets.join(leader, (sets["digest"] == leader["digest"]) & (sets["id"] == leader["rep"]), "left_semi").select(F.col("id").alias("rep"), "w")
+    listed = reps.select("rep", F.explode("w").alias("t"))
+    rarity = listed.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ordered = listed.join(rarity, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # as long as the set
+    n = F.size("o")
+    keep = n - F.ceil(threshold * n - 1e-9).cast("int") + 1
+    prefix = ordered.select("rep", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "x")).select("rep", "n", "i", F.col("x.t").alias("t"))
     a, b = prefix.alias("a"), prefix.alias("b")
+    need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     close = (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
+    close &= F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need
     candidates = a.join(b, (F.col("a.t") == F.col("b.t")) & close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    left, right = sets.select(F.col("rep").alias("a"), F.col("w").alias("wa")), sets.select(F.col("rep").alias("b"), F.col("w").alias("wb"))
+    left, right = reps.select(F.col("rep").alias("a"), F.col("w").alias("wa")), reps.select(F.col("rep").alias("b"), F.col("w").alias("wb"))
     scored = candidates.join(left, "a").join(right, "b").withColumn("jaccard", tx.jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
-    copies = sets.where(F.size("ids") > 1).select(F.col("rep").alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("b"), F.lit(1.0).alias("jaccard"))
+    copies = member.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return scored.select("a", "b", "jaccard").unionByName(copies)
 
 
 def stale_low_value(points: DataFrame, now: str, *, days: int = 90, importance: int = 4, confidence: float = 0.5) -> DataFrame:
-    old = F.col("created_at") <= now_column(now) - F.expr(f"INTERVAL {days} DAYS")
-    return points.where(old & (F.col("importance") < importance) & (F.col("access_count") == 0) & (F.col("confidence") <= confidence))
-
-
-def status_updates(points: DataFrame) -> DataFrame:
-    """(id, new_status): the flag wins over the stored status."""
-    new = F.when(F.col("stale"), "stale").when(F.col("fact_status") == "superseded", "superseded").when(F.col("requires_review"), "disputed")
-    return points.withColumn("new_status", new).where(F.col("new_status").isNotNull() & (F.coalesce("fact_status", F.lit("active")) != F.col("new_status"))).select("id", "fact_status", "new_status")
+    return points.where(stale_rule(now, days=days, importance=importance, confidence=confidence))
 
 
-def conflicts(points: DataFrame, confidence: float = 0.6) -> DataFrame:
-    """(fact_key, n, n_texts): two or more texts for one fact among non-terminal points."""
+def stale_rule(now: str, *, days: int = 90, importance: int = 4, confidence: float = 0.5) -> Column:
+    old = F.col("created_at") <= now_column(now) - F.expr(f"INTERVAL {days} DAYS")
+    return F.coalesce(old & (F.col("importance") < importance) & (F.col("access_count") == 0) & (F.col("confidence") <= confidence), F.lit(False))
+
+
+def status_update(now: str, confidence: float = 0.6) -> Column:
+    """Struct of the new status of a fact and why, first match: a stale flag, a link to what supersedes it, a link to what
+    invalidates it, a validity that ended. Null: none, or no fact key, or too little confidence (none given counts as 1)."""
+    current = pl.status(F.col("fact_status"), F.col("stale"))
+    linked = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != ""
+    known = (F.coalesce(F.trim("fact_key"), F.lit("")) != "") & (F.coalesce("confidence", F.lit(1.0)) >= confidence)
+    over = (F.col("valid_until") < now_column(now)) & ~current.isin("stale", *TERMINAL_STATUSES)
+    rules = (
+        (F.coalesce(F.col("stale"), F.lit(False)) & (current != "stale"), "stale", "payload stale flag is set"),
+        (linked("superseded_by") & (current != "superseded"), "superseded", "payload superseded_by link is set"),
+        (linked("invalidated_by") & (current != "disputed"), "disputed", "payload invalidated_by link is set"),
+        (over, "stale", "valid_until is in the past"),
+    )
+    found = F
+    for when, what, why in rules:
+        found = found.when(known & when, F.struct(F.lit(what).alias("status"), F.lit(why).alias("reason")))
+    return found
+
+
+def status_updates(points: DataFrame, now: str, confidence: float = 0.6) -> DataFrame:
+    """(id, fact_status, new_status, reason) of points whose stored status should be looked at."""
+    rows = points.withColumn("update", status_update(now, confidence)).where(F.col("update").isNotNull())
+    return rows.select("id", "fact_status", F.col("update.status").alias("new_status"), F.col("update.reason").alias("reason"))
+
+
+def conflicts(points: DataFrame, confidence: float = 0.6, dated: bool = False) -> DataFrame:
+    """(fact_key, n, n_texts): two or more texts for one fact among non-terminal points; ``dated`` adds the times of
+    the first and the last of them."""
     live = points.where((F.col("confidence") >= confidence) & F.coalesce(~F.col("fact_status").isin(*TERMINAL_STATUSES), F.lit(True)))
-    found = live.groupBy("fact_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256)).alias("n_texts"))
+    found = live.groupBy("fact_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256)).alias("n_texts"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    found = found if dated else found.drop("first_at", "last_at")
     return found.where("n >= 2 and n_texts >= 2")
 
 
@@ -80,15 +113,20 @@ KNOWN_HEADINGS = (
 )
 
 
-def heading_noise(points: DataFrame) -> DataFrame:
-    """Texts of at most 80 characters that are only a heading, with ``known``: one of the known ones, which may be
-    removed unattended, or a marked one of four words at most without a sentence, which is for review."""
-    flat = tx.collapse(F.col("text"))
+def heading_kind(text: Column) -> Column:
+    """``known`` for a text of at most 80 characters that is only a known heading, which may be removed unattended; ``generic``
+    for a marked one of four words at most without a sentence, which is for review; else null."""
+    flat = tx.collapse(text)
     bare = F.regexp_replace(flat, r"^(#\s*)+", "")
     words = tx.fingerprint(bare)
-    known = words.isin(*KNOWN_HEADINGS)
     generic = flat.startswith("#") & (F.size(F.filter(F.split(words, " "), lambda w: w != "")) <= 4) & ~bare.rlike("[.!?;:]")
-    return points.withColumn("known", known).where((flat != "") & (F.length(flat) <= 80) & (known | generic))
+    # most texts are longer: they are not cut into words
+    return F.when((F.length(text) > 80) & (F.length(flat) > 80), None).when((flat != "") & (F.length(flat) <= 80), F.when(words.isin(*KNOWN_HEADINGS), "known").when(generic, "generic"))
+
+
+def heading_noise(points: DataFrame) -> DataFrame:
+    """Points whose text is only a heading, with ``known``, see :func:`heading_kind`."""
+    return points.withColumn("known", heading_kind(F.col("text")) == "known").where(F.col("known").isNotNull())
 
 
 def reconsolidations(points: DataFrame, confidence: float = 0.6) -> DataFrame:
@@ -101,7 +139,7 @@ def reconsolidations(points: DataFrame, confidence: float = 0.6) -> DataFrame:
     return found.where("n >= 2 and n_texts >= 2")
 
 
-def greedy_star(pairs: DataFrame, points: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_star(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(seed, id): in id order, a point that no earlier seed took is a seed and takes all points linked to it that
     are left. pairs: (a, b, jaccard), links of representatives and, at 1.0, of each representative to its copies,
     as :func:`jaccard_pairs` gives them; copies go where their representative goes.
@@ -139,18 +177,36 @@ def quarantine(points: DataFrame, ids: DataFrame, until: str) -> DataFrame:
     return out.withColumn("quarantine_until", F.when(F.col("_q"), F.lit(until).cast("timestamp"))).drop("_q")
 
 
-def report(points: DataFrame, now: str, max_groups: int = 20) -> DataFrame:
-    """(proposal_type, position, affected): fixed order of kinds, cut after ``max_groups`` proposals over all."""
-    kinds = [
-        points.where(tx.has_secret(F.col("text"))).select(F.lit(1).alias("o"), F.lit("secret").alias("proposal_type"), F.col("id").alias("key")),
-        heading_noise(points).select(F.lit(2).alias("o"), F.lit("heading_noise").alias("proposal_type"), F.col("id").alias("key")),
-        exact_duplicates(points).select(F.lit(3).alias("o"), F.lit("duplicate").alias("proposal_type"), F.col("canonical_id").alias("key")),
-        stale_low_value(points, now).select(F.lit(4).alias("o"), F.lit("stale_low_value").alias("proposal_type"), F.col("id").alias("key")),
-        promotions(points).select(F.lit(5).alias("o"), F.lit("promotion").alias("proposal_type"), F.col("id").alias("key")),
-        status_updates(points).select(F.lit(6).alias("o"), F.lit("status_update").alias("proposal_type"), F.col("id").alias("key")),
-    ]
-    rows = kinds[0]
-    for kind in kinds[1:]:
-        rows = rows.unionByName(kind)
-    cut = rows.orderBy("o", "key").limit(max_groups)
-    return cut.withColumn("position", F.row_number().over(Window.orderBy("o", "key"))).drop("o")
+def report(points: DataFrame, now: str, *, max_groups: int = 20, max_candidates: int = 10, confidence: float = 0.6, threshold: float = 0.92, facts: bool = True) -> DataFrame:
+    """(proposal_type, position, key): proposals in a fixed order of kinds, each kind cut after ``max_groups`` (kinds about facts:
+    after ``max_candidates``), then all after ``max_groups``. ``key`` is a point's id, a seed's id or a fact key.
+
+    points has, besides their columns: learning (boolean: the pool), promote and promoted (booleans), superseded_by,
+    invalidated_by, valid_until. Headings are in no later kind about texts. Rules that look at one point are
+    evaluated once a row and stacked; a kind is cut by a window that Spark limits before the exchange."""
+    learning, calm = F.coalesce("learning", F.lit(False)), ~F.coalesce("consolidation_quarantined", F.lit(False))
+    rows = points.withColumns({"_secret": tx.has_secret(F.col("text")), "_heading": heading_kind(F.col("text")).isNotNull(), "_learning": learning})
+    rows = rows.withColumn("_update", status_update(now, confidence).isNotNull())
+    old = stale_rule(now)
+    promote = F.col("promote") & ~F.coalesce("promoted", F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= 0.85) & (F.coalesce("importance", F.lit(0)) >= 8)
+    rules = (
+        (1, "quality_warning", F.col("_secret")), (2, "heading_noise", F.col("_heading") & calm), (5, "stale_low_value", ~F.col("_heading") & ~F.col("_learning") & calm & old),
+        (6, "learning_promotion_candidate", F.col("_learning") & promote & ~F.col("_secret")), *([(7, "fact_status_update_candidate", ~F.col("_learning") & F.col("_update"))] if facts else []),
+    )
+    kinds = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(o).alias("o"), F.lit(kind).alias("proposal_type"))) for o, kind, rule in rules]))
+    single = rows.select(F.explode(kinds).alias("k"), F.col("_learning").cast("int").alias("pool"), "id").select("k.o", "k.proposal_type", "pool", F.col("id").alias("nth"), F.col("id").cast("string").alias("key"))
+    whole = rows.where(~F.col("_heading") & calm)
+    seeds = greedy_star(jaccard_pairs(whole, threshold, words=F.split(tx.fingerprint(F.col("text")), " "), block="_learning")).select(F.col("seed").alias("id")).distinct()
+    doubles = whole.join(seeds, "id", "left_semi").select((F.col("_learning").cast("int") + 3).alias("o"), F.lit("duplicate_cluster").alias("proposal_type"), F.lit(0).alias("pool"), F.col("id").alias("nth"), F.col("id").cast("string").alias("key"))
+    parts = single.unionByName(doubles)
+    cap = F.when(F.col("o") >= 7, max_candidates).otherwise(max_groups)
+    cut = parts.withColumn("n", F.row_number().over(Window.partitionBy("o").orderBy("pool", "nth"))).where((F.col("n") <= max(max_groups, max_candidates)) & (F.col("n") <= cap)).drop("nth", "pool")
+    if facts:
+        memory = rows.where(~F.col("_learning"))
+        ordered = Window.partitionBy("o").orderBy("key", "proposal_type")
+        pair = F.array(F.struct(F.lit("fact_conflict_candidate").alias("proposal_type")), F.struct(F.lit("fact_supersession_candidate").alias("proposal_type")))
+        clash = conflicts(memory, confidence, dated=True).select(F.lit(8).alias("o"), F.explode(F.slice(pair, F.lit(1), F.when(F.col("first_at") < F.col("last_at"), 2).otherwise(1))).alias("p"), F.col("fact_key").alias("key")).select("o", "p.proposal_type", "key")
+        again = reconsolidations(memory, confidence).select(F.lit(9).alias("o"), F.lit("reconsolidation_candidate").alias("proposal_type"), F.col("fact_key").alias("key"))
+        cut = cut.unionByName(clash.unionByName(again).withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= max_candidates))
+    final = cut.orderBy("o", "n").limit(max_groups)
+    return final.withColumn("position", F.row_number().over(Window.orderBy("o", "n"))).select("proposal_type", "position", "key")

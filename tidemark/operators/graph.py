@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def neighbours(edges: DataFrame, cap: int) -> DataFrame:
     """(src, dst, n): the first ``cap`` neighbours of each node, by id; loops dropped."""
@@ -64,16 +66,18 @@ def closure(seeds: DataFrame, depends_on: DataFrame, *, depth: int = 8, max_poin
 
 
 def chain(parents: DataFrame, *, depth: int = 32) -> DataFrame:
-    """(id, ancestor, distance) over (id, parent), nearest first, cycles cut, by doubling: one join for
-    each power of two of the depth."""
-    hops = parents.where("parent is not null and parent != id").select("id", F.col("parent").alias("ancestor")).distinct().withColumn("distance", F.lit(1))
-    reach, step, jump = hops, hops, 1
-    while jump < depth:
-        a, b = reach.alias("a"), step.alias("b")
+    """(id, ancestor, distance) over (id, parent), nearest first, cycles cut, by doubling: one join for each power of two
+    of the longest chain, each written to the shared folder, so no plan holds the joins before it."""
+    shared_folder(parents.sparkSession)
+    reach = parents.where("parent is not null and parent != id").select("id", F.col("parent").alias("ancestor")).distinct().withColumn("distance", F.lit(1)).checkpoint()
+    jump, known = 1, reach.count()
+    while jump < depth and known:
+        a, b = reach.alias("a"), reach.alias("b")
         longer = a.join(b, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach = reach.unionByName(longer).where((F.col("distance") <= depth) & (F.col("id") != F.col("ancestor"))).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
-        step = reach
-        jump *= 2
+        reach = reach.unionByName(longer).where((F.col("distance") <= depth) & (F.col("id") != F.col("ancestor"))).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        before, known, jump = known, reach.count(), jump * 2
+        if before == known:
+            break
     return reach
 
 

@@ -99,12 +99,12 @@ def _nothing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "id long, sparse_score double, matched int, literal boolean, quarantined boolean, secret boolean")
 
 
-@R.add(f"WITH {POOL} SELECT vec_id AS id FROM embeddings, q WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v) >= 0.92 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v) DESC, vec_id LIMIT 1")
+@R.add("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS c FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
+SELECT query_id, id FROM s WHERE c >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) = 1""")
 def semantic_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    query = vectors.where("vec_id = 0").first()
-    like = F.array(*[F.lit(float(x)) for x in (query.embedding if query else [])])
-    return retrieve.semantic_duplicate(vectors.withColumnRenamed("vec_id", "id"), like).select("id")
+    """Of every hundredth vector, the nearest other one that reaches the threshold; the queries are one bounded block."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return retrieve.semantic_duplicates(vectors, vectors.where("id % 100 = 0"), threshold=0.4).select("query_id", "id")
 
 
 @R.add()
@@ -117,20 +117,25 @@ def session_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.collapse_duplicates(hits, keep=15, fetch=384).select("query_id", "place", "id", F.size("members").alias("n_members"))
 
 
-@R.add(f"""WITH {POINTS}, {SCORED}, c AS (SELECT id, CASE WHEN id % 29 = 0 THEN '' ELSE {FLAT} END AS flat, ({SECRET_SQL}) AND id % 29 <> 0 AS secret, id % 17 = 0 AS duplicate, {IMPORTANCE} AS importance, id % 3 = 0 AS derived, id % 5 <> 0 AS provenance,
-confidence, id % 4 = 1 AS promote, id % 7 = 2 AS learning FROM imp)
-SELECT id, CASE WHEN flat = '' THEN 'skip' WHEN secret THEN 'reject' WHEN duplicate THEN 'skip' WHEN importance <= 2 THEN 'skip' WHEN derived AND NOT provenance THEN 'draft_review' WHEN derived AND confidence < 0.65 THEN 'draft_review'
-WHEN promote AND confidence >= 0.85 AND importance >= 8 THEN 'skill_candidate' WHEN promote THEN 'draft_review' WHEN learning THEN 'learning_candidate' ELSE 'store' END AS decision,
-CASE WHEN flat = '' THEN 'empty_text' WHEN secret THEN 'possible_secret' WHEN duplicate THEN 'duplicate_candidate' WHEN importance <= 2 THEN 'low_information' WHEN derived AND NOT provenance THEN 'missing_provenance' WHEN derived AND confidence < 0.65 THEN 'low_confidence_derived_write'
-WHEN promote AND confidence >= 0.85 AND importance >= 8 THEN 'skill_candidate' WHEN promote THEN 'weak_skill_candidate' WHEN learning THEN 'learning_candidate' ELSE 'storeable' END AS reason FROM c""")
+@R.add(f"""WITH {POINTS}, {SCORED}, c AS (SELECT id, CASE WHEN id % 29 = 0 THEN '' ELSE {FLAT} END AS flat, (({SECRET_SQL}) AND id % 29 <> 0) OR id % 19 = 0 OR id % 23 = 0 AS secret, id % 17 = 0 AS duplicate, {IMPORTANCE} AS own,
+CASE WHEN id % 12 BETWEEN 1 AND 10 AND id % 19 <> 0 THEN greatest({IMPORTANCE}, id % 12) ELSE {IMPORTANCE} END AS importance, id % 3 = 0 OR id % 14 = 5 AS derived, id % 5 <> 0 OR id % 7 = 3 AS provenance,
+CASE WHEN id % 6 = 4 THEN 0.8::DOUBLE ELSE confidence END AS confidence, id % 4 = 1 AS promote, id % 7 = 2 AS learning FROM imp),
+d AS (SELECT id, CASE WHEN flat = '' THEN 1 WHEN secret THEN 2 WHEN duplicate THEN 3 WHEN own <= 1 OR importance <= 2 THEN 4 WHEN derived AND NOT provenance THEN 5 WHEN derived AND confidence < 0.65 THEN 6
+WHEN promote AND confidence >= 0.85 AND importance >= 8 THEN 7 WHEN promote THEN 8 WHEN learning THEN 9 ELSE 10 END AS r FROM c)
+SELECT id, ['skip', 'reject', 'skip', 'skip', 'draft_review', 'draft_review', 'skill_candidate', 'draft_review', 'learning_candidate', 'store'][r] AS decision,
+['empty_text', 'possible_secret', 'duplicate_candidate', 'low_information', 'missing_provenance', 'low_confidence_derived_write', 'skill_candidate', 'weak_skill_candidate', 'learning_candidate', 'storeable'][r] AS reason, r IN (2, 5, 6, 7, 8, 9) AS requires_review FROM d""")
 def write_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the metadata's keys and in URIs count; so do edges as provenance and the metadata's importance."""
     i = F.col("id")
+    deep = F.struct((i % 12).alias("importance"), F.array(F.struct(F.lit("plain").alias("note"))).alias("list"))
+    bad = F.lit('{"list": [{"deep": {"password: hunter2222": 1}}]}')
     rows = points(spark, sf_dir).select(
-        "id", F.when(i % 29 == 0, "").otherwise(tx.collapse(F.col("text"))).alias("text"), (tx.has_secret(F.col("text")) & (i % 29 != 0)).alias("secret"), (i % 17 == 0).alias("duplicate"),
-        tx.importance(F.col("text"), F.col("source").isin("src1", "src2")).alias("importance"), F.when(i % 7 == 2, "learnings").otherwise("memory").alias("target"), F.lit("conversation").alias("source_type"),
-        F.when(i % 3 == 0, "summary").alias("derivation_type"), (i % 5 != 0).alias("provenance"), "confidence", (i % 4 == 1).alias("promote"),
+        "id", F.when(i % 29 == 0, "  ").otherwise(tx.collapse(F.col("text"))).alias("text"), (i % 17 == 0).alias("duplicate"), tx.importance(F.col("text"), F.col("source").isin("src1", "src2")).alias("importance"),
+        F.when(i % 19 == 0, bad).otherwise(F.to_json(deep)).alias("metadata"), F.when(i % 7 == 2, " Learnings").otherwise("memory").alias("target"), F.when(i % 14 == 5, "Proposal ").otherwise("conversation").alias("source_type"),
+        F.when(i % 3 == 0, " Summary").alias("derivation_type"), F.when(i % 23 == 0, "https://user:pw@host/x").when(i % 5 != 0, "memory://x").alias("source_uri"), F.when(i % 7 == 3, '[{"id": "x"}]').when(i % 7 == 4, "[]").alias("derived_from"),
+        F.when(i % 6 != 4, F.col("confidence")).alias("confidence"), (i % 4 == 1).alias("promote"),
     )
-    return retrieve.write_gate(rows).select("id", "decision", "reason")
+    return retrieve.write_gate(rows).select("id", "decision", "reason", "requires_review")
 
 
 @R.add(f"""WITH {EDGES}, b AS (SELECT src AS id, dst AS other, 'source' AS side FROM e UNION ALL SELECT dst, src, 'target' FROM e) SELECT id, other, side FROM b QUALIFY row_number() OVER (PARTITION BY id, side ORDER BY other) <= 2""")

@@ -138,8 +138,8 @@ def point_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.digest_uuid(F.col("source"), F.col("text")).alias("uid"))
 
 
-@R.add(f"""WITH {POINTS}, {VISIBLE}, g AS (SELECT {FP} AS fp, list_sort(list(id)) AS ids, arg_max(id, (importance, confidence, created_at, id)) AS canonical_id FROM visible GROUP BY 1 HAVING count(*) > 1)
-SELECT 'duplicate-' || substr(sha256(array_to_string(ids, ',')), 1, 16) AS proposal_id, canonical_id, CAST(len(ids) AS INTEGER) AS n FROM g""")
+@R.add(f"""WITH {POINTS}, {VISIBLE}, g AS (SELECT {FP} AS fp, CAST(count(*) AS INTEGER) AS n, arg_max(id, (importance, confidence, created_at, id)) AS canonical_id FROM visible GROUP BY 1 HAVING count(*) > 1)
+SELECT 'duplicate-' || substr(sha256(fp), 1, 16) AS proposal_id, canonical_id, n FROM g""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidation.exact_duplicates(visible(points(spark, sf_dir)))
 
@@ -147,25 +147,19 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = rf"list_distinct(list_filter(string_split(lower({FLAT}), ' '), lambda t: t <> ''))"
 
 
-@R.add(f"""WITH w AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), l AS (SELECT id, w, len(w) AS n FROM w WHERE len(w) > 0)
+@R.add(f"""WITH w AS (SELECT doc_id AS id, list_sort({TOKENS}) AS w FROM documents), m AS (SELECT id, w, min(id) OVER (PARTITION BY w) AS rep FROM w WHERE len(w) > 0), l AS (SELECT id, w, len(w) AS n FROM m WHERE id = rep)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM l a JOIN l b ON a.id < b.id AND least(a.n, b.n) >= 0.92 * greatest(a.n, b.n)
-WHERE len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.92""")
+WHERE len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.92 UNION ALL SELECT rep, id, 1.0::DOUBLE FROM m WHERE id <> rep""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair: groups of equal word sets are expanded, as the report lists all of them."""
+    """Every pair of different word sets, by their representatives, and each representative with its copies."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    pairs = consolidation.jaccard_pairs(docs, 0.92)
-    sets = docs.select("id", F.array_sort(F.array_distinct(tx.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    member = sets.join(sets.groupBy("w").agg(F.min("id").alias("rep")), "w").select("id", "rep")
-    links = pairs.where("jaccard < 1").unionByName(member.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")).distinct())
-    left, right = member.select(F.col("id").alias("x"), F.col("rep").alias("a")), member.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    both = links.join(left, "a").join(right, "b").where("x != y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard")).distinct()
+    return consolidation.jaccard_pairs(docs, 0.92).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @R.add()
 def greedy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return consolidation.greedy_star(consolidation.jaccard_pairs(docs, 0.92), docs)
+    return consolidation.greedy_star(consolidation.jaccard_pairs(docs, 0.92))
 
 
 @R.add(f"WITH {POINTS} SELECT id FROM points WHERE created_at <= TIMESTAMP '2024-05-01 00:00:00' - INTERVAL 90 DAYS AND importance < 4 AND access_count = 0 AND confidence <= 0.5")
@@ -173,10 +167,27 @@ def stale_low_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidation.stale_low_value(points(spark, sf_dir), "2024-05-01 00:00:00").select("id")
 
 
-@R.add(f"""WITH {POINTS}, n AS (SELECT id, fact_status, CASE WHEN stale THEN 'stale' WHEN fact_status = 'superseded' THEN 'superseded' WHEN requires_review THEN 'disputed' END AS new_status FROM points)
-SELECT * FROM n WHERE new_status IS NOT NULL AND coalesce(fact_status, 'active') <> new_status""")
+#: Links and validity of facts, and the pool of learnings, which the tables do not hold.
+FACTS = f"""{POINTS}, facts AS (SELECT *, id % 4 = 3 AS learning, id % 2 = 1 AS promote, id % 10 = 9 AS promoted, CASE WHEN id % 13 = 0 THEN 'p' || (id + 1) WHEN id % 13 = 1 THEN ' ' END AS superseded_by,
+  CASE WHEN id % 17 = 0 THEN 'p' || (id + 2) END AS invalidated_by, CASE WHEN id % 5 = 1 THEN created_at + INTERVAL 10 DAYS END AS valid_until FROM points),
+current AS (SELECT *, CASE WHEN coalesce(fact_status, '') <> '' THEN fact_status WHEN stale THEN 'stale' ELSE 'active' END AS now_status FROM facts),
+updates AS (SELECT *, CASE WHEN confidence < 0.6 THEN NULL WHEN stale AND now_status <> 'stale' THEN 1 WHEN coalesce(trim(superseded_by), '') <> '' AND now_status <> 'superseded' THEN 2 WHEN invalidated_by IS NOT NULL AND now_status <> 'disputed' THEN 3
+  WHEN valid_until < TIMESTAMP '{NOW}' AND now_status NOT IN ('stale', 'superseded', 'deprecated') THEN 4 END AS rule FROM current)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    other = lambda n: F.concat(F.lit("p"), (i + n).cast("string"))
+    return points(spark, sf_dir).withColumns({
+        "learning": i % 4 == 3, "promote": i % 2 == 1, "promoted": i % 10 == 9, "superseded_by": F.when(i % 13 == 0, other(1)).when(i % 13 == 1, " "),
+        "invalidated_by": F.when(i % 17 == 0, other(2)), "valid_until": F.when(i % 5 == 1, F.col("created_at") + F.expr("INTERVAL 10 DAYS")),
+    })
+
+
+@R.add(f"""WITH {FACTS} SELECT id, fact_status, ['stale', 'superseded', 'disputed', 'stale'][rule] AS new_status,
+['payload stale flag is set', 'payload superseded_by link is set', 'payload invalidated_by link is set', 'valid_until is in the past'][rule] AS reason FROM updates WHERE rule IS NOT NULL""")
 def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.status_updates(points(spark, sf_dir))
+    return consolidation.status_updates(_facts(spark, sf_dir), NOW)
 
 
 LIVE = "coalesce(fact_status NOT IN ('superseded', 'deprecated'), true)"
@@ -221,23 +232,35 @@ def heading_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidation.heading_noise(points(spark, sf_dir).withColumn("text", text)).select("id", "known")
 
 
-REPORT = rf"""WITH {POINTS}, k AS (SELECT 1 AS o, 'secret' AS proposal_type, id AS key FROM points WHERE {SECRET_SQL}
-UNION ALL SELECT 2, 'heading_noise', id FROM (SELECT id, {FLAT} AS flat FROM points) WHERE {NOISE}
-UNION ALL SELECT 3, 'duplicate', arg_max(id, (importance, confidence, created_at, id)) FROM points GROUP BY {FP} HAVING count(*) > 1
-UNION ALL SELECT 4, 'stale_low_value', id FROM points WHERE created_at <= TIMESTAMP '{NOW}' - INTERVAL 90 DAYS AND importance < 4 AND access_count = 0 AND confidence <= 0.5
-UNION ALL SELECT 5, 'promotion', id FROM points WHERE confidence >= 0.85 AND importance >= 8 AND NOT ({SECRET_SQL})
-UNION ALL (WITH n AS (SELECT id, fact_status, CASE WHEN stale THEN 'stale' WHEN fact_status = 'superseded' THEN 'superseded' WHEN requires_review THEN 'disputed' END AS s FROM points) SELECT 6, 'status_update', id FROM n WHERE s IS NOT NULL AND coalesce(fact_status, 'active') <> s)),
-c AS (SELECT * FROM k ORDER BY o, key LIMIT 40)"""
-
-
-@R.add(f"{REPORT} SELECT proposal_type, key, CAST(row_number() OVER (ORDER BY o, key) AS INTEGER) AS position FROM c")
+#: Seeds of the greedy clusters of each pool: of the pairs whose ends are both free, the smallest end takes all that are linked to it.
+SEEDS = f"""q AS MATERIALIZED (SELECT id, learning, list_distinct(list_filter(string_split({FP}, ' '), lambda t: t <> '')) AS w FROM facts WHERE NOT consolidation_quarantined AND id NOT IN (SELECT id FROM noise)),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM q a JOIN q b ON a.learning = b.learning AND a.id <> b.id AND len(a.w) > 0 AND least(len(a.w), len(b.w)) >= 0.92 * greatest(len(a.w), len(b.w))
+  WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.92),
+seeds AS (SELECT (SELECT min(a) FROM pairs) AS seed, (SELECT list(b) FROM pairs WHERE a = (SELECT min(a) FROM pairs)) || [(SELECT min(a) FROM pairs)] AS used
+  UNION ALL SELECT n.seed, n.used || [n.seed] || (SELECT coalesce(list(b), []) FROM pairs WHERE a = n.seed) FROM (SELECT (SELECT min(a) FROM pairs WHERE NOT list_contains(s.used, a) AND NOT list_contains(s.used, b)) AS seed, s.used FROM seeds s) n WHERE n.seed IS NOT NULL)"""
+REPORT = rf"""WITH RECURSIVE {FACTS}, noise AS (SELECT id FROM (SELECT id, {FLAT} AS flat FROM points) WHERE {NOISE}), {SEEDS},
+clash AS (SELECT fact_key, min(created_at) < max(created_at) AS two FROM facts WHERE NOT learning AND confidence >= 0.6 AND {LIVE} GROUP BY fact_key HAVING count(*) >= 2 AND count(DISTINCT {FP}) >= 2),
+again AS (SELECT fact_key FROM facts WHERE NOT learning AND confidence >= 0.6 GROUP BY fact_key HAVING count(*) >= 2 AND count(DISTINCT nullif({FP}, '')) >= 2),
+k AS (SELECT 1 AS o, 'quality_warning' AS proposal_type, learning::INT AS pool, id AS nth, CAST(id AS VARCHAR) AS key FROM facts WHERE {SECRET_SQL}
+UNION ALL SELECT 2, 'heading_noise', learning::INT, id, CAST(id AS VARCHAR) FROM facts WHERE id IN (SELECT id FROM noise) AND NOT consolidation_quarantined
+UNION ALL SELECT 3 + learning::INT, 'duplicate_cluster', 0, id, CAST(id AS VARCHAR) FROM facts WHERE id IN (SELECT seed FROM seeds)
+UNION ALL SELECT 5, 'stale_low_value', 0, id, CAST(id AS VARCHAR) FROM facts WHERE created_at <= TIMESTAMP '{NOW}' - INTERVAL 90 DAYS AND importance < 4 AND access_count = 0 AND confidence <= 0.5 AND NOT learning AND NOT consolidation_quarantined AND id NOT IN (SELECT id FROM noise)
+UNION ALL SELECT 6, 'learning_promotion_candidate', 0, id, CAST(id AS VARCHAR) FROM facts WHERE learning AND promote AND NOT promoted AND confidence >= 0.85 AND importance >= 8 AND NOT ({SECRET_SQL})
+UNION ALL SELECT 7, 'fact_status_update_candidate', 0, id, CAST(id AS VARCHAR) FROM updates WHERE rule IS NOT NULL AND NOT learning
+UNION ALL SELECT 8, kind, 0, row_number() OVER (ORDER BY fact_key, kind), fact_key FROM (SELECT fact_key, unnest(['fact_conflict_candidate', 'fact_supersession_candidate'][1:1 + two::INT]) AS kind FROM clash)
+UNION ALL SELECT 9, 'reconsolidation_candidate', 0, row_number() OVER (ORDER BY fact_key), fact_key FROM again),
+n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY pool, nth) AS n FROM k), c AS (SELECT * FROM n WHERE n <= CASE WHEN o >= 7 THEN 10 ELSE 1000 END ORDER BY o, n LIMIT 1000)"""
+
+
+@R.add(f"{REPORT} SELECT proposal_type, key, CAST(row_number() OVER (ORDER BY o, n) AS INTEGER) AS position FROM c")
 def consolidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.report(points(spark, sf_dir), NOW, 40)
+    """At most 1,000 proposals, 10 of each kind about facts: a report for reading."""
+    return consolidation.report(_facts(spark, sf_dir), NOW, max_groups=1000)
 
 
 @R.add(f"{REPORT} SELECT proposal_type, count(*) AS n FROM c GROUP BY proposal_type")
 def consolidation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.report(points(spark, sf_dir), NOW, 40).groupBy("proposal_type").agg(F.count(F.lit(1)).alias("n"))
+    return consolidation.report(_facts(spark, sf_dir), NOW, max_groups=1000).groupBy("proposal_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add(f"WITH {POINTS} SELECT id, consolidation_quarantined OR id % 50 = 3 AS consolidation_quarantined, CASE WHEN id % 50 = 3 THEN '2024-06-01' END AS until FROM points")
