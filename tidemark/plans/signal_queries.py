@@ -32,17 +32,27 @@ def _array(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _rules_sql() -> str:
-    edge, word = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
-    read = f"{_array(OPENINGS)}[1 + turn % {len(OPENINGS)}] || chr(10) || text"
+def unread_sql(text: str) -> str:
+    """What the detector reads of a text."""
     for pattern in sg.UNREAD:
-        read = f"regexp_replace({read}, '{pattern}', ' ', 'g')"
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    return text
+
+
+def hits_sql(t: str) -> str:
+    """List of ``rule:kind`` that fire on what is read."""
+    edge, word = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
     rules = []
     for name, kind, pattern in sg.USER_RULES:
         wide = pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''")
         full = f"(?i){pattern}" if name == "initial_no" else f"(?i){edge}(?:{wide}){word}"
-        rules.append(f"CASE WHEN regexp_matches(t, '{full}') THEN '{name}:{kind}' END")
-    return f"""WITH c AS (SELECT conv_id, turn, {read} AS t FROM conversations), h AS (SELECT conv_id, turn, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS hits FROM c)
+        rules.append(f"CASE WHEN regexp_matches({t}, '{full}') THEN '{name}:{kind}' END")
+    return f"list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL)"
+
+
+def _rules_sql() -> str:
+    read = unread_sql(f"{_array(OPENINGS)}[1 + turn % {len(OPENINGS)}] || chr(10) || text")
+    return f"""WITH c AS (SELECT conv_id, turn, {read} AS t FROM conversations), h AS (SELECT conv_id, turn, {hits_sql('t')} AS hits FROM c)
 SELECT conv_id, turn, split_part(hits[1], ':', 2) AS kind, array_to_string(list_transform(hits, lambda x: split_part(x, ':', 1)), ',') AS rules FROM h"""
 
 
