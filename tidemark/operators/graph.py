@@ -86,3 +86,67 @@ def query_entities(entities: DataFrame, query: str) -> DataFrame:
     text = F.lit(query.casefold())
     names = F.concat(F.array(F.lower("label")), F.transform("aliases", lambda a: F.lower(a)))
     return entities.where(F.exists(names, lambda n: (F.length(n) > 0) & F.contains(text, n)))
+
+
+# Fixed weights of a candidate's score, and bounds of a search.
+WEIGHTS = {"vector": 0.50, "distance": 0.20, "confidence": 0.10, "usefulness": 0.05, "stale": 0.20}
+INACTIVE = ("stale", "superseded", "deprecated", "disputed")
+
+
+def search(seeds: DataFrame, edges: DataFrame, points: DataFrame, *, top_k: int = 8, depth: int = 2, cap: int = 8, total: int = 64, floor: float = 0.0, history: bool = False, max_results: int = 20, weights: dict[str, float] | None = None) -> DataFrame:
+    """(seed, id, distance, path, score, place): the best of what can be reached from each seed.
+
+    seeds: (seed, id, vector_score), entities to start from, best first; edges: (edge_id, src, dst, confidence, status); points:
+    (id, usefulness, status), payload by entity. Each seed expands by itself, level by level. A node looks at the edges where it is the source, then at those
+    where it is the target, by edge id, leaves out inactive edges and those below ``floor``, loops, and what its seed has met on the way (at the last
+    level: on the levels before), and takes the first ``cap`` of the rest; a seed takes ``total`` in all, nodes in the order in which they were met. A candidate
+    scores by its seed's vector score (seeds only), exp(-distance), the mean confidence of its path, usefulness and staleness; none above 0 is
+    dropped, ``max_results``, then ``top_k`` are kept, ties (scores are rounded to nine digits) to the smaller id.
+
+    A level joins the frontier to the edges, numbers the edges of a node (cut to those that can matter before the exchange: ``cap`` and as many as a
+    seed can have met), folds the rows of a seed, which the bounds keep small, and is written to the shared folder, so levels don't pile up in
+    one plan and a hot node is cut where it is read."""
+    shared_folder(edges.sparkSession)
+    w = {**WEIGHTS, **(weights or {})}
+    good = edges.where((F.coalesce("confidence", F.lit(0.0)) >= floor) & F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    if not history:
+        good = good.where(~F.coalesce("status", F.lit("active")).isin(*INACTIVE))
+    conf = F.coalesce("confidence", F.lit(0.0))
+    sides = good.select(F.col("src").alias("id"), F.lit(0).alias("side"), "edge_id", F.col("dst").alias("other"), conf.alias("conf")).unionByName(
+        good.select(F.col("dst").alias("id"), F.lit(1).alias("side"), "edge_id", F.col("src").alias("other"), conf.alias("conf"))
+    )
+    first = seeds.groupBy("seed", "id").agg(F.max("vector_score").alias("vector_score"))
+    order = Window.partitionBy("seed").orderBy(F.desc("vector_score"), "id")
+    kind = first.schema["id"].dataType.simpleString()
+    frontier = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= total).select("seed", "id", "n", F.array("id").alias("path"), F.array().cast("array<double>").alias("confs")).checkpoint()
+    met, found = frontier.groupBy("seed").agg(F.collect_list("id").alias("met"), F.lit(0).alias("used")), None
+    for level in range(1, max(1, min(depth, 3)) + 1):
+        asked = frontier.select("id").distinct()
+        near = sides.join(asked, "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("side", "edge_id"))).where(F.col("k") <= cap + 3 * total)
+        rows = frontier.join(near, "id").select("seed", F.struct("n", "k", "other", F.concat("path", F.array("other")).alias("path"), F.concat("confs", F.array("conf")).alias("confs")).alias("r"))
+        rows = rows.groupBy("seed").agg(F.array_sort(F.collect_list("r")).alias("rows")).join(met, "seed")
+        last = level == depth
+        entry = f"struct<id:{kind},path:array<{kind}>,confs:array<double>>"
+        start = F.struct(F.col("met").alias("met"), F.lit(-1).alias("node"), F.lit(0).alias("taken"), F.array().cast(f"array<{entry}>").alias("out"))
+
+        def step(state, r, last):
+            taken = F.when(state["node"] == r["n"], state["taken"]).otherwise(0)
+            fits = (taken < cap) & (F.size(state["out"]) + F.col("used") < total) & ~F.array_contains(state["met"], r["other"])
+            new = F.struct(r["other"].alias("id"), r["path"].alias("path"), r["confs"].alias("confs"))
+            known = state["met"] if last else F.when(fits, F.array_append(state["met"], r["other"])).otherwise(state["met"])
+            return F.struct(known.alias("met"), r["n"].alias("node"), F.when(fits, taken + 1).otherwise(taken).alias("taken"), F.when(fits, F.array_append(state["out"], new)).otherwise(state["out"]).alias("out"))
+
+        done = rows.select("seed", "used", F.aggregate("rows", start, lambda state, r: step(state, r, last)).alias("s")).checkpoint()
+        level_rows = done.select("seed", F.posexplode("s.out").alias("at", "x")).select("seed", "x.id", F.lit(level).alias("distance"), (F.col("at") + 1).alias("n"), "x.path", "x.confs")
+        found = level_rows if found is None else found.unionByName(level_rows)
+        frontier = level_rows.select("seed", "id", "n", "path", "confs")
+        met = done.select("seed", F.col("s.met").alias("met"), (F.col("used") + F.size("s.out")).alias("used"))
+    own = first.select("seed", "id", F.lit(0).alias("distance"), F.lit(0).alias("n"), F.array("id").alias("path"), F.array().cast("array<double>").alias("confs"), "vector_score")
+    every = own.unionByName(found.withColumn("vector_score", F.lit(0.0)))
+    best = every.groupBy("seed", "id").agg(F.min_by(F.struct("distance", "path", "confs", "vector_score"), F.struct("distance", "n")).alias("c")).select("seed", "id", "c.*")
+    best = best.join(points.select("id", "usefulness", "status"), "id", "left")
+    mean = F.when(F.size("confs") > 0, F.aggregate("confs", F.lit(0.0), lambda a, c: a + c) / F.size("confs")).otherwise(0.0)
+    score = w["vector"] * F.col("vector_score") + F.when(F.col("distance") > 0, w["distance"] * F.exp(-F.col("distance").cast("double"))).otherwise(0.0) + w["confidence"] * mean
+    score = score + w["usefulness"] * F.coalesce("usefulness", F.lit(0.0)) - F.when(F.col("status").isin(*INACTIVE), w["stale"]).otherwise(0.0)
+    placed = best.withColumn("score", F.round(score, 9)).where("score > 0").withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id")))
+    return placed.where(F.col("place") <= min(top_k, max_results)).select("seed", "id", "distance", "path", "score", "place")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonwalk, secrets, signals
-from ..operators import origin
-from ..session import table
+from ..operators import graph, origin, tree
+from ..schema import points
+from ..session import shared_folder, table
 from .common import Registry
 from .quality_queries import SECRET_SQL
+from .structure_queries import NODES, _nodes
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -119,3 +121,54 @@ def origin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(conv.alias("c"), F.substring("text", 1, 600).alias("t"))).alias("body"), (conv % 41 != 0).alias("resolved"),
     )
     return origin.merge(rows).withColumn("quote", F.md5(F.col("quote").cast("binary")))
+
+
+#: Trees of documents: nodes over chunks of a source, over the sources of a language, and a root; a walk starts at a source's nodes.
+TREES = f"""{NODES}, one AS (SELECT profile_id, source, node_id, chunk, 1 AS level, list_transform(children, lambda x: 'd' || x) AS child_ids, ['s-' || profile_id || '-' || source] AS parent_ids FROM nodes),
+two AS (SELECT profile_id, source, 's-' || profile_id || '-' || source AS node_id, 2 AS level, list(node_id ORDER BY node_id) AS child_ids, ['r-' || profile_id] AS parent_ids FROM one GROUP BY profile_id, source),
+three AS (SELECT profile_id, 'r-' || profile_id AS node_id, 3 AS level, list(node_id ORDER BY node_id) AS child_ids FROM two GROUP BY profile_id),
+tops AS (SELECT profile_id, source, node_id, chunk FROM one QUALIFY row_number() OVER (PARTITION BY profile_id, source ORDER BY node_id) <= 3),
+met AS (SELECT profile_id || '/' || source AS walk, o.node_id, 0 AS depth, row_number() OVER (PARTITION BY profile_id, source ORDER BY o.node_id) AS place, o.child_ids, o.chunk % 3 = 2 AS flagged FROM one o SEMI JOIN tops t ON o.node_id = t.node_id
+  UNION ALL SELECT w.walk, t.node_id, 1, w.n + 1, t.child_ids, false FROM (SELECT profile_id || '/' || source AS walk, profile_id, source, count(*) AS n FROM tops GROUP BY ALL) w JOIN two t ON t.profile_id = w.profile_id AND t.source = w.source
+  UNION ALL SELECT w.walk, r.node_id, 2, w.n + 2, r.child_ids, false FROM (SELECT profile_id || '/' || source AS walk, profile_id, count(*) AS n FROM tops GROUP BY profile_id, source) w JOIN three r ON r.profile_id = w.profile_id),
+kids AS (SELECT walk, place, node_id, unnest(child_ids) AS id, generate_subscripts(child_ids, 1) AS pos FROM met), cited AS (SELECT * FROM kids WHERE pos <= 8),
+leaves AS (SELECT 'd' || id AS id, id % 23 = 5 AS bad FROM points WHERE id % 31 <> 7 UNION ALL SELECT node_id, chunk % 3 = 2 FROM one UNION ALL SELECT node_id, false FROM two),
+bad AS (SELECT c.walk, c.place, bool_or(coalesce(l.bad, true)) AS trouble FROM cited c LEFT JOIN leaves l ON l.id = c.id GROUP BY 1, 2)"""
+
+
+@R.add(f"""WITH {TREES} SELECT m.walk, 'summary' AS kind, m.node_id AS id, NULL AS parent, CASE WHEN flagged THEN 'review_required' WHEN trouble THEN 'stale' ELSE 'active' END AS status, depth, CAST(m.place AS INTEGER) AS place FROM met m LEFT JOIN bad b ON b.walk = m.walk AND b.place = m.place
+UNION ALL SELECT walk, 'leaf', c.id, node_id, 'safe', NULL, CAST(row_number() OVER (PARTITION BY walk ORDER BY node_id, c.id) AS INTEGER) FROM cited c JOIN leaves l ON l.id = c.id WHERE NOT l.bad""")
+def tree_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up from the first nodes of each source in each tree, with the children that each summary cites."""
+    up = F.concat_ws("-", F.lit("s"), "profile_id", "source")
+    one = _nodes(spark, sf_dir).select("profile_id", "source", "chunk", "node_id", "text", F.transform("children", lambda x: F.concat(F.lit("d"), x.cast("string"))).alias("child_ids"), F.array(up).alias("parent_ids"))
+    shared_folder(spark)
+    one = one.checkpoint()  # read by every level
+    listed = F.array_sort(F.collect_list("node_id")).alias("child_ids")  # of one source, or of one language
+    two = one.groupBy("profile_id", "source").agg(listed).withColumn("node_id", up).withColumn("parent_ids", F.array(F.concat(F.lit("r-"), "profile_id")))
+    three = two.groupBy("profile_id").agg(listed).withColumn("node_id", F.concat(F.lit("r-"), "profile_id"))
+    flagged = F.col("chunk") % 3 == 2
+    reasons = F.when(flagged, F.array(F.lit("requires_review"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    nodes = one.select("node_id", F.lit(1).alias("level"), "child_ids", "parent_ids", "text", F.lit(False).alias("secret"), reasons.alias("reasons"))
+    nodes = nodes.unionByName(two.select("node_id", F.lit(2).alias("level"), "child_ids", "parent_ids", F.lit("sources").alias("text"), F.lit(False).alias("secret"), none.alias("reasons")))
+    nodes = nodes.unionByName(three.select("node_id", F.lit(3).alias("level"), "child_ids", none.alias("parent_ids"), F.lit("root").alias("text"), F.lit(False).alias("secret"), none.alias("reasons")))
+    rows = points(spark, sf_dir).where("id % 31 != 7").select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "text", (F.col("id") % 23 == 5).alias("unsafe"), F.lit(False).alias("secret"))
+    leaves = rows.unionByName(one.select(F.col("node_id").alias("id"), "text", flagged.alias("unsafe"), F.lit(False).alias("secret"))).unionByName(two.select(F.col("node_id").alias("id"), F.lit("sources").alias("text"), F.lit(False).alias("unsafe"), F.lit(False).alias("secret")))
+    first = one.withColumn("rank", F.row_number().over(Window.partitionBy("profile_id", "source").orderBy("node_id"))).where(F.col("rank") <= 3)
+    seeds = first.select(F.concat_ws("/", "profile_id", "source").alias("walk"), "node_id", "rank")
+    return tree.walk(seeds, nodes, leaves, top_k=20, max_children=8).select("walk", "kind", "id", "parent", "status", "depth", "place")
+
+
+@R.add()
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every hundredth customer over all orders and their parts; no SQL, as what a seed has met decides what counts."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    status = lambda c: F.when(F.col(c) % 13 == 0, "superseded").otherwise("active")
+    placed = orders.select(name("eo", "o_orderkey").alias("edge_id"), name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), status("o_orderkey").alias("status"))
+    parts = items.select(F.concat_ws("-", name("el", "l_orderkey"), F.col("l_partkey").cast("string")).alias("edge_id"), name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), (F.col("l_quantity") / 50).alias("confidence"), status("l_partkey").alias("status")).distinct()
+    seeds = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(name("c", "c_custkey").alias("seed"), name("c", "c_custkey").alias("id"), F.lit(0.6).alias("vector_score"))
+    payload = table(spark, sf_dir, "part").select(name("p", "p_partkey").alias("id"), (F.col("p_size") / 50).alias("usefulness"), F.when(F.col("p_partkey") % 7 == 0, "stale").alias("status"))
+    found = graph.search(seeds, placed.unionByName(parts), payload, top_k=20)
+    return found.withColumn("path", F.concat_ws(">", "path"))
