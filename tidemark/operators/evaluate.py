@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, vector
 
 
 def score_runs(runs: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
@@ -95,3 +95,59 @@ def gate(summary: DataFrame, candidate: str, baselines: list[str], bounds: dict[
     missing = F.array(result("candidate_present", F.lit(0.0), F.lit(1.0), F.lit(False)))
     checks = F.when(F.col("present"), F.array(*[check(name, metric, kind) for name, metric, kind, _ in CHECKS])).otherwise(missing)
     return row.select(F.explode(checks).alias("c")).select("c.*")
+
+
+def asof_candidates(questions: DataFrame, items: DataFrame, k: int, *, block: int = 256) -> DataFrame:
+    """The ``k`` most similar items of each question among those that were there at its cutoff: (question, item, score).
+
+    questions: (question, cutoff, v), a stated set; items: (item, created_at, v). Questions go in blocks of ``block``, one row each; an item meets every
+    block once, its score and time are looked at there, and a task keeps ``k`` rows a question before the exchange."""
+    number = F.pmod(F.xxhash64("question"), F.greatest(F.lit(1), F.ceil(F.lit(questions.count() / block))))
+    blocks = questions.withColumn("part", number).groupBy("part").agg(F.collect_list(F.struct("question", "cutoff", "v")).alias("block"))
+    rows = items.select("item", "created_at", F.col("v").alias("w")).join(F.broadcast(blocks))
+    open_ones = F.filter("block", lambda q: q["cutoff"] >= F.col("created_at"))
+    scored = rows.select("item", F.explode(F.transform(open_ones, lambda q: F.struct(q["question"].alias("question"), vector.cosine(q["v"], F.col("w")).alias("score")))).alias("x")).select("x.question", "item", "x.score")
+    best = Window.partitionBy("question").orderBy(F.desc("score"), "item")
+    return scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+
+
+def threshold_grid(questions: DataFrame, candidates: DataFrame, floors: list[float], budget: int) -> DataFrame:
+    """(set, floor, questions, hits, nonempty, entries, chars) for every floor, from one pass over the candidates.
+
+    questions: (question, set); candidates: (question, item, score, chars, answers). A question is given its candidates in order of score while
+    their lengths stay within the budget and their score reaches the floor. A floor only cuts the end of that list, so a candidate counts
+    for all floors up to its own score, and a question is a hit for all floors up to the score of its best answer: each is put
+    in the bin of the highest floor it reaches, and a cell is the sum of the bins from its floor on. Sets without candidates have zeros."""
+    steps = sorted(floors)
+    grid = F.array(*[F.lit(float(f)) for f in steps])
+    order = Window.partitionBy("question").orderBy(F.desc("score"), "item").rowsBetween(Window.unboundedPreceding, 0)
+    kept = candidates.withColumn("so_far", F.sum("chars").over(order)).where(F.col("so_far") <= budget).withColumn("bin", F.size(F.filter(grid, lambda f: f <= F.col("score"))))
+    kept = kept.join(questions, "question").where("bin > 0")
+    each = kept.groupBy("set", "question").agg(F.max("bin").alias("any"), F.max(F.when(F.col("answers"), F.col("bin"))).alias("hit"))
+    zero = F.lit(0).cast("long")
+    parts = [
+        kept.groupBy("set", "bin").agg(zero.alias("hits"), zero.alias("nonempty"), F.count(F.lit(1)).alias("entries"), F.sum("chars").cast("long").alias("chars")),
+        each.groupBy("set", F.col("any").alias("bin")).agg(zero.alias("hits"), F.count(F.lit(1)).alias("nonempty"), zero.alias("entries"), zero.alias("chars")),
+        each.where("hit IS NOT NULL").groupBy("set", F.col("hit").alias("bin")).agg(F.count(F.lit(1)).alias("hits"), zero.alias("nonempty"), zero.alias("entries"), zero.alias("chars")),
+    ]
+    bins = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("floor", F.explode(F.slice(grid, F.lit(1), F.col("bin"))))
+    names = ("hits", "nonempty", "entries", "chars")
+    cells = bins.groupBy("set", "floor").agg(*[F.sum(n).alias(n) for n in names])
+    every = questions.groupBy("set").agg(F.count(F.lit(1)).alias("questions")).withColumn("floor", F.explode(grid))
+    return every.join(cells, ["set", "floor"], "left").select("set", "floor", "questions", *[F.coalesce(n, zero).alias(n) for n in names])
+
+
+def matrix(runs: DataFrame, *, accuracy: int = 10_000) -> DataFrame:
+    """(variant, domain, tag, runs, hit_rate, wrong_rate, latency_p50, latency_p95): rates over all runs, and by variant, domain and tag in every
+    combination that makes sense; a null stands for all. runs: (variant, domain, tags, hit, wrong, latency_ms).
+
+    A run has many tags but counts once where tags are not asked for, so sets with a tag group the exploded runs and the others the runs themselves. Latencies
+    are mergeable quantile sketches (``accuracy`` bounds their rank error to 1 / accuracy), combined before the exchange."""
+    def rates(grouped) -> DataFrame:
+        quantile = lambda q: F.percentile_approx("latency_ms", q, accuracy)
+        rate = lambda c: F.round(100.0 * F.avg(F.col(c).cast("double")), 4)
+        return grouped.agg(F.count(F.lit(1)).alias("runs"), rate("hit").alias("hit_rate"), rate("wrong").alias("wrong_rate"), quantile(0.5).alias("latency_p50"), quantile(0.95).alias("latency_p95"))
+
+    plain = rates(runs.groupingSets([["variant", "domain"], ["variant"], ["domain"], []], "variant", "domain")).withColumn("tag", F.lit(None).cast("string"))
+    tagged = rates(runs.withColumn("tag", F.explode(F.array_distinct("tags"))).groupingSets([["variant", "domain", "tag"], ["variant", "tag"], ["tag"]], "variant", "domain", "tag"))
+    return plain.unionByName(tagged)
