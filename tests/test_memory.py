@@ -160,7 +160,7 @@ def test_merged_candidates_by_hand(spark):
 def test_clean_texts(spark):
     cases = {
         "a\n# Relevant Long-Term Memory\nold\n## sub\n# New\nb": "a\n# New\nb", "# past learnings\nx\n  # Past Learnings\ny": "", "a\n\n\n\nb": "a\n\nb",
-        "x ```qdrant-memory\nz``` y": "x  y", "  plain ": "plain", None: "", "a\r\nb": "a\nb",
+        "x ```memory\nz``` y": "x  y", "  plain ": "plain", None: "", "a\r\nb": "a\nb",
     }
     got = {r.text: r.c for r in spark.createDataFrame([(t,) for t in cases], "text string").select("text", pl.clean(F.col("text")).alias("c")).collect()}
     assert got == cases

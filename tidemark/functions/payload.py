@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -141,9 +142,9 @@ def event_kind(pending: Column, bootstrap: Column, here: Column, old_hash: Colum
     )
 
 
-def clean(text: Column) -> Column:
+def clean(text: Column, fence: str = "memory") -> Column:
     """Text as it is stored: without blocks that recall put there (from their heading to the next heading of
-    the first level that is none), without fences of the store's own, no more than one empty line in a row."""
+    the first level that is none), without fenced blocks of the store's own tag ``fence``, no more than one empty line in a row."""
     injected = r"(?i)^#\s+(Relevant Long-Term Memory|Past Learnings)\b"
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
     start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
@@ -154,4 +155,4 @@ def clean(text: Column) -> Column:
         return F.struct(skip.alias("skip"), F.when(skip, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
 
     kept = F.concat_ws("\n", F.aggregate(lines, start, step)["kept"])
-    return F.trim(F.regexp_replace(F.regexp_replace(kept, r"(?i)```qdrant-memory[\s\S]*?```", ""), r"\n{3,}", "\n\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(kept, rf"(?i)```{re.escape(fence)}\b[\s\S]*?```", ""), r"\n{3,}", "\n\n"))
