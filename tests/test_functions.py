@@ -109,8 +109,7 @@ def test_event_stream_equals_batch(spark, tmp_path):
 def test_components_and_greedy(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (7, 9, 0.9), (3, 4, 0.9)], "a long, b long, jaccard double")
     assert {r.node: r.component for r in components.components(pairs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 9: 7}
-    points = spark.createDataFrame([(i,) for i in range(10)], "id long")
-    taken = consolidation.greedy_star(pairs, points).collect()
+    taken = consolidation.greedy_star(pairs).collect()
     assert sorted((r.seed, r.id) for r in taken) == [(1, 2), (3, 4), (7, 9)]
 
 

@@ -195,8 +195,30 @@ def test_graph_sides_and_entities(spark):
     assert found == {("x", "1", False), ("y", "y", True), ("z", "z", True)}
 
 
-@pytest.mark.parametrize(("bad", "why"), [({"text": ""}, "empty_text"), ({"secret": True}, "possible_secret"), ({"duplicate": True}, "duplicate_candidate"), ({"importance": 2}, "low_information"), ({"derivation_type": "draft", "provenance": False}, "missing_provenance"), ({"source_type": "proposal", "confidence": 0.6}, "low_confidence_derived_write"), ({"promote": True, "importance": 8, "confidence": 0.85}, "skill_candidate"), ({"promote": True}, "weak_skill_candidate"), ({"target": "learnings"}, "learning_candidate"), ({}, "storeable")])
-def test_write_gate_rules(spark, bad, why):
-    row = {"text": "t", "secret": False, "duplicate": False, "importance": 5, "target": "memory", "source_type": "conversation", "derivation_type": None, "provenance": True, "confidence": 0.9, "promote": False} | bad
-    df = spark.createDataFrame([tuple(row.values())], "text string, secret boolean, duplicate boolean, importance int, target string, source_type string, derivation_type string, provenance boolean, confidence double, promote boolean")
-    assert retrieve.write_gate(df).first().reason == why
+GATE_CASES = (
+    ({"text": " "}, "empty_text"), ({"text": None}, "empty_text"), ({"text": "password: hunter2222"}, "possible_secret"), ({"metadata": '{"a": [{"b": "password: hunter2222"}]}'}, "possible_secret"),
+    ({"metadata": '{"a": {"token = abcdef12345": 1}}'}, "possible_secret"), ({"derived_from": '[{"id": "api_key: abcdef12345"}]'}, "possible_secret"), ({"source_uri": "https://me:pw@host/"}, "possible_secret"),
+    ({"duplicate": True}, "duplicate_candidate"), ({"importance": 1, "metadata": '{"importance": 9}'}, "low_information"), ({"importance": 2}, "low_information"), ({"importance": 2, "metadata": '{"importance": "3"}'}, "storeable"),
+    ({"importance": 2, "metadata": '{"importance": 11}'}, "low_information"), ({"derivation_type": " Draft", "source_uri": ""}, "missing_provenance"), ({"derivation_type": "draft", "source_uri": None, "derived_from": "[1]"}, "missing_provenance"),
+    ({"derivation_type": "draft", "source_uri": None, "derived_from": '[{"id": "p"}]'}, "storeable"), ({"source_type": "Proposal ", "confidence": 0.6}, "low_confidence_derived_write"), ({"source_type": "proposal", "confidence": None}, "storeable"),
+    ({"promote": True, "metadata": '{"importance": 8}', "confidence": 0.85}, "skill_candidate"), ({"promote": True}, "weak_skill_candidate"), ({"target": " LEARNINGS "}, "learning_candidate"), ({"source_type": "learning"}, "learning_candidate"), ({}, "storeable"),
+)
+
+
+def test_write_gate_rules(spark):
+    base = {"text": "t", "duplicate": False, "importance": 5, "metadata": None, "target": "memory", "source_type": "conversation", "derivation_type": None, "source_uri": "memory://x", "derived_from": None, "confidence": 0.9, "promote": False}
+    rows = [(i, *(base | bad).values()) for i, (bad, _) in enumerate(GATE_CASES)]
+    df = spark.createDataFrame(rows, "n int, text string, duplicate boolean, importance int, metadata string, target string, source_type string, derivation_type string, source_uri string, derived_from string, confidence double, promote boolean")
+    assert {r.n: r.reason for r in retrieve.write_gate(df).collect()} == {i: why for i, (_, why) in enumerate(GATE_CASES)}
+
+
+def test_status_updates_by_hand(spark):
+    cases = {
+        1: ((True, "active", "k", 0.9, None, None, None), "stale"), 2: ((True, "stale", "k", 0.9, "p", None, None), "superseded"), 3: ((False, "superseded", "k", 0.9, "p", "q", None), "disputed"), 4: ((False, "disputed", "k", 0.9, None, "q", "2024-01-01"), "stale"),
+        5: ((False, "superseded", "k", 0.9, None, None, "2024-01-01"), None), 6: ((False, None, "k", 0.9, " ", "", "2024-01-01"), "stale"), 7: ((False, "active", "k", 0.9, None, None, "2025-01-01"), None), 8: ((True, "active", " ", 0.9, None, None, None), None),
+        9: ((True, "active", "k", 0.5, None, None, None), None), 10: ((True, "active", "k", None, None, None, None), "stale"), 11: ((True, None, "k", 0.9, None, None, None), None), 12: ((None, "stale", "k", 0.9, None, None, "2024-01-01"), None),
+    }
+    df = spark.createDataFrame([(i, *row) for i, (row, _) in cases.items()], "id int, stale boolean, fact_status string, fact_key string, confidence double, superseded_by string, invalidated_by string, valid_until string")
+    df = df.withColumn("valid_until", F.col("valid_until").cast("timestamp"))
+    got = {r.id: r.new_status for r in consolidation.status_updates(df, "2024-06-01 00:00:00").collect()}
+    assert got == {i: want for i, (_, want) in cases.items() if want}
