@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import payload as pl
 from ..functions import text as tx
 from ..schema import TERMINAL_STATUSES, now_column
+from ..session import shared_folder
 
 
 def exact_duplicates(points: DataFrame) -> DataFrame:
@@ -30,10 +31,13 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
     own = F.array_distinct(F.filter(words if words is not None else tx.tokens(F.col("text")), lambda w: w != ""))
     room = F.col(block).cast("string") if block else F.lit("")
     hashes = F.array_sort(F.array_distinct(F.transform(own, lambda w: F.xxhash64(w, room))))
-    sets = points.select("id", hashes.alias("w")).where(F.size("w") > 0).withColumn("digest", F.md5(F.concat_ws(",", F.transform("w", lambda h: h.cast("string"))).cast("binary")))
+    # texts are cut into words once: the hashes are written to the shared folder and read from there by all that follows
+    shared_folder(points.sparkSession)
+    sets = points.select("id", hashes.alias("w")).where(F.size("w") > 0)
+    sets = sets.withColumn("digest", F.concat_ws("-", F.xxhash64("w").cast("string"), F.xxhash64(F.lit(1), "w").cast("string"))).checkpoint()
     leader = sets.groupBy("digest").agg(F.min("id").alias("rep"))
     member = sets.select("digest", "id").join(leader, "digest")
-    reps = sets.join(leader, (sets["digest"] == leader["digest"]) & (sets["id"] == leader["rep"]), "left_semi").select(F.col("id").alias("rep"), "w")
+    reps = sets.join(leader, (sets["digest"] == leader["digest"]) & (sets["id"] == leader["rep"]), "left_semi").select(F.col("id").alias("rep"), "w").checkpoint()
     listed = reps.select("rep", F.explode("w").alias("t"))
     rarity = listed.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ordered = listed.join(rarity, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # as long as the set
@@ -147,8 +151,6 @@ def greedy_star(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     A representative is a seed if none of its smaller neighbours is one, and is taken by its smallest neighbour
     that is. Each round settles all whose smaller neighbours are settled, by joins of the links that are left: no
     group is collected anywhere. Rounds are cut by checkpoints in the folder that the session names."""
-    from ..session import shared_folder
-
     shared_folder(pairs.sparkSession)
     copies = pairs.where("jaccard >= 1").select(F.col("a").alias("rep"), F.col("b").alias("id"))
     links = pairs.where("jaccard < 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
