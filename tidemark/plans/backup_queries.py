@@ -52,4 +52,6 @@ def restore_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored, then restored again."""
     stored, now = _backup_and_current(spark, sf_dir)
-    return backup.restore(stored, backup.restore(stored, now, live=("origin",)), live=("origin",))
+    shared_folder(spark)
+    once = backup.restore(stored, now, live=("origin",)).checkpoint()
+    return backup.restore(stored, once, live=("origin",))

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
+from ..session import shared_folder
+
 FORMAT = "tidemark_backup"
 VERSION = 1
 MANIFEST = "_manifest.json"
@@ -333,9 +335,12 @@ def restore(backup: DataFrame, current: DataFrame, *, protected: Column | None =
     """What is there after the backup is restored: changed and missing points as they were, all others untouched. Columns in ``live`` keep the value
     that the current row has, if any. Refused as a whole if a single point is; restoring twice changes nothing more."""
     action = outcomes(backup, current, protected)
-    refused = action.where("action = 'refused'").first()
-    if refused is not None:
-        raise BackupError(f"protected point would be overwritten: {refused.id}")
+    if protected is not None:
+        shared_folder(backup.sparkSession)
+        action = action.checkpoint()
+        refused = action.where("action = 'refused'").first()
+        if refused is not None:
+            raise BackupError(f"protected point would be overwritten: {refused.id}")
     back = backup.drop("point_sha256").join(action.where("action IN ('changed', 'missing')").select("id"), "id", "left_semi")
     if live:
         own = current.select("id", *[F.col(c).alias(f"_live_{c}") for c in live])
