@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import payload as pl
 from ..functions import text as tx
 from ..operators import consolidation, graph, retrieve, tree, windows
-from ..schema import points, visible
+from ..schema import NOW, points, visible
 from ..session import table
 from .common import POINTS, POOL, VISIBLE, Registry
 from .quality_queries import FLAT, FP, IMPORTANCE, SCORED, SECRET_SQL, secret_sql
-from .ranking_queries import _pool
+from .ranking_queries import CANONICAL, MINMAX, PROVENANCE, RECENCY, _pool
 from .structure_queries import EDGES, NODES, _edges, _nodes
 
 R = Registry()
@@ -87,6 +87,21 @@ def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.merge_candidates(dense, sparse).withColumn("dense_score", F.round("dense_score", 6)).withColumn("combined", F.round("combined", 6))
 
 
+@R.add(f"""WITH {POOL}, {WORDS}, t AS (SELECT p.id, list_distinct(list_filter(string_split(lower({FLAT.replace('text', 'p.text')}), ' '), lambda x: x <> '')) AS words FROM visible p),
+u AS (SELECT id, CAST(len(list_intersect(words, q)) AS DOUBLE) AS sparse FROM t, w WHERE len(list_intersect(words, q)) > 0), n AS (SELECT id, similarity, {MINMAX} AS normalised FROM pool),
+c AS (SELECT coalesce(n.id, u.id) AS id, similarity, coalesce(sparse, 0.0::DOUBLE) AS sparse, coalesce(normalised, least(1.0::DOUBLE, sparse / 4.0::DOUBLE)) AS near FROM n FULL JOIN u ON n.id = u.id),
+s AS (SELECT c.*, (near * importance / 10.0::DOUBLE * {RECENCY} + 0.25::DOUBLE * sparse) * {PROVENANCE} * {CANONICAL} AS score FROM c JOIN points p ON p.id = c.id WHERE NOT {secret_sql('p.text')})
+SELECT id, CAST(row_number() OVER (ORDER BY score DESC, similarity DESC NULLS LAST, id) AS INTEGER) AS rank, sparse, round(score, 6) AS score, similarity IS NULL AS only_sparse FROM s ORDER BY score DESC, similarity DESC NULLS LAST, id LIMIT 20""")
+def hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense pool and the points that share words with one text, ranked together."""
+    first = table(spark, sf_dir, "documents").where("doc_id = 1").select(F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda t: F.length(t) > 5)).alias("q")).first()
+    query = F.array(*[F.lit(w) for w in (first.q if first else [])]).cast("array<string>")
+    rows = visible(points(spark, sf_dir))
+    shared = rows.select("id", F.size(F.array_intersect(F.array_distinct(tx.tokens(F.col("text"))), query)).cast("double").alias("sparse_score"))
+    found = retrieve.hybrid_search(_pool(spark, sf_dir).select("id", "similarity"), rows, shared, now=NOW, top_k=20)
+    return found.select("id", "rank", F.col("sparse_score").alias("sparse"), F.round("score", 6).alias("score"), F.col("similarity").isNull().alias("only_sparse"))
+
+
 @R.add(f"""WITH {POOL}, r AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rank, CASE WHEN id % 3 <> 0 THEN (id * 37 % 101) / 10.0::DOUBLE END AS rerank_score FROM pool)
 SELECT id, CAST(row_number() OVER (ORDER BY rerank_score DESC, rank, id) AS INTEGER) AS place FROM r WHERE rerank_score >= 3.0 ORDER BY rerank_score DESC, rank, id LIMIT 5""")
 def rerank_floor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions import text as tx
 from ..functions import vector
-from ..operators import filters, search
+from ..operators import filters, retrieve, search
 from ..schema import NOW, PENALISED_STATUSES, points, scoped, visible
 from ..session import table
 from .common import POINTS, POOL, VISIBLE, Registry
@@ -201,7 +200,8 @@ def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense pool and exact-signal lane over the visible points, merged by id and rescored."""
-    tokens = ["sk-test", "HTTP 404", "example.com"]
-    rows = _pool(spark, sf_dir, 40).withColumn("sparse", tx.sparse_score(tokens, {"text": F.col("text"), "source": F.col("source")}, F.col("id")))
-    return search.memory_search(rows, now=NOW, sparse=F.col("sparse")).select("id", "rank", F.round("score", 6).alias("score"), "sparse")
+    """Dense pool and exact-signal lane over all visible points, ranked together."""
+    rows = visible(points(spark, sf_dir))
+    hits = retrieve.exact_hits(rows, ["sk-test", "HTTP 404", "example.com", "7"])
+    found = retrieve.hybrid_search(_pool(spark, sf_dir, 40).select("id", "similarity"), rows, hits, now=NOW)
+    return found.select("id", "rank", F.round("score", 6).alias("score"), F.col("sparse_score").alias("sparse"))
