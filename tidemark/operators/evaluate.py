@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, vector
+from ..session import shared_folder
 
 
 def score_runs(runs: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
@@ -137,17 +138,36 @@ def threshold_grid(questions: DataFrame, candidates: DataFrame, floors: list[flo
     return every.join(cells, ["set", "floor"], "left").select("set", "floor", "questions", *[F.coalesce(n, zero).alias(n) for n in names])
 
 
-def matrix(runs: DataFrame, *, accuracy: int = 10_000) -> DataFrame:
+def matrix(runs: DataFrame, *, parts: int = 64) -> DataFrame:
     """(variant, domain, tag, runs, hit_rate, wrong_rate, latency_p50, latency_p95): rates over all runs, and by variant, domain and tag in every
     combination that makes sense; a null stands for all. runs: (variant, domain, tags, hit, wrong, latency_ms).
 
-    A run has many tags but counts once where tags are not asked for, so sets with a tag group the exploded runs and the others the runs themselves. Latencies
-    are mergeable quantile sketches (``accuracy`` bounds their rank error to 1 / accuracy), combined before the exchange."""
-    def rates(grouped) -> DataFrame:
-        quantile = lambda q: F.percentile_approx("latency_ms", q, accuracy)
-        rate = lambda c: F.round(100.0 * F.avg(F.col(c).cast("double")), 4)
-        return grouped.agg(F.count(F.lit(1)).alias("runs"), rate("hit").alias("hit_rate"), rate("wrong").alias("wrong_rate"), quantile(0.5).alias("latency_p50"), quantile(0.95).alias("latency_p95"))
-
-    plain = rates(runs.groupingSets([["variant", "domain"], ["variant"], ["domain"], []], "variant", "domain")).withColumn("tag", F.lit(None).cast("string"))
-    tagged = rates(runs.withColumn("tag", F.explode(F.array_distinct("tags"))).groupingSets([["variant", "domain", "tag"], ["variant", "tag"], ["tag"]], "variant", "domain", "tag"))
-    return plain.unionByName(tagged)
+    A run has many tags but counts once where tags are not asked for, so sets with a tag group the exploded runs and the others the runs themselves. Runs
+    are counted by latency before the exchange. Latencies are discrete percentiles, exact: a sketch only cuts a cell's latencies into some ``parts`` ranges,
+    which are counted, and only the range that holds a percentile is put in order."""
+    shared_folder(runs.sparkSession)
+    keys, shares = ["cell", "variant", "domain", "tag"], {"latency_p50": 0.5, "latency_p95": 0.95}
+    sums = [F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("int")).alias(f"{c}_{name}") for c in ("hit", "wrong") for name, f in (("sum", F.sum), ("n", F.count))]]
+
+    def counted(rows: DataFrame, sets: list[list[str]], names: list[str]) -> DataFrame:
+        found = rows.groupingSets([[*s, "latency_ms"] for s in sets], *names, "latency_ms").agg(F.grouping_id().alias("gid"), *sums)
+        found = found if "tag" in names else found.withColumn("tag", F.lit(None).cast("string"))
+        return found.withColumn("cell", F.to_json(F.struct(F.lit(len(names)).alias("names"), "gid", "variant", "domain", "tag"))).drop("gid")
+
+    plain = counted(runs, [["variant", "domain"], ["variant"], ["domain"], []], ["variant", "domain"])
+    tagged = counted(runs.withColumn("tag", F.explode(F.array_distinct("tags"))), [["variant", "domain", "tag"], ["variant", "tag"], ["tag"]], ["variant", "domain", "tag"])
+    counts = plain.unionByName(tagged).checkpoint()
+    rate = lambda c: F.round(100.0 * F.try_divide(F.sum(f"{c}_sum").cast("double"), F.sum(f"{c}_n")), 4).alias(f"{c}_rate")
+    cells = counts.groupBy(*keys).agg(F.sum("n").alias("runs"), rate("hit"), rate("wrong"))
+
+    timed = counts.where("latency_ms IS NOT NULL").select("cell", "latency_ms", "n")
+    cuts = timed.groupBy("cell").agg(F.percentile_approx("latency_ms", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts"))
+    ranged = timed.join(cuts, "cell").select("cell", "latency_ms", "n", F.size(F.filter("cuts", lambda c: c < F.col("latency_ms"))).alias("range"))
+    so_far = Window.partitionBy("cell").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranged.groupBy("cell", "range").agg(F.sum("n").alias("k")).withColumns({"upto": F.sum("k").over(so_far), "all": F.sum("k").over(Window.partitionBy("cell"))})
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("all") * q - 1e-9).alias("rank")) for name, q in shares.items()])).alias("asked")
+    holds = ranges.select("cell", "range", "upto", (F.col("upto") - F.col("k")).alias("below"), asked).where("asked.rank > below AND asked.rank <= upto")
+    order = Window.partitionBy("cell", "asked.name").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    reached = ranged.join(holds, ["cell", "range"]).withColumn("place", F.col("below") + F.sum("n").over(order)).where("place >= asked.rank")
+    found = reached.groupBy("cell").agg(*[F.min(F.when(F.col("asked.name") == name, F.col("latency_ms"))).alias(name) for name in shares])
+    return cells.join(found, "cell", "left").select("variant", "domain", "tag", "runs", "hit_rate", "wrong_rate", *shares)
