@@ -62,10 +62,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(collapse(text)), " "), lambda t: t != "")
 
 
+#: Runs of punctuation at the start or the end of a word, in a text whose words are parted by spaces.
+_ENDS = r"(?=[!-/:-@\[-`{-~])(?:(?<![^ ])[!-/:-@\[-`{-~]++|(?<![!-/:-@\[-`{-~])[!-/:-@\[-`{-~]++(?![^ ]))"
+
+
 def fingerprint(text: Column) -> Column:
-    """Words without punctuation at their ends, lower-cased, empty ones dropped, joined by a space."""
-    bare = F.transform(F.split(F.lower(collapse(text)), " "), lambda t: F.regexp_replace(t, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", ""))
-    return F.concat_ws(" ", F.filter(bare, lambda t: t != ""))
+    """Words without punctuation at their ends, lower-cased, empty ones dropped, joined by a space. The whole text is rewritten at once."""
+    bare = F.regexp_replace(F.lower(collapse(text)), _ENDS, "")
+    return F.coalesce(F.trim(F.regexp_replace(bare, " {2,}", " ")), F.lit(""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -137,9 +137,11 @@ def reconsolidations(points: DataFrame, confidence: float = 0.6) -> DataFrame:
     """(fact_key, canonical_id, n, n_texts): facts with two or more points and texts, whatever their status; the
     canonical point has the highest importance, confidence, creation time and id."""
     known = points.where((F.col("confidence") >= confidence) & (F.coalesce("fact_key", F.lit("")) != ""))
-    text = tx.fingerprint(F.col("text"))
-    best = F.max_by("id", F.struct("importance", "confidence", "created_at", "id")).alias("canonical_id")
-    found = known.groupBy("fact_key").agg(best, F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(text != "", F.sha2(text.cast("binary"), 256))).alias("n_texts"))
+    # a text is digested once, by the tasks that read it, and each fact's texts are counted before facts are
+    text = F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256).alias("fp")
+    texts = known.groupBy("fact_key", text).agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("importance", "confidence", "created_at", "id")).alias("top"))
+    worded = F.when(F.col("fp") != F.sha2(F.lit("").cast("binary"), 256), 1)
+    found = texts.groupBy("fact_key").agg(F.max("top")["id"].alias("canonical_id"), F.sum("k").alias("n"), F.count(worded).alias("n_texts"))
     return found.where("n >= 2 and n_texts >= 2")
 
 
