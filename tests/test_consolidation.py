@@ -27,3 +27,11 @@ def test_reconsolidations_digest_a_text_once(spark):
     found = consolidation.reconsolidations(points)
     assert [tuple(r) for r in found.collect()] == [("f", 2, 3, 2)]
     assert found._jdf.queryExecution().executedPlan().toString().count("lower(") <= 4  # the texts' pass, in both forms of an adaptive plan
+
+
+def test_exact_duplicates_name_every_member(spark):
+    rows = [(1, "One text.", 1), (2, "one  TEXT", 5), (3, "other", 5), (4, "one text!", 5), (5, "x", 1), (6, "X", 1)]
+    points = spark.createDataFrame(rows, "id long, text string, importance int").withColumns({"confidence": F.lit(0.5), "created_at": F.timestamp_seconds("id")})
+    found = {r.id: (r.canonical_id, r.n, r.proposal_id) for r in consolidation.exact_duplicates(points).collect()}
+    assert {i: x[:2] for i, x in found.items()} == {1: (4, 3), 2: (4, 3), 4: (4, 3), 5: (6, 2), 6: (6, 2)}
+    assert len({x[2] for x in found.values()}) == 2 and found[1][2] == found[2][2]

@@ -12,12 +12,13 @@ from ..session import shared_folder
 
 
 def exact_duplicates(points: DataFrame) -> DataFrame:
-    """(proposal_id, canonical_id, n): groups of two or more points of one fingerprint, and the canonical one
-    (importance, confidence, created_at, id). A group is named by its fingerprint, so no group's ids are collected."""
+    """(id, proposal_id, canonical_id, n): each point of a group of two or more of one fingerprint, with the group's name, its size and its canonical
+    point (importance, confidence, created_at, id). A group is named by its fingerprint, so no group's ids are collected."""
     best = F.max_by("id", F.struct("importance", "confidence", "created_at", "id")).alias("canonical_id")
-    rows = points.withColumn("fp", F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256))
+    shared_folder(points.sparkSession)
+    rows = points.select("id", "importance", "confidence", "created_at", F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256).alias("fp")).checkpoint()
     groups = rows.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("n"), best).where("n > 1")
-    return groups.select(F.concat(F.lit("duplicate-"), F.substring("fp", 1, 16)).alias("proposal_id"), "canonical_id", "n")
+    return rows.select("id", "fp").join(groups, "fp").select("id", F.concat(F.lit("duplicate-"), F.substring("fp", 1, 16)).alias("proposal_id"), "canonical_id", "n")
 
 
 def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None = None, block: str | None = None) -> DataFrame:

@@ -138,9 +138,10 @@ def point_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.digest_uuid(F.col("source"), F.col("text")).alias("uid"))
 
 
-@R.add(f"""WITH {POINTS}, {VISIBLE}, g AS (SELECT {FP} AS fp, CAST(count(*) AS INTEGER) AS n, arg_max(id, (importance, confidence, created_at, id)) AS canonical_id FROM visible GROUP BY 1 HAVING count(*) > 1)
-SELECT 'duplicate-' || substr(sha256(fp), 1, 16) AS proposal_id, canonical_id, n FROM g""")
+@R.add(f"""WITH {POINTS}, {VISIBLE}, f AS (SELECT id, importance, confidence, created_at, {FP} AS fp FROM visible), g AS (SELECT fp, CAST(count(*) AS INTEGER) AS n, arg_max(id, (importance, confidence, created_at, id)) AS canonical_id FROM f GROUP BY fp HAVING count(*) > 1)
+SELECT id, 'duplicate-' || substr(sha256(fp), 1, 16) AS proposal_id, canonical_id, n FROM f JOIN g USING (fp)""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each visible point that has copies, with its group."""
     return consolidation.exact_duplicates(visible(points(spark, sf_dir)))
 
 
