@@ -35,3 +35,17 @@ def test_exact_duplicates_name_every_member(spark):
     found = {r.id: (r.canonical_id, r.n, r.proposal_id) for r in consolidation.exact_duplicates(points).collect()}
     assert {i: x[:2] for i, x in found.items()} == {1: (4, 3), 2: (4, 3), 4: (4, 3), 5: (6, 2), 6: (6, 2)}
     assert len({x[2] for x in found.values()}) == 2 and found[1][2] == found[2][2]
+
+
+def test_jaccard_prefixes_of_frequent_and_rare_words(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [rng.sample(vocabulary, rng.randint(1, 40)) for _ in range(60)]
+    texts += [[w for w in t if rng.random() < 0.95] + ([f"new{i}"] if rng.random() < 0.5 else []) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    sets = {i: set(t) for i, t in enumerate(texts) if t}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    for frequent in (0, 7, 1000):
+        monkeypatch.setattr(consolidation, "FREQUENT", frequent)
+        found = {(r.a, r.b): r.jaccard for r in consolidation.jaccard_pairs(rows, 0.8).collect() if r.jaccard < 1}
+        assert found == {p: x for p, x in share.items() if 0.8 <= x < 1}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from ..functions import text as tx
 from ..schema import TERMINAL_STATUSES, now_column
 from ..session import shared_folder
 
+#: Words whose frequency orders a set; the rest are rarer.
+FREQUENT = 200_000
+
 
 def exact_duplicates(points: DataFrame) -> DataFrame:
     """(id, proposal_id, canonical_id, n): each point of a group of two or more of one fingerprint, with the group's name, its size and its canonical
@@ -25,26 +32,22 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
     """(a, b, jaccard): pairs a < b of representatives with Jaccard >= threshold over word sets, and each representative
     with its copies at 1. Exact, by prefix filtering; only points of one ``block`` (a column) meet, if given.
 
-    Equal sets (by digest) are one representative, the smallest id. Words are 64-bit hashes, in order of rarity:
-    two such sets share one of the first |x| - ceil(t |x|) + 1. A pair is looked at where both sizes and what
+    Equal sets (by digest) are one representative, the smallest id. Words are 64-bit hashes, the ``FREQUENT`` most frequent ones last, by rarity, the
+    others by hash (any fixed order is exact): two such sets share one of the first |x| - ceil(t |x|) + 1, which each task takes from its own sets. A pair is looked at where both sizes and what
     is left of both behind the shared word allow the overlap it needs. Only representatives' hashes are moved,
     never texts; the rarest words are joined, so no key is as long as a frequent word's list. Texts without words are in no pair."""
-    own = F.array_distinct(F.filter(words if words is not None else tx.tokens(F.col("text")), lambda w: w != ""))
+    own = F.filter(words, lambda w: w != "") if words is not None else tx.tokens(F.col("text"))
     room = F.col(block).cast("string") if block else F.lit("")
     hashes = F.array_sort(F.array_distinct(F.transform(own, lambda w: F.xxhash64(w, room))))
-    # texts are cut into words once: the hashes are written to the shared folder and read from there by all that follows
+    # texts are cut into words once, by a generator, which the planner does not copy into the filter and the digest; the hashes are
+    # written to the shared folder and read from there by all that follows
     shared_folder(points.sparkSession)
-    sets = points.select("id", hashes.alias("w")).where(F.size("w") > 0)
+    sets = points.select("id", F.explode(F.array(hashes)).alias("w")).where(F.size("w") > 0)
     sets = sets.withColumn("digest", F.concat_ws("-", F.xxhash64("w").cast("string"), F.xxhash64(F.lit(1), "w").cast("string"))).checkpoint()
     leader = sets.groupBy("digest").agg(F.min("id").alias("rep"))
     member = sets.select("digest", "id").join(leader, "digest")
     reps = sets.join(leader, (sets["digest"] == leader["digest"]) & (sets["id"] == leader["rep"]), "left_semi").select(F.col("id").alias("rep"), "w").checkpoint()
-    listed = reps.select("rep", F.explode("w").alias("t"))
-    rarity = listed.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ordered = listed.join(rarity, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # as long as the set
-    n = F.size("o")
-    keep = n - F.ceil(threshold * n - 1e-9).cast("int") + 1
-    prefix = ordered.select("rep", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "x")).select("rep", "n", "i", F.col("x.t").alias("t"))
+    prefix = _prefixes(reps, threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
     need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     close = (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
@@ -56,6 +59,28 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
     return scored.select("a", "b", "jaccard").unionByName(copies)
 
 
+def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n, i, t): the first words of each set (rep, w), which are all that the join of pairs has to look at. Only the frequent words, a bounded
+    number, reach the driver; the sets are ordered by Arrow batch, where they are read."""
+    often = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "t").limit(FREQUENT)
+    often = sorted((r["t"], place) for place, r in enumerate(sorted(often.collect(), key=lambda r: (r["df"], r["t"])), 1))
+    words, places = np.array([t for t, _ in often], np.int64), np.array([p for _, p in often], np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rep = batch.column("w"), batch.column("rep")
+            flat, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+            place = np.where(words[at] == flat, places[at], 0) if len(words) else np.zeros(len(flat), np.int64)
+            order = np.argsort(row * (len(words) + 1) + place, kind="stable")  # by set, then place; a set's hashes come in order
+            i = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = i < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(row[first])), pa.array(n[row[first]], pa.int32()), pa.array(i[first], pa.int32()), pa.array(flat[order][first], pa.int64())], ["rep", "n", "i", "t"])
+
+    return reps.mapInArrow(cut, f"rep {reps.schema['rep'].dataType.simpleString()}, n int, i int, t bigint")
+
+
 def stale_low_value(points: DataFrame, now: str, *, days: int = 90, importance: int = 4, confidence: float = 0.5) -> DataFrame:
     return points.where(stale_rule(now, days=days, importance=importance, confidence=confidence))
 
