@@ -117,7 +117,7 @@ def _nothing(spark: SparkSession) -> DataFrame:
 @R.add("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS c FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
 SELECT query_id, id FROM s WHERE c >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) = 1""")
 def semantic_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every hundredth vector, the nearest other one that reaches the threshold; the queries are one bounded block."""
+    """Of every hundredth vector, the nearest other one that reaches the threshold."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     return retrieve.semantic_duplicates(vectors, vectors.where("id % 100 = 0"), threshold=0.4).select("query_id", "id")
 
