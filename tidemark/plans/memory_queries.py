@@ -9,7 +9,7 @@ from ..functions import payload as pl
 from ..functions import text as tx
 from ..operators import consolidation, graph, retrieve, tree, windows
 from ..schema import NOW, points, visible
-from ..session import table
+from ..session import shared_folder, table
 from .common import POINTS, POOL, VISIBLE, Registry
 from .quality_queries import FLAT, FP, IMPORTANCE, SCORED, SECRET_SQL, secret_sql
 from .ranking_queries import CANONICAL, MINMAX, PROVENANCE, RECENCY, _pool
@@ -126,9 +126,12 @@ def semantic_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that share words with the first line of a conversation, copies collapsed; best groups of each query."""
     lines = table(spark, sf_dir, "conversations")
-    found = windows.char_windows(windows.serialise(lines)).select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("char_start").cast("string")).alias("id"), "text", F.col("char_start").cast("double").alias("start_ts"))
-    queries = lines.where("conv_id % 100 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.explode(F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda t: F.length(t) > 6))).alias("word"))
-    hits = found.select("*", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("word")).join(queries, "word").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"), F.first("text").alias("text"), F.first("start_ts").alias("start_ts"))
+    shared_folder(spark)
+    found = windows.char_windows(windows.serialise(lines)).select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("char_start").cast("string")).alias("id"), "text", F.col("char_start").cast("double").alias("start_ts")).checkpoint()
+    words = F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda t: F.length(t) > 6)).alias("words")
+    queries = lines.where("conv_id % 100 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), words)
+    best = retrieve.shared_words(found.select("id", words), queries, fetch=384)
+    hits = best.join(found, "id").select("query_id", "id", "text", "score", "start_ts")
     return retrieve.collapse_duplicates(hits, keep=15, fetch=384).select("query_id", "place", "id", F.size("members").alias("n_members"))
 
 
