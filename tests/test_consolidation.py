@@ -49,3 +49,11 @@ def test_jaccard_prefixes_of_frequent_and_rare_words(spark, monkeypatch):
         monkeypatch.setattr(consolidation, "FREQUENT", frequent)
         found = {(r.a, r.b): r.jaccard for r in consolidation.jaccard_pairs(rows, 0.8).collect() if r.jaccard < 1}
         assert found == {p: x for p, x in share.items() if 0.8 <= x < 1}
+
+
+def test_pairs_are_found_once_for_clusters(spark):
+    rows = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o{i % 3} {'p' * (i % 2)}") for i in range(12)], "id long, text string")
+    pairs = consolidation.jaccard_pairs(rows, 0.8)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" in plan(pairs)  # sets that differ in too many words are left out before their words are moved
+    assert "array_intersect" not in plan(consolidation.greedy_star(pairs))

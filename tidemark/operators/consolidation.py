@@ -33,8 +33,8 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
     with its copies at 1. Exact, by prefix filtering; only points of one ``block`` (a column) meet, if given.
 
     Equal sets (by digest) are one representative, the smallest id. Words are 64-bit hashes, the ``FREQUENT`` most frequent ones last, by rarity, the
-    others by hash (any fixed order is exact): two such sets share one of the first |x| - ceil(t |x|) + 1, which each task takes from its own sets. A pair is looked at where both sizes and what
-    is left of both behind the shared word allow the overlap it needs. Only representatives' hashes are moved,
+    others by hash (any fixed order is exact): two such sets share one of the first |x| - ceil(t |x|) + 1, which each task takes from its own sets. A pair is looked at where both sizes, what
+    is left of both behind the shared word, and 128 parities of the words of either allow the overlap it needs. Only representatives' hashes are moved,
     never texts; the rarest words are joined, so no key is as long as a frequent word's list. Texts without words are in no pair."""
     own = F.filter(words, lambda w: w != "") if words is not None else tx.tokens(F.col("text"))
     room = F.col(block).cast("string") if block else F.lit("")
@@ -52,6 +52,9 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
     need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     close = (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
     close &= F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need
+    # bits of the parities that differ are never more than words that differ
+    differ = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))) + F.bit_count(F.col("a.z").bitwiseXOR(F.col("b.z")))
+    close &= differ <= (1 - threshold) / (1 + threshold) * (F.col("a.n") + F.col("b.n")) + 1e-9
     candidates = a.join(b, (F.col("a.t") == F.col("b.t")) & close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("w").alias("wa")), reps.select(F.col("rep").alias("b"), F.col("w").alias("wb"))
     scored = candidates.join(left, "a").join(right, "b").withColumn("jaccard", tx.jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
@@ -60,7 +63,8 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
 
 
 def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n, i, t): the first words of each set (rep, w), which are all that the join of pairs has to look at. Only the frequent words, a bounded
+    """(rep, n, s, z, i, t): the first words of each set (rep, w), which are all that the join of pairs has to look at, and whether the words that fall
+    on each of 128 bits are odd in number. Only the frequent words, a bounded
     number, reach the driver; the sets are ordered by Arrow batch, where they are read."""
     often = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "t").limit(FREQUENT)
     often = sorted((r["t"], place) for place, r in enumerate(sorted(often.collect(), key=lambda r: (r["df"], r["t"])), 1))
@@ -76,9 +80,12 @@ def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
             order = np.argsort(row * (len(words) + 1) + place, kind="stable")  # by set, then place; a set's hashes come in order
             i = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
             first = i < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
-            yield pa.RecordBatch.from_arrays([rep.take(pa.array(row[first])), pa.array(n[row[first]], pa.int32()), pa.array(i[first], pa.int32()), pa.array(flat[order][first], pa.int64())], ["rep", "n", "i", "t"])
+            bit, starts = np.left_shift(1, flat & 63), np.cumsum(n) - n
+            s, z = (np.bitwise_xor.reduceat(np.where((flat >> 6 & 1) == side, bit, 0), starts) if len(n) else flat for side in (0, 1))
+            columns = [rep.take(pa.array(row[first])), pa.array(n[row[first]], pa.int32()), *(pa.array(x[row[first]], pa.int64()) for x in (s, z)), pa.array(i[first], pa.int32()), pa.array(flat[order][first], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "s", "z", "i", "t"])
 
-    return reps.mapInArrow(cut, f"rep {reps.schema['rep'].dataType.simpleString()}, n int, i int, t bigint")
+    return reps.mapInArrow(cut, f"rep {reps.schema['rep'].dataType.simpleString()}, n int, s bigint, z bigint, i int, t bigint")
 
 
 def stale_low_value(points: DataFrame, now: str, *, days: int = 90, importance: int = 4, confidence: float = 0.5) -> DataFrame:
@@ -180,6 +187,7 @@ def greedy_star(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     that is. Each round settles all whose smaller neighbours are settled, by joins of the links that are left: no
     group is collected anywhere. Rounds are cut by checkpoints in the folder that the session names."""
     shared_folder(pairs.sparkSession)
+    pairs = pairs.select("a", "b", "jaccard").checkpoint()  # read for links and for copies, found once
     copies = pairs.where("jaccard >= 1").select(F.col("a").alias("rep"), F.col("b").alias("id"))
     links = pairs.where("jaccard < 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     left, taken = links, links.select(F.col("b").alias("t")).limit(0)  # links that may still decide something; who is no seed
