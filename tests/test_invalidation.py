@@ -58,3 +58,22 @@ def test_patches_by_hand(spark):
     assert got == {("e", 1): ([8, 9], "review_required", ["e"], False), ("f", 1): ([7], "review_required", ["e", "f"], False), ("e", 2): ([9], "stale", full, True), ("e", 3): ([9], "review_required", ["e"], False)}
     with pytest.raises(ValueError):
         invalidation.plan(dependents, dependents, dependents, depth=17)
+
+
+def test_edges_and_points_are_read_once(spark):
+    """However many levels a plan has, what tasks read of the edges and points is one pass of each."""
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("edges", "points")}
+
+    def counted(df, name):
+        def each(rows):
+            for row in rows:
+                seen[name].add(1)
+                yield row
+
+        return spark.createDataFrame(df.rdd.mapPartitions(each), df.schema)
+
+    edges = counted(spark.createDataFrame([(i + 1, i) for i in range(20)], "dependent int, source int"), "edges")
+    points = counted(spark.createDataFrame([(i,) for i in range(30)], "id int"), "points")
+    status, changes = invalidation.plan(spark.createDataFrame([("e", 0)], "event string, id int"), edges, points, depth=6)
+    assert [tuple(r)[1:3] for r in status.collect()] == [(False, "depth")] and changes.count() == 0
+    assert {name: n.value for name, n in seen.items()} == {"edges": 20, "points": 30}

@@ -22,12 +22,12 @@ from ..session import shared_folder
 DEPTH, HARD_DEPTH, MAX_POINTS, MAX_EDGES, MAX_CAUSES = 8, 16, 4096, 8192, 32
 
 
-def _links(frontier: DataFrame, depends_on: DataFrame, enough: int) -> DataFrame:
-    """(event, id, dependent): edges of the frontier, ``enough`` of a source at most."""
+def _links(frontier: DataFrame, edges: DataFrame, enough: int) -> DataFrame:
+    """(event, id, dependent, known): edges of the frontier, ``enough`` of a source at most. edges: (source, dependent, known), distinct."""
     ids = frontier.select("event", "id").distinct()
-    near = depends_on.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi").where("dependent IS NOT NULL").select("source", "dependent").distinct()
+    near = edges.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("dependent"))).where(F.col("_n") <= enough)
-    return ids.join(near.select(F.col("source").alias("id"), "dependent"), "id").select("event", "id", "dependent")
+    return ids.join(near.select(F.col("source").alias("id"), "dependent", "known"), "id").select("event", "id", "dependent", "known")
 
 
 def _judged(running: DataFrame, level: DataFrame, *, last: bool, max_points: int, max_edges: int) -> DataFrame:
@@ -52,10 +52,12 @@ def plan(roots: DataFrame, depends_on: DataFrame, points: DataFrame, *, depth: i
     zero = F.lit(0).cast("long")
     running = seen.select("event").distinct().select("event", zero.alias("points"), zero.alias("edges"), F.lit(None).cast("string").alias("error")).checkpoint()
     found = frontier.withColumn("depth", F.lit(0)).limit(0)
+    # edges are cleaned, and their dependents looked up among the points, once for all levels
+    edges = depends_on.where("dependent IS NOT NULL AND source IS NOT NULL").select("source", "dependent").distinct()
+    edges = edges.join(points.select(F.col("id").alias("dependent"), F.lit(True).alias("known")).distinct(), "dependent", "left").select("source", "dependent", "known").checkpoint()
     for at in range(depth + 1):
-        links = _links(frontier, depends_on, max(max_points, max_edges) + 1).checkpoint()
-        fresh = links.select("event", F.col("dependent").alias("id")).distinct().join(seen, ["event", "id"], "left_anti")
-        fresh = fresh.join(points.select("id", F.lit(True).alias("known")).distinct(), "id", "left").checkpoint()
+        links = _links(frontier, edges, max(max_points, max_edges) + 1).checkpoint()
+        fresh = links.select("event", F.col("dependent").alias("id"), "known").distinct().join(seen, ["event", "id"], "left_anti").checkpoint()
         level = links.groupBy("event").agg(F.count(F.lit(1)).alias("new_edges")).join(fresh.groupBy("event").agg(F.count(F.lit(1)).alias("unseen"), F.count_if(F.col("known").isNull()).alias("missing")), "event", "left")
         running = _judged(running, level, last=at == depth, max_points=max_points, max_edges=max_edges).checkpoint()
         going = fresh.join(running.where("error IS NULL").select("event"), "event", "left_semi").select("event", "id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import invalidation
-from ..session import table
+from ..session import shared_folder, table
 from .common import Registry
 
 R = Registry()
@@ -35,14 +35,15 @@ reach AS (SELECT event, id, id AS root, 0 AS d FROM roots UNION SELECT w.event,
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     name = lambda letter, *c: F.concat(F.lit(letter), F.concat_ws("-", *[F.col(x).cast("string") for x in c]))
+    shared_folder(spark)
     nations, customers, orders, lines = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem"))
-    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))  # keys repeat there
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag")).checkpoint()  # keys repeat there; edges and points are made of them
     c, o, line = name("c", "c_custkey"), name("o", "o_orderkey"), name("l", "l_orderkey", "l_linenumber")
     edges = customers.select(c.alias("dependent"), name("n", "c_nationkey").alias("source")).unionByName(orders.select(o.alias("dependent"), name("c", "o_custkey").alias("source"))).unionByName(lines.select(line.alias("dependent"), name("o", "l_orderkey").alias("source")))
     none = F.array().cast("array<string>")
     status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "disputed")
     flag = F.when(F.col("l_returnflag") == "R", "stale").when(F.col("l_returnflag") == "A", "").otherwise("active")
-    many = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(F.lit("x"), i.cast("string")))
+    many = F.array(*[F.lit(f"x{i}") for i in range(1, 33)])
     points = customers.select(c.alias("id"), F.lit(None).cast("string").alias("fact_status"), none.alias("causes")).unionByName(
         orders.select(o.alias("id"), status.alias("fact_status"), F.when(F.col("o_orderkey") % 3 == 0, F.array(name("cust-", "o_custkey"))).otherwise(none).alias("causes"))
     ).unionByName(lines.where("l_orderkey % 50 != 7").select(line.alias("id"), flag.alias("fact_status"), F.when(F.col("l_linenumber") == 1, many).otherwise(none).alias("causes")))
