@@ -57,3 +57,23 @@ def test_pairs_are_found_once_for_clusters(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "bit_count" in plan(pairs)  # sets that differ in too many words are left out before their words are moved
     assert "array_intersect" not in plan(consolidation.greedy_star(pairs))
+
+
+def test_report_reads_texts_for_rules_and_for_words_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def each(rows):
+        for row in rows:
+            read.add(1)
+            yield row
+
+    rows = spark.createDataFrame([(i, f"some text of number {i % 5}", f"f{i % 2}", i % 3 == 0) for i in range(20)], "id long, text string, fact_key string, learning boolean")
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({
+        "importance": F.lit(5), "confidence": F.lit(0.9), "access_count": F.lit(0), "created_at": F.timestamp_seconds("id"), "stale": F.lit(False), "fact_status": none, "consolidation_quarantined": F.lit(False),
+        "promote": F.lit(False), "promoted": F.lit(False), "superseded_by": none, "invalidated_by": none, "valid_until": F.lit(None).cast("timestamp"),
+    })
+    rows = spark.createDataFrame(rows.rdd.mapPartitions(each), rows.schema)
+    kinds = {r.proposal_type for r in consolidation.report(rows, "1970-01-02 00:00:00").collect()}
+    assert kinds == {"duplicate_cluster", "fact_conflict_candidate", "fact_supersession_candidate", "reconsolidation_candidate"}
+    assert read.value == 40

@@ -122,11 +122,15 @@ def status_updates(points: DataFrame, now: str, confidence: float = 0.6) -> Data
     return rows.select("id", "fact_status", F.col("update.status").alias("new_status"), F.col("update.reason").alias("reason"))
 
 
-def conflicts(points: DataFrame, confidence: float = 0.6, dated: bool = False) -> DataFrame:
+def _digest() -> Column:
+    return F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256)
+
+
+def conflicts(points: DataFrame, confidence: float = 0.6, dated: bool = False, digest: Column | None = None) -> DataFrame:
     """(fact_key, n, n_texts): two or more texts for one fact among non-terminal points; ``dated`` adds the times of
-    the first and the last of them."""
+    the first and the last of them. ``digest``: that of the texts' fingerprints, if it is known already."""
     live = points.where((F.col("confidence") >= confidence) & F.coalesce(~F.col("fact_status").isin(*TERMINAL_STATUSES), F.lit(True)))
-    found = live.groupBy("fact_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256)).alias("n_texts"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    found = live.groupBy("fact_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(_digest() if digest is None else digest).alias("n_texts"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
     found = found if dated else found.drop("first_at", "last_at")
     return found.where("n >= 2 and n_texts >= 2")
 
@@ -166,12 +170,12 @@ def heading_noise(points: DataFrame) -> DataFrame:
     return points.withColumn("known", heading_kind(F.col("text")) == "known").where(F.col("known").isNotNull())
 
 
-def reconsolidations(points: DataFrame, confidence: float = 0.6) -> DataFrame:
+def reconsolidations(points: DataFrame, confidence: float = 0.6, digest: Column | None = None) -> DataFrame:
     """(fact_key, canonical_id, n, n_texts): facts with two or more points and texts, whatever their status; the
-    canonical point has the highest importance, confidence, creation time and id."""
+    canonical point has the highest importance, confidence, creation time and id. ``digest`` as in :func:`conflicts`."""
     known = points.where((F.col("confidence") >= confidence) & (F.coalesce("fact_key", F.lit("")) != ""))
     # a text is digested once, by the tasks that read it, and each fact's texts are counted before facts are
-    text = F.sha2(tx.fingerprint(F.col("text")).cast("binary"), 256).alias("fp")
+    text = (_digest() if digest is None else digest).alias("fp")
     texts = known.groupBy("fact_key", text).agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("importance", "confidence", "created_at", "id")).alias("top"))
     worded = F.when(F.col("fp") != F.sha2(F.lit("").cast("binary"), 256), 1)
     found = texts.groupBy("fact_key").agg(F.max("top")["id"].alias("canonical_id"), F.sum("k").alias("n"), F.count(worded).alias("n_texts"))
@@ -221,10 +225,14 @@ def report(points: DataFrame, now: str, *, max_groups: int = 20, max_candidates:
 
     points has, besides their columns: learning (boolean: the pool), promote and promoted (booleans), superseded_by,
     invalidated_by, valid_until. Headings are in no later kind about texts. Rules that look at one point are
-    evaluated once a row and stacked; a kind is cut by a window that Spark limits before the exchange."""
+    evaluated once a row and stacked, and what all kinds need of a row, its text's digest included, is written to the shared folder without its text, which
+    is read once more for its words; a kind is cut by a window that Spark limits before the exchange."""
     learning, calm = F.coalesce("learning", F.lit(False)), ~F.coalesce("consolidation_quarantined", F.lit(False))
     rows = points.withColumns({"_secret": tx.has_secret(F.col("text")), "_heading": heading_kind(F.col("text")).isNotNull(), "_learning": learning})
-    rows = rows.withColumn("_update", status_update(now, confidence).isNotNull())
+    whole = rows.where(~F.col("_heading") & calm).select("id", "text", "_learning")
+    rows = rows.withColumns({"_update": status_update(now, confidence).isNotNull(), "_digest": F.when(~learning & (F.col("confidence") >= confidence), _digest())} if facts else {"_update": F.lit(False)}).drop("text")
+    shared_folder(points.sparkSession)
+    rows = rows.checkpoint()
     old = stale_rule(now)
     promote = F.col("promote") & ~F.coalesce("promoted", F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= 0.85) & (F.coalesce("importance", F.lit(0)) >= 8)
     rules = (
@@ -233,9 +241,8 @@ def report(points: DataFrame, now: str, *, max_groups: int = 20, max_candidates:
     )
     kinds = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(o).alias("o"), F.lit(kind).alias("proposal_type"))) for o, kind, rule in rules]))
     single = rows.select(F.explode(kinds).alias("k"), F.col("_learning").cast("int").alias("pool"), "id").select("k.o", "k.proposal_type", "pool", F.col("id").alias("nth"), F.col("id").cast("string").alias("key"))
-    whole = rows.where(~F.col("_heading") & calm)
     seeds = greedy_star(jaccard_pairs(whole, threshold, words=F.split(tx.fingerprint(F.col("text")), " "), block="_learning")).select(F.col("seed").alias("id")).distinct()
-    doubles = whole.join(seeds, "id", "left_semi").select((F.col("_learning").cast("int") + 3).alias("o"), F.lit("duplicate_cluster").alias("proposal_type"), F.lit(0).alias("pool"), F.col("id").alias("nth"), F.col("id").cast("string").alias("key"))
+    doubles = rows.where(~F.col("_heading") & calm).join(seeds, "id", "left_semi").select((F.col("_learning").cast("int") + 3).alias("o"), F.lit("duplicate_cluster").alias("proposal_type"), F.lit(0).alias("pool"), F.col("id").alias("nth"), F.col("id").cast("string").alias("key"))
     parts = single.unionByName(doubles)
     cap = F.when(F.col("o") >= 7, max_candidates).otherwise(max_groups)
     cut = parts.withColumn("n", F.row_number().over(Window.partitionBy("o").orderBy("pool", "nth"))).where((F.col("n") <= max(max_groups, max_candidates)) & (F.col("n") <= cap)).drop("nth", "pool")
@@ -243,8 +250,8 @@ def report(points: DataFrame, now: str, *, max_groups: int = 20, max_candidates:
         memory = rows.where(~F.col("_learning"))
         ordered = Window.partitionBy("o").orderBy("key", "proposal_type")
         pair = F.array(F.struct(F.lit("fact_conflict_candidate").alias("proposal_type")), F.struct(F.lit("fact_supersession_candidate").alias("proposal_type")))
-        clash = conflicts(memory, confidence, dated=True).select(F.lit(8).alias("o"), F.explode(F.slice(pair, F.lit(1), F.when(F.col("first_at") < F.col("last_at"), 2).otherwise(1))).alias("p"), F.col("fact_key").alias("key")).select("o", "p.proposal_type", "key")
-        again = reconsolidations(memory, confidence).select(F.lit(9).alias("o"), F.lit("reconsolidation_candidate").alias("proposal_type"), F.col("fact_key").alias("key"))
+        clash = conflicts(memory, confidence, dated=True, digest=F.col("_digest")).select(F.lit(8).alias("o"), F.explode(F.slice(pair, F.lit(1), F.when(F.col("first_at") < F.col("last_at"), 2).otherwise(1))).alias("p"), F.col("fact_key").alias("key")).select("o", "p.proposal_type", "key")
+        again = reconsolidations(memory, confidence, digest=F.col("_digest")).select(F.lit(9).alias("o"), F.lit("reconsolidation_candidate").alias("proposal_type"), F.col("fact_key").alias("key"))
         cut = cut.unionByName(clash.unionByName(again).withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= max_candidates))
     final = cut.orderBy("o", "n").limit(max_groups)
     return final.withColumn("position", F.row_number().over(Window.orderBy("o", "n"))).select("proposal_type", "position", "key")
