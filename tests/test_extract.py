@@ -21,6 +21,14 @@ def test_line_signals(spark):
     assert (low.memory_kind, low.text, low.confidence) == ("decision", "Decision: maybe.", 0.5)
 
 
+def test_line_signals_work(spark):
+    """Folded letters and fences count as in the rules; a line is cleaned once, and what it states once more."""
+    rows = spark.createDataFrame([(1, "quir\u212a - slow\n```memory decision: no```decision: yes\nno decision: here\n```x``` decision: no\nDeci\u017fion ```memory a```: c")], "id int, text string")
+    found = extract.line_signals(rows)
+    assert sorted((r.line, r.text) for r in found.collect()) == [(1, "Tool quirk: slow."), (2, "Decision: yes."), (5, "Decision: c.")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
 def test_graph_markers(spark):
     text = "Graph entity: tool: Spark 4\nx\ngraph edge: tool:Spark -[USES]-> lib : Arrow\nGraph entity: nothing"
     found = extract.graph_markers(spark.createDataFrame([(1, text), (2, None)], "id int, text string")).orderBy("line").collect()

@@ -32,8 +32,9 @@ ENTITY_LINE = r"(?i)^\s*graph\s+entity\s*:\s*([a-zA-Z][a-zA-Z0-9_]*)\s*:\s*(.+)$
 EDGE_LINE = r"(?i)^\s*graph\s+edge\s*:\s*([a-zA-Z][a-zA-Z0-9_]*)\s*:\s*([^-]+?)\s*-\[([A-Z_]+)\]->\s*([a-zA-Z][a-zA-Z0-9_]*)\s*:\s*(.+)$"
 MEMORY_TOOL = "memory"
 
-#: Words that every line with a signal holds: others need not be cleaned.
-_HINT = r"(?i)decision|decided|quirk|invariant|conflict|actually|correction|remember this|prefer"
+#: What every line with a signal begins with, unless a fence is taken out of it: others need not be cleaned.
+_BEGINS = rf"(?idU)^\s*(?:{'|'.join([POSSIBLE, *[s[0] for s in SIGNALS], CORRECTION])})"
+_FENCE = "```"
 
 
 def lines(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -43,6 +44,11 @@ def lines(rows: DataFrame, text: str = "text") -> DataFrame:
     return split.select(*others, (F.col("_at") + 1).alias("line"), "body")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unsafe(text: Column) -> Column:
     return (text == "") | secrets.has_secret(text) | text.rlike(PRIVATE_IDENTITY)
 
@@ -56,15 +62,28 @@ def _signal(text: Column) -> Column:
     def whole(pattern: str) -> str:
         return rf"(?idU)^\s*{pattern}"
 
-    label = F.regexp_replace(F.lower(F.regexp_extract(text, whole(POSSIBLE), 1)), " ", "_")
-    out = F
-    for name, (kind, memory) in POSSIBLE_KINDS.items():
-        out = out.when(label == name, found(kind, memory, F.regexp_extract(text, whole(POSSIBLE), 2), POSSIBLE_CONFIDENCE))
-    out = out.when(label != "", found("memory_candidate", "decision", F.regexp_extract(text, whole(POSSIBLE), 2), POSSIBLE_CONFIDENCE))
-    for pattern, kind, memory, confidence in SIGNALS:
-        out = out.when(text.rlike(whole(pattern)), found(kind, memory, F.regexp_extract(text, whole(pattern), 1), confidence))
+    def first(label: Column) -> Column:
+        out = F
+        for name, (kind, memory) in POSSIBLE_KINDS.items():
+            out = out.when(label == name, found(kind, memory, F.regexp_extract(text, whole(POSSIBLE), 2), POSSIBLE_CONFIDENCE))
+        out = out.when(label != "", found("memory_candidate", "decision", F.regexp_extract(text, whole(POSSIBLE), 2), POSSIBLE_CONFIDENCE))
+        for pattern, kind, memory, confidence in SIGNALS:
+            out = out.when(text.rlike(whole(pattern)), found(kind, memory, F.regexp_extract(text, whole(pattern), 1), confidence))
+        corrects = text.rlike(whole(CORRECTION)) & F.exists(F.array(F.lower(body)), lambda b: pl.any_of(b, CORRECTION_WORDS))
+        return out.when(corrects, found("preference_candidate", "user_preference", body, CORRECTION_CONFIDENCE))
+
     body = F.regexp_extract(text, whole(CORRECTION), 1)
-    return out.when(text.rlike(whole(CORRECTION)) & pl.any_of(F.lower(body), CORRECTION_WORDS), found("preference_candidate", "user_preference", body, CORRECTION_CONFIDENCE))
+    return _let(F.regexp_replace(F.lower(F.regexp_extract(text, whole(POSSIBLE), 1)), " ", "_"), first)
+
+
+def _stated(line: Column, floor: float) -> Column:
+    """Array of what a line states, one struct or none. The steps are arrays of one, as filters over a projection would
+    be pushed below it and work out the clean line anew for each use."""
+    clean = F.filter(F.array(pl.clean(line)), lambda c: ~_unsafe(c))
+    signals = F.filter(F.transform(clean, _signal), lambda s: s.isNotNull() & (s["confidence"] >= floor))
+    kept = ("candidate_type", "memory_kind", "confidence")
+    own = F.transform(signals, lambda s: F.struct(*[s[c].alias(c) for c in kept], F.regexp_replace(pl.clean(s["body"]), r"^[ .\n\t]+|[ .\n\t]+$", "").alias("own")))
+    return F.filter(own, lambda s: ~_unsafe(s["own"]))
 
 
 def line_signals(rows: DataFrame, *, id_col: str = "id", text: str = "text", floor: float = 0.65, cap: int = 8) -> DataFrame:
@@ -72,12 +91,12 @@ def line_signals(rows: DataFrame, *, id_col: str = "id", text: str = "text", flo
 
     Lines with secrets or private identity are left out, and those below ``floor``. A text gives its first ``cap``.
     """
-    hinted = lines(rows.select(id_col, text), text).where(F.col("body").rlike(_HINT)).withColumn("clean", pl.clean(F.col("body")))
-    found = hinted.where(~_unsafe(F.col("clean"))).withColumn("s", _signal(F.col("clean"))).where(F.col("s").isNotNull() & (F.col("s.confidence") >= floor))
-    found = found.withColumn("own", F.regexp_replace(pl.clean(F.col("s.body")), r"^[ .\n\t]+|[ .\n\t]+$", "")).where(~_unsafe(F.col("own")))
+    body = F.col("body")
+    hinted = lines(rows.select(id_col, text), text).where(body.rlike(_BEGINS) | F.contains(body, F.lit(_FENCE)))
+    found = hinted.select(id_col, "line", F.explode(_stated(body, floor)).alias("s"))
     opening = F.element_at(F.create_map(*[F.lit(x) for pair in OPENINGS.items() for x in pair]), F.col("s.memory_kind"))
     placed = found.withColumn("_place", F.row_number().over(Window.partitionBy(id_col).orderBy("line"))).where(F.col("_place") <= cap)
-    return placed.select(id_col, "line", "s.candidate_type", "s.memory_kind", F.concat(opening, "own", F.lit(".")).alias("text"), "s.confidence")
+    return placed.select(id_col, "line", "s.candidate_type", "s.memory_kind", F.concat(opening, "s.own", F.lit(".")).alias("text"), "s.confidence")
 
 
 def graph_markers(rows: DataFrame, *, id_col: str = "id", text: str = "text") -> DataFrame:
@@ -97,11 +116,6 @@ def graph_markers(rows: DataFrame, *, id_col: str = "id", text: str = "text") ->
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
