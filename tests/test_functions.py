@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring, secrets
+from tidemark.functions import jsonwalk, scoring, secrets
 from tidemark.functions import text as tx
 from tidemark.functions import vector
 from tidemark.operators import components, consolidation, evaluate, graph, search, windows
@@ -167,6 +167,19 @@ def test_secret_spans(spark, text, clean):
     assert row.clean == (None if clean is None else clean.replace("<x>", secrets.MARKER))
 
 
+def test_json_redaction_reads_tokens_once(spark):
+    """What a token says is worked out once for keys and once for strings; malformed tokens stay."""
+    document = '{"to\\u006ben" : [1, {"a": "b"}], "secret_bearing": true, "x": "Bearer", "y": ["my to\u212aen: abc", "plain", "\\q"], "n": null}'
+    found = spark.createDataFrame([(document,), (None,)], "d string").select(jsonwalk.redact(F.col("d"), "#").alias("d"))
+    assert [r.d for r in found.collect()] == ['{"to\\u006ben":"#","secret_bearing":true,"x":"#","y":["#","plain","\\q"],"n":null}', None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+
+
+@pytest.mark.parametrize("text", ["xsk-", "gho_", "AKIA", "eyJ", "PRIVATE KEY", "a://b", "API_KEY", "ap\u0131-\u212aey", "Pas\u017fw", "\u017fecret", "TO\u212aEN", "AuthorIzation", "bearer", "CREDENT\u0130AL", "private-key"])
+def test_secret_hint(spark, text):
+    assert one(spark, F.lit(f"so {text} it").rlike(secrets.HINT)) and not one(spark, F.lit(f"so {text[:2]} {text[3:]} it").rlike(secrets.HINT))
+
+
 def test_gate_fails_closed(spark):
     columns = "variant string, errored boolean, hit_at_k boolean, source_hit_at_k boolean, exact_identifier_hit boolean, wrong_memory boolean, latency_ms double, latency_budget_met boolean"
     good = [("new", False, True, True, True, False, 10.0, True)] * 10 + [("old", False, True, True, None, False, 10.0, True)] * 10

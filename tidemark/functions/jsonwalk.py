@@ -8,6 +8,8 @@ suits payloads of some hundred kilobytes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,13 +50,20 @@ def redact(document: Column, marker: str = secrets.MARKER) -> Column:
 
     def kind(token: Column) -> Column:
         key = token.startswith('"') & token.endswith(":")
-        name = F.lower(_plain(token))
-        named = F.exists(F.array(*[F.lit(k) for k in SECRET_KEYS]), lambda k: F.contains(name, k))
         text = token.startswith('"') & ~key
-        # 2: its value goes unless it is a boolean; 1: its value goes
-        after = F.when(key & name.isin(*EXEMPT_KEYS), 2).when(key & named, 1).otherwise(0)
-        bad = text & (F.contains(name, F.lit("bearer")) | secrets.has_secret(_plain(token)))
-        return F.struct(F.regexp_replace(token, r"\s*:$", ":").alias("t"), after.alias("after"), bad.alias("bad"), key.alias("key"))
+
+        def after(name: Column) -> Column:
+            # 2: its value goes unless it is a boolean; 1: its value goes
+            return F.when(name.isin(*EXEMPT_KEYS), 2).when(reduce(lambda a, b: a | b, [F.contains(name, F.lit(k)) for k in SECRET_KEYS]), 1).otherwise(0)
+
+        def bad(said: Column) -> Column:
+            return F.contains(F.lower(said), F.lit("bearer")) | secrets.has_secret(said)
+
+        # arrays of one: what a token says is read once, for all rules
+        named = F.get(F.transform(F.array(F.when(key, F.lower(_plain(token)))), after), F.lit(0))
+        held = F.exists(F.array(F.when(text, _plain(token))), bad)
+        bare = F.when(key, F.regexp_replace(token, r"\s*:$", ":")).otherwise(token)
+        return F.struct(bare.alias("t"), F.when(key, named).otherwise(0).alias("after"), F.coalesce(text & held, F.lit(False)).alias("bad"))
 
     def step(state: Column, token: Column) -> Column:
         t, opens, closes = token["t"], token["t"].isin("{", "["), token["t"].isin("}", "]")
