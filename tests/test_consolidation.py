@@ -77,3 +77,19 @@ def test_report_reads_texts_for_rules_and_for_words_only(spark):
     kinds = {r.proposal_type for r in consolidation.report(rows, "1970-01-02 00:00:00").collect()}
     assert kinds == {"duplicate_cluster", "fact_conflict_candidate", "fact_supersession_candidate", "reconsolidation_candidate"}
     assert read.value == 40
+
+def test_sets_of_many_pairs_are_moved_once(spark, monkeypatch):
+    """Pairs that meet in tiles, in parts of tiles and without a cell, against a plain loop; a pair carries no words."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(120)] for _ in range(4)]
+    texts = [[w if rng.random() < 0.98 else f"x{rng.randint(0, 9)}" for w in base[i % 4]] + [f"u{i}"] for i in range(160)]
+    rows = spark.createDataFrame([(f"p{i:03}", " ".join(t)) for i, t in enumerate(texts)], "id string, text string").repartition(3)
+    sets = {f"p{i:03}": frozenset(t) for i, t in enumerate(texts)}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.9 <= x < 1 for x in share.values()) > 1000
+    for tile, mixers in ((8, consolidation.MIXERS), (1024, (1,))):
+        monkeypatch.setattr(consolidation, "TILE", tile)
+        monkeypatch.setattr(consolidation, "MIXERS", mixers)
+        pairs = consolidation.jaccard_pairs(rows, 0.9)
+        assert {(r.a, r.b): r.jaccard for r in pairs.collect() if r.jaccard < 1} == {p: x for p, x in share.items() if 0.9 <= x < 1}
+        assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().executedPlan().toString()

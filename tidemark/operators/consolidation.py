@@ -6,16 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload as pl
 from ..functions import text as tx
 from ..schema import TERMINAL_STATUSES, now_column
-from ..session import shared_folder
+from ..session import scratch_table, shared_folder
 
 #: Words whose frequency orders a set; the rest are rarer.
 FREQUENT = 200_000
+#: Odd numbers that put words in other orders; sets of which one of these makes the same word the smallest meet.
+MIXERS = (1, 0xD6E8FEB86659FD93, 0xA3B195354A39B70D)
+#: Sets that meet in one task, bits of the filter of sets that are in a pair, and the cell of pairs that have none.
+TILE, FILTER, LOOSE = 1024, 1 << 26, -(1 << 40)
 
 
 def exact_duplicates(points: DataFrame) -> DataFrame:
@@ -34,58 +39,202 @@ def jaccard_pairs(points: DataFrame, threshold: float, *, words: Column | None =
 
     Equal sets (by digest) are one representative, the smallest id. Words are 64-bit hashes, the ``FREQUENT`` most frequent ones last, by rarity, the
     others by hash (any fixed order is exact): two such sets share one of the first |x| - ceil(t |x|) + 1, which each task takes from its own sets. A pair is looked at where both sizes, what
-    is left of both behind the shared word, and 128 parities of the words of either allow the overlap it needs. Only representatives' hashes are moved,
-    never texts; the rarest words are joined, so no key is as long as a frequent word's list. Texts without words are in no pair."""
+    is left of both behind the shared word, and 128 parities of the words of either allow the overlap it needs. The rarest words are joined, so no key is as
+    long as a frequent word's list. Texts without words are in no pair.
+
+    The pairs grow faster than the texts, so a pair carries no words: :func:`_overlaps` brings the sets of many pairs together once. Sets are written
+    once, and only those that are in a pair are moved."""
     own = F.filter(words, lambda w: w != "") if words is not None else tx.tokens(F.col("text"))
     room = F.col(block).cast("string") if block else F.lit("")
     hashes = F.array_sort(F.array_distinct(F.transform(own, lambda w: F.xxhash64(w, room))))
-    # texts are cut into words once, by a generator, which the planner does not copy into the filter and the digest; the hashes are
-    # written to the shared folder and read from there by all that follows
-    shared_folder(points.sparkSession)
+    # texts are cut into words once, by a generator, which the planner does not copy into the filter and the digest
     sets = points.select("id", F.explode(F.array(hashes)).alias("w")).where(F.size("w") > 0)
-    sets = sets.withColumn("digest", F.concat_ws("-", F.xxhash64("w").cast("string"), F.xxhash64(F.lit(1), "w").cast("string"))).checkpoint()
-    leader = sets.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = sets.select("digest", "id").join(leader, "digest")
-    reps = sets.join(leader, (sets["digest"] == leader["digest"]) & (sets["id"] == leader["rep"]), "left_semi").select(F.col("id").alias("rep"), "w").checkpoint()
-    prefix = _prefixes(reps, threshold)
+    sets = scratch_table(sets.select("id", "w", F.xxhash64("w").alias("d"), F.xxhash64(F.lit(1), "w").alias("e")))
+    leader = sets.groupBy("d", "e").agg(F.min("id").alias("rep"))
+    member = scratch_table(sets.select("id", "d", "e").join(leader, ["d", "e"]).select("rep", "id"))
+    prefix = _prefixes(sets.select("id", "w"), member.where("id = rep").select("id"), threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
     need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    close = (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
+    close = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
     close &= F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need
     # bits of the parities that differ are never more than words that differ
     differ = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))) + F.bit_count(F.col("a.z").bitwiseXOR(F.col("b.z")))
     close &= differ <= (1 - threshold) / (1 + threshold) * (F.col("a.n") + F.col("b.n")) + 1e-9
-    candidates = a.join(b, (F.col("a.t") == F.col("b.t")) & close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("w").alias("wa")), reps.select(F.col("rep").alias("b"), F.col("w").alias("wb"))
-    scored = candidates.join(left, "a").join(right, "b").withColumn("jaccard", tx.jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
+    cell = F.coalesce(*[F.when(F.col(f"a.c{k}") == F.col(f"b.c{k}"), F.col(f"a.c{k}")) for k in range(len(MIXERS))])
+    candidates = scratch_table(a.join(b, (F.col("a.t") == F.col("b.t")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), cell.alias("cell")).distinct())
+    scored = _overlaps(candidates, sets.select("id", "w"), threshold).where(F.col("jaccard") >= threshold)
     copies = member.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return scored.select("a", "b", "jaccard").unionByName(copies)
 
 
-def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n, s, z, i, t): the first words of each set (rep, w), which are all that the join of pairs has to look at, and whether the words that fall
-    on each of 128 bits are odd in number. Only the frequent words, a bounded
-    number, reach the driver; the sets are ordered by Arrow batch, where they are read."""
-    often = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "t").limit(FREQUENT)
+def expand_pairs(pairs: DataFrame, parts: int = 16) -> DataFrame:
+    """(a, b, jaccard): every pair a < b of points, from pairs as :func:`jaccard_pairs` gives them: copies are put in for their representative, and meet
+    each other. That is quadratic in a group of copies; no group is collected, and each is met in ``parts`` places."""
+    pairs = scratch_table(pairs)
+    copies, near = pairs.where("jaccard >= 1").select(F.col("a").alias("rep"), F.col("b").alias("id")), pairs.where("jaccard < 1")
+    member = scratch_table(copies.unionByName(copies.select("rep", F.col("rep").alias("id")).distinct()))
+    x, y = member.select(F.col("rep").alias("a"), F.col("id").alias("x")), member.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    far = near.join(x, "a", "left").join(y, "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
+    place = F.pmod(F.xxhash64("x"), F.lit(parts))
+    one = x.withColumn("part", place)
+    two = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    same = one.join(two, (one["a"] == two["b"]) & (one["part"] == two["part"]) & (one["x"] < two["y"])).select("x", "y", F.lit(1.0).alias("jaccard"))
+    return far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard").unionByName(same.select(F.col("x").alias("a"), F.col("y").alias("b"), "jaccard"))
+
+
+def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists end to end, and how many each has."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+
+def _smallest(flat: np.ndarray, starts: np.ndarray, mixers: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of ``mixers``, the smallest mixed word of each set, as a number of 32 bits: sets that share most words agree in most of these."""
+    found = []
+    for k, mixer in enumerate(mixers):
+        least = np.minimum.reduceat(flat.view(np.uint64) * np.uint64(mixer), starts) if len(starts) else flat.view(np.uint64)
+        found.append(((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) ^ np.uint32(k * 0x3C6EF372)).view(np.int32))
+    return found
+
+
+def _prefixes(sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, s, z, c0, .., i, t): the first words of each set (id, w) of ``reps``, which are all that the join of pairs has to look at, whether the words that fall
+    on each of 128 bits are odd in number, and the set's smallest mixed words. Only the frequent words, a bounded
+    number, reach the driver; the sets are ordered by Arrow batch, where they are read, and only their first words are moved."""
+    often = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "t").limit(FREQUENT)
     often = sorted((r["t"], place) for place, r in enumerate(sorted(often.collect(), key=lambda r: (r["df"], r["t"])), 1))
     words, places = np.array([t for t, _ in often], np.int64), np.array([p for _, p in often], np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, rep = batch.column("w"), batch.column("rep")
-            flat, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            flat, n = _rows(batch.column("w"))
             row = np.repeat(np.arange(len(n)), n)
             at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
             place = np.where(words[at] == flat, places[at], 0) if len(words) else np.zeros(len(flat), np.int64)
             order = np.argsort(row * (len(words) + 1) + place, kind="stable")  # by set, then place; a set's hashes come in order
-            i = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            first = i < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+            many = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            first = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(many, n)
             bit, starts = np.left_shift(1, flat & 63), np.cumsum(n) - n
             s, z = (np.bitwise_xor.reduceat(np.where((flat >> 6 & 1) == side, bit, 0), starts) if len(n) else flat for side in (0, 1))
-            columns = [rep.take(pa.array(row[first])), pa.array(n[row[first]], pa.int32()), *(pa.array(x[row[first]], pa.int64()) for x in (s, z)), pa.array(i[first], pa.int32()), pa.array(flat[order][first], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "s", "z", "i", "t"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(flat[order][first], pa.int64()))
+            columns = [batch.column("id"), pa.array(n, pa.int32()), pa.array(s, pa.int64()), pa.array(z, pa.int64()), *(pa.array(c) for c in _smallest(flat, starts, mixers)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s", "z", *cells, "t"])
+
+    mixers, cells = MIXERS, [f"c{k}" for k in range(len(MIXERS))]
+    cards = sets.mapInArrow(cut, f"id {sets.schema['id'].dataType.simpleString()}, n int, s bigint, z bigint, {', '.join(f'{c} int' for c in cells)}, t array<bigint>")
+    return cards.join(reps, "id", "left_semi").select("id", "n", "s", "z", *cells, F.posexplode("t").alias("i", "t"))
+
+
+def _bits(own: np.ndarray, cell: np.ndarray | int) -> np.ndarray:
+    """The places of points (by the hash of their id) in their cells, in a filter of :data:`FILTER` bits."""
+    mixed = (own.view(np.uint64) ^ (np.atleast_1d(cell).astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(64 - FILTER.bit_length() + 1)).astype(np.int64)
+
+
+def _filter(rows: DataFrame) -> np.ndarray:
+    """Of the places of rows (own, cell), see :func:`_bits`, a bit each; Spark puts them together, in pieces."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(*(batch.column(c).to_numpy() for c in ("own", "cell"))))], ["at"])
+
+    chunk, held = 1 << 15, np.zeros(FILTER // 8, np.uint8)
+    for r in rows.mapInArrow(placed, "at bigint").groupBy(F.floor(F.col("at") / chunk).alias("k")).agg(F.bitmap_construct_agg(F.col("at") % chunk).alias("bits")).collect():
+        held[r["k"] * chunk // 8 : (r["k"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    return held
 
-    return reps.mapInArrow(cut, f"rep {reps.schema['rep'].dataType.simpleString()}, n int, s bigint, z bigint, i int, t bigint")
+
+def _known(held: np.ndarray, own: np.ndarray, cell: np.ndarray | int) -> np.ndarray:
+    at = _bits(own, cell)
+    return (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _overlaps(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of candidates (a, b, cell): pairs of distinct sets (id, w) of sorted 64-bit words.
+
+    The sets of a cell's pairs meet in one task, where their overlaps are counted: a set is moved once for each of its cells, ``len(MIXERS)`` times at most, and not
+    for each of its pairs. Cells are put together until they hold some ``TILE`` sets; larger ones are parted into tiles of about as many on either side. Few similar
+    pairs have no cell: of those that 1,024 parities leave, the words are joined. Sets without pairs stay where they are read, by a filter of a fixed size."""
+    cells = scratch_table(candidates.select(F.explode(F.array("a", "b")).alias("id"), F.coalesce(F.col("cell").cast("long"), F.lit(LOOSE)).alias("cell")).distinct().select(F.xxhash64("id").alias("own"), "cell"))
+    groups = 1 + cells.where(F.col("cell") != LOOSE).count() // TILE
+    big = cells.where(F.col("cell") != LOOSE).groupBy(F.pmod("cell", F.lit(groups)).alias("x")).count().where(F.col("count") > 2 * TILE).collect()  # one row for thousands of sets
+    parts = {r["x"]: 1 + r["count"] // TILE for r in big}
+
+    held, mixers = _filter(cells), MIXERS
+
+    def tiles(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = cell.astype(np.int64) % groups
+        return x, np.array([parts.get(i, 1) for i in x.tolist()], np.int64)
+
+    def deal_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, n = _rows(batch.column("w"))
+            own = batch.column("own").to_numpy()
+            for cell in _smallest(flat, np.cumsum(n) - n, mixers):
+                row = np.flatnonzero(_known(held, own, cell))
+                x, size = tiles(cell[row])
+                at = np.repeat(np.arange(len(row)), size)
+                i, j = own[row][at] % size[at], np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+                picked = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (x[at], np.minimum(i, j), np.maximum(i, j))), batch.column("id").take(picked), batch.column("w").take(picked)], ["x", "i", "j", "id", "w"])
+
+    def deal_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, size = tiles(batch.column("cell").to_numpy())
+            i, j = (batch.column(c).to_numpy() % size for c in ("p", "q"))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (x, np.minimum(i, j), np.maximum(i, j))), batch.column("a"), batch.column("b")], ["x", "i", "j", "a", "b"])
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_known(held, batch.column("own").to_numpy(), LOOSE)))
+            flat, n = _rows(batch.column("w"))
+            # the bits of sets are counted side by side: 16 numbers of 64 bits each
+            odd = np.bincount(np.repeat(np.arange(len(n)), n) * 1024 + (flat & 1023), minlength=1024 * len(n)).astype(np.uint8) & 1
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 16, pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), lists], ["id", "n", "p"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    named = sets.select("id", "w", F.xxhash64("id").alias("own"))
+    key = "x bigint, i bigint, j bigint"
+    left = candidates.where("cell IS NOT NULL").select("a", "b", "cell", F.xxhash64("a").alias("p"), F.xxhash64("b").alias("q")).mapInArrow(deal_pairs, f"{key}, a {kind}, b {kind}")
+    right = named.mapInArrow(deal_sets, f"{key}, id {kind}, w array<bigint>")
+    near = left.groupBy("x", "i", "j").cogroup(right.groupBy("x", "i", "j")).applyInArrow(_count_shared, f"a {kind}, b {kind}, jaccard double")
+    sized = named.mapInArrow(parities, f"id {kind}, n int, p array<bigint>")
+    a, b = (sized.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("p").alias(f"p_{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("p_a", "p_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    loose = candidates.where("cell IS NULL").join(a, "a").join(b, "b").where(differ <= (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b")
+    few = _filter(loose.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("own"), F.lit(LOOSE).alias("cell")))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_known(few, batch.column("own").to_numpy(), LOOSE))).select(["id", "w"])
+
+    picked = named.mapInArrow(pick, f"id {kind}, w array<bigint>")
+    far = loose.join(picked.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(picked.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    return near.unionByName(far.select("a", "b", tx.jaccard(F.col("wa"), F.col("wb")).alias("jaccard")))
+
+
+def _count_shared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Jaccard of pairs (a, b) of the sets (id, w) of a tile. The words of one set are marked, and looked up for all sets that it is paired with."""
+    pairs, ids, lists = pairs.combine_chunks(), sets.column("id").combine_chunks(), sets.column("w").combine_chunks()
+    if not len(pairs):
+        return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "jaccard": pa.array([], pa.float64())})
+    a, b = (pc.index_in(pairs.column(c), value_set=ids).to_numpy() for c in ("a", "b"))
+    flat, n = _rows(lists)
+    known, code = np.unique(flat, return_inverse=True)
+    starts, marks, shared = np.cumsum(n) - n, np.zeros(len(known), np.uint8), np.empty(len(a), np.int64)
+    order = np.argsort(a, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        one = a[run[0]]
+        own = code[starts[one] : starts[one] + n[one]]
+        marks[own] = 1
+        for at in range(0, len(run), 1024):
+            some = run[at : at + 1024]
+            many = n[b[some]]
+            ends = np.cumsum(many)
+            place = np.arange(ends[-1]) + np.repeat(starts[b[some]] - ends + many, many)
+            shared[some] = np.add.reduceat(marks[code[place]], ends - many, dtype=np.int64)
+        marks[own] = 0
+    return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "jaccard": pa.array(shared / (n[a] + n[b] - shared))})
 
 
 def stale_low_value(points: DataFrame, now: str, *, days: int = 90, importance: int = 4, confidence: float = 0.5) -> DataFrame:
@@ -191,18 +340,18 @@ def greedy_star(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     that is. Each round settles all whose smaller neighbours are settled, by joins of the links that are left: no
     group is collected anywhere. Rounds are cut by checkpoints in the folder that the session names."""
     shared_folder(pairs.sparkSession)
-    pairs = pairs.select("a", "b", "jaccard").checkpoint()  # read for links and for copies, found once
-    copies = pairs.where("jaccard >= 1").select(F.col("a").alias("rep"), F.col("b").alias("id"))
-    links = pairs.where("jaccard < 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    pairs = scratch_table(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("jaccard") >= 1, F.col("a")).alias("rep"), F.when(F.col("jaccard") >= 1, F.col("b")).alias("id")))  # found once
+    copies = pairs.where("rep IS NOT NULL").select("rep", "id")
+    links = pairs.where("rep IS NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))  # more than once does no harm
     left, taken = links, links.select(F.col("b").alias("t")).limit(0)  # links that may still decide something; who is no seed
     for _ in range(max_rounds):
         if left.isEmpty():
             break
         # ends that are nobody's larger one are seeds: no smaller neighbour is left that could take them
-        seeds = left.select(F.col("a").alias("s")).distinct().join(left.select(F.col("b").alias("s")), "s", "left_anti")
+        seeds = left.select(F.col("a").alias("s")).distinct().join(left.select(F.col("b").alias("s")).distinct(), "s", "left_anti")
         hit = left.join(seeds, left["a"] == seeds["s"], "left_semi").select(F.col("b").alias("t")).distinct().checkpoint()
         taken = taken.unionByName(hit).checkpoint()
-        left = left.join(hit, left["a"] == hit["t"], "left_anti").join(hit, F.col("b") == hit["t"], "left_anti").checkpoint()
+        left = scratch_table(left.join(hit, left["a"] == hit["t"], "left_anti").join(hit, F.col("b") == hit["t"], "left_anti"))
     else:
         raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
     by_seed = links.join(taken, links["a"] == taken["t"], "left_anti").join(taken, F.col("b") == taken["t"], "left_semi")
