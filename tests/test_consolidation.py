@@ -93,3 +93,13 @@ def test_sets_of_many_pairs_are_moved_once(spark, monkeypatch):
         pairs = consolidation.jaccard_pairs(rows, 0.9)
         assert {(r.a, r.b): r.jaccard for r in pairs.collect() if r.jaccard < 1} == {p: x for p, x in share.items() if 0.9 <= x < 1}
         assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_pair_of_copies_and_of_their_neighbours(spark):
+    near = " ".join(f"w{i}" for i in range(20))
+    texts = {1: near, 2: f"{near} x", 3: near.upper(), 4: f"x {near}", 5: near, 6: "other", 7: "", 8: f"{near} y", 9: "OTHER"}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    sets = {i: set(t.lower().split()) for i, t in texts.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b]}
+    found = consolidation.expand_pairs(consolidation.jaccard_pairs(rows, 0.92)).collect()
+    assert {(r.a, r.b): r.jaccard for r in found} == {p: x for p, x in want.items() if x >= 0.92} and len(found) == 14

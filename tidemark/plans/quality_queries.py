@@ -148,13 +148,13 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = rf"list_distinct(list_filter(string_split(lower({FLAT}), ' '), lambda t: t <> ''))"
 
 
-@R.add(f"""WITH w AS (SELECT doc_id AS id, list_sort({TOKENS}) AS w FROM documents), m AS (SELECT id, w, min(id) OVER (PARTITION BY w) AS rep FROM w WHERE len(w) > 0), l AS (SELECT id, w, len(w) AS n FROM m WHERE id = rep)
+@R.add(f"""WITH w AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), l AS (SELECT id, w, len(w) AS n FROM w WHERE len(w) > 0)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM l a JOIN l b ON a.id < b.id AND least(a.n, b.n) >= 0.92 * greatest(a.n, b.n)
-WHERE len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.92 UNION ALL SELECT rep, id, 1.0::DOUBLE FROM m WHERE id <> rep""")
+WHERE len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.92""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of different word sets, by their representatives, and each representative with its copies."""
+    """Every pair of texts: groups of equal word sets are expanded."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return consolidation.jaccard_pairs(docs, 0.92).withColumn("jaccard", F.round("jaccard", 6))
+    return consolidation.expand_pairs(consolidation.jaccard_pairs(docs, 0.92)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @R.add()
