@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import retrieve
+from tidemark.plans import memory_queries
 
 
 def test_most_shared_words_of_many_queries(spark):
@@ -28,3 +29,11 @@ def test_queries_are_not_joined_by_word(spark):
     texts = spark.range(30).select(F.col("id").cast("string").alias("id"), F.array(F.lit("same")).alias("words"))
     plan = retrieve.shared_words(texts, texts.select(F.col("id").alias("query_id"), "words"), fetch=3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "WindowGroupLimit" in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_recall_asks_with_every_line(spark, tmp_path):
+    """Each line of a conversation of the set is a query, not only the first."""
+    rows = [(100, 0, "user", "nothing here recurs"), (100, 1, "assistant", "migrating databases yesterday"), (7, 0, "user", "the databases were migrating"), (8, 3, "user", "elsewhere")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {(r.query_id, r.id) for r in memory_queries.session_recall(spark, str(tmp_path)).collect()}
+    assert found == {("100/0", "100/0"), ("100/1", "100/0"), ("100/1", "7/0")}

@@ -124,12 +124,12 @@ def semantic_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def session_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that share words with the first line of a conversation, copies collapsed; best groups of each query."""
+    """Windows that share words with a line of every hundredth conversation, copies collapsed; best groups of each line (conv_id/turn)."""
     lines = table(spark, sf_dir, "conversations")
     shared_folder(spark)
     found = windows.char_windows(windows.serialise(lines)).select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("char_start").cast("string")).alias("id"), "text", F.col("char_start").cast("double").alias("start_ts")).checkpoint()
     words = F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda t: F.length(t) > 6)).alias("words")
-    queries = lines.where("conv_id % 100 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), words)
+    queries = lines.where("conv_id % 100 = 0").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), words)
     best = retrieve.shared_words(found.select("id", words), queries, fetch=384)
     hits = best.join(found, "id").select("query_id", "id", "text", "score", "start_ts")
     return retrieve.collapse_duplicates(hits, keep=15, fetch=384).select("query_id", "place", "id", F.size("members").alias("n_members"))
