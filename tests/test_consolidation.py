@@ -103,3 +103,22 @@ def test_every_pair_of_copies_and_of_their_neighbours(spark):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b]}
     found = consolidation.expand_pairs(consolidation.jaccard_pairs(rows, 0.92)).collect()
     assert {(r.a, r.b): r.jaccard for r in found} == {p: x for p, x in want.items() if x >= 0.92} and len(found) == 14
+
+
+def test_report_moves_sets_not_pairs_of_sets(spark, monkeypatch):
+    """The report's clusters too come from pairs that carry no words: the sets of a tile meet once."""
+    plans, star = [], consolidation.greedy_star
+
+    def kept(pairs):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return star(pairs)
+
+    monkeypatch.setattr(consolidation, "greedy_star", kept)
+    base, none = " ".join(f"w{i}" for i in range(60)), F.lit(None).cast("string")
+    rows = spark.createDataFrame([(i, f"{base} u{i}", i % 3 == 0) for i in range(12)], "id long, text string, learning boolean").withColumns({
+        "importance": F.lit(5), "confidence": F.lit(0.9), "access_count": F.lit(0), "created_at": F.timestamp_seconds("id"), "stale": F.lit(False), "fact_status": none,
+        "consolidation_quarantined": F.lit(False), "promote": F.lit(False), "promoted": F.lit(False), "superseded_by": none, "invalidated_by": none, "valid_until": F.lit(None).cast("timestamp"),
+    })
+    found = consolidation.report(rows, "1970-01-02 00:00:00", facts=False).collect()
+    assert [(r.proposal_type, r.key) for r in found] == [("duplicate_cluster", "1"), ("duplicate_cluster", "0")]
+    assert len(plans) == 1 and "FlatMapCoGroupsInArrow" in plans[0]
